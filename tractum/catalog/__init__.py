@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "columns")
+MODULES = ("scans", "columns", "joins", "aggs")
 
 
 def load():

@@ -299,13 +299,13 @@ def partner_class(t):
 
 
 @query("recentre_coords", "tree", """
-    SELECT node_id, round((x - cx) / 1000, 6) AS x_um, round((y - cy) / 1000, 6) AS y_um, round((z - cz) / 1000, 6) AS z_um
+    SELECT node_id, (x - cx) / 1000 AS x_um, (y - cy) / 1000 AS y_um, (z - cz) / 1000 AS z_um
     FROM tree, (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz FROM tree) c""")
 def recentre_coords(t):
     tree = t.tree()
     def centred(a):
         centre = tree.agg((F.min(a) + F.max(a)) / 2).scalar()
-        return F.round((F.col(a) - centre) / 1000, 6).alias(f"{a}_um")
+        return ((F.col(a) - centre) / 1000).alias(f"{a}_um")
     return tree.select("node_id", *[centred(a) for a in "xyz"])
 
 

@@ -33,6 +33,8 @@ def nearest_within(
     distance: Callable[[str, str], Column],
     payload: Sequence[str],
     levels: int = 4,
+    eligible: Callable[[str, str], Column] | None = None,
+    most_open: str | None = None,
 ) -> DataFrame:
     """Per query the candidate of its key with the least distance (ties: least id).
 
@@ -41,6 +43,10 @@ def nearest_within(
     the struct names of query and candidate.  ``payload`` lists the columns of
     both sides that ``distance`` reads.  Adds ``near_id`` and ``near_dist``
     (NULL where the key has no candidate).
+
+    ``eligible`` restricts which candidates a query may take.  It must be
+    monotone in the payload column ``most_open``: if a query may not take the
+    candidate of a cell with the largest value, it may take none of the cell.
     """
     keys, query_id, payload = list(keys), list(query_id), list(payload)
     anchors = [f"a{a}" for a in AXES]
@@ -68,13 +74,16 @@ def nearest_within(
     def children(level: int) -> DataFrame:
         """Occupied cells of ``level`` with a member and the largest reach."""
         by = keys + (cell_columns(level - 1) if level > 1 else []) + cell_columns(level)
-        return c.groupBy(*by).agg(F.min_by(c_struct, "cid").alias("rep"), F.max("rad").alias("reach"))
+        rep = F.min_by(c_struct, "cid") if most_open is None else F.max_by(c_struct, most_open)
+        return c.groupBy(*by).agg(rep.alias("rep"), F.max("rad").alias("reach"))
 
     q = queries.select(*keys, *query_id, F.struct(*anchors, *payload).alias("q"))
     frontier = q
     for level in range(1, levels + 1):
         on = keys + (cell_columns(level - 1) if level > 1 else [])
         step = frontier.join(children(level), on)
+        if eligible is not None:
+            step = step.where(eligible("q", "rep"))
         size = width / SPLIT**level
         gap2 = None
         for a in anchors:
@@ -88,7 +97,10 @@ def nearest_within(
         kept = [*keys, *query_id, "q", *cell_columns(level)]
         frontier = step.join(tightest, keys + query_id).where("_lower <= _best").select(*kept)
     leaves = c.select(*keys, *cell_columns(levels), c_struct.alias("rep"))
-    hits = frontier.join(leaves, keys + cell_columns(levels)).select(
+    hits = frontier.join(leaves, keys + cell_columns(levels))
+    if eligible is not None:
+        hits = hits.where(eligible("q", "rep"))
+    hits = hits.select(
         *keys, *query_id, F.struct(distance("q", "rep").alias("d"), F.col("rep.cid").alias("cid")).alias("hit")
     )
     best = hits.groupBy(*keys, *query_id).agg(F.min("hit").alias("hit")).select(
