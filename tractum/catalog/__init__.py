@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "columns", "joins", "aggs")
+MODULES = ("scans", "columns", "joins", "aggs", "windows", "scalars")
 
 
 def load():

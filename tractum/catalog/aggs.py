@@ -35,12 +35,11 @@ def pair_agg(t):
 
 
 @query("weighted_channels", "pts", """
-    SELECT pre, post, n, round(p, 6) AS p, round(q, 6) AS q FROM (SELECT pre, post, CAST(sum(size) AS BIGINT) AS n,
-      sum(prob * size) / sum(size) AS p, sum((1 - prob) * size) / sum(size) AS q FROM pts GROUP BY 1, 2) s WHERE n >= 100""")
+    SELECT * FROM (SELECT pre, post, CAST(sum(size) AS BIGINT) AS n, CAST(sum(CAST(prob AS DECIMAL(12, 9)) * size) AS DOUBLE) / sum(size) AS p,
+      CAST(sum(CAST(1 - prob AS DECIMAL(12, 9)) * size) AS DOUBLE) / sum(size) AS q FROM pts GROUP BY 1, 2) s WHERE n >= 100""")
 def weighted_channels(t):
     df = t.pts().select("pre", "post", F.col("size").alias("n"), F.col("prob").alias("p"), (1 - F.col("prob")).alias("q"))
-    out = A.weighted_channels(df, PAIR, ["p", "q"], "n", 100)
-    return out.select(*PAIR, "n", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    return A.weighted_channels(df, PAIR, ["p", "q"], "n", 100)
 
 
 @query("value_counts", "pts", "SELECT region, count(*) AS n FROM pts GROUP BY 1")
@@ -167,18 +166,18 @@ def label_inventory(t):
 
 
 @query("evidence_rollup", "pts", """
-    SELECT p.pre, p.post, c.chunk, p.n_points, c.n_items, c.rows_text, p.score_min, round(p.score_mean, 6) AS score_mean, p.score_max,
-           round(p.cx, 4) AS cx, round(p.cy, 4) AS cy, round(p.cz, 4) AS cz
-    FROM (SELECT pre, post, count(*) AS n_points, min(score_a) AS score_min, avg(score_a) AS score_mean, max(score_a) AS score_max,
-          avg(pre_x) AS cx, avg(pre_y) AS cy, avg(pre_z) AS cz FROM pts GROUP BY 1, 2) p JOIN
+    SELECT p.pre, p.post, c.chunk, p.n_points, c.n_items, c.rows_text, p.score_min, p.score_mean, p.score_max, p.cx, p.cy, p.cz
+    FROM (SELECT pre, post, count(*) AS n_points, min(score_a) AS score_min, CAST(sum(CAST(score_a AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS score_mean,
+          max(score_a) AS score_max, CAST(sum(CAST(pre_x AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS cx,
+          CAST(sum(CAST(pre_y AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS cy, CAST(sum(CAST(pre_z AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS cz FROM pts GROUP BY 1, 2) p JOIN
       (SELECT pre, post, (rn - 1) // 8 AS chunk, count(*) AS n_items, string_agg(CAST(okey AS VARCHAR), ';' ORDER BY rn) AS rows_text
        FROM (SELECT pre, post, okey, row_number() OVER (PARTITION BY pre, post ORDER BY okey, ln, pre_y) AS rn FROM pts) r GROUP BY 1, 2, 3) c
     USING (pre, post)""")
 def evidence_rollup(t):
     pts = t.pts()
     stats = pts.groupBy(*PAIR).agg(
-        F.count(ONE).alias("n_points"), F.min("score_a").alias("score_min"), F.round(F.avg("score_a"), 6).alias("score_mean"),
-        F.max("score_a").alias("score_max"), *[F.round(F.avg(f"pre_{a}"), 4).alias(f"c{a}") for a in "xyz"])
+        F.count(ONE).alias("n_points"), F.min("score_a").alias("score_min"), A.exact_mean("score_a").alias("score_mean"),
+        F.max("score_a").alias("score_max"), *[A.exact_mean(f"pre_{a}").alias(f"c{a}") for a in "xyz"])
     ids = A.chunked_list(pts.select(*PAIR, "okey", "ln", "pre_y"), PAIR, ["okey", "ln", "pre_y"], F.col("okey"), "rows_text", chunk=8)
     return stats.join(ids, PAIR)
 
@@ -419,7 +418,7 @@ PIVOT = "(SELECT id, " + ", ".join(f"count(*) FILTER (WHERE scenario = '{x}') AS
 
 
 @query("argmax_conditions", "smp", f"""
-    SELECT id, top, array_to_string(list_filter([{", ".join(f"CASE WHEN {x} = top THEN '{x}' END" for x in TYPES)}], x -> x IS NOT NULL), ';') AS conditions
+    SELECT id, top, array_to_string([v FOR v IN [{", ".join(f"CASE WHEN {x} = top THEN '{x}' END" for x in TYPES)}] IF v IS NOT NULL], ';') AS conditions
     FROM (SELECT *, greatest({", ".join(TYPES)}) AS top FROM {PIVOT} p) q""")
 def argmax_conditions(t):
     p = A.condition_pivot(t.smp().withColumn("one", F.lit(1).cast("long")), "id", "scenario", "one", TYPES)

@@ -58,7 +58,7 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
         SELECT o_orderkey AS claim_id, o_custkey + 100 AS root_id, o_orderpriority AS source_id,
                o_orderstatus AS label, o_totalprice AS score FROM orders"""),
     "smp": ("", """
-        SELECT event_id, user_id AS id, event_type AS scenario, epoch_ms(ts) AS t_ms,
+        SELECT event_id, user_id AS id, event_type AS scenario, epoch_us(ts) // 1000 AS t_ms,
                CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS spike, value FROM events"""),
     "xwalk": ("", """
         SELECT c_custkey AS id, c_custkey + 5000000 AS old_a, c_custkey % 700 + 6000000 AS old_b,

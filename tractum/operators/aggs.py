@@ -15,6 +15,11 @@ from tractum.operators.ordered import rank_within
 ONE = F.lit(1)
 
 
+def exact_mean(c: str, digits: int = 4) -> Column:
+    """Mean of values with at most ``digits`` decimals, independent of row order."""
+    return F.sum(F.col(c).cast(f"decimal(18,{digits})")).cast("double") / F.count(c)
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(ONE).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(column))
 
@@ -73,9 +78,13 @@ def quality_profile(df: DataFrame) -> DataFrame:
 
 def weighted_channels(edges: DataFrame, keys: Sequence[str], channels: Sequence[str], weight: str = "n",
                       min_weight: int = 1) -> DataFrame:
-    """Weight-averaged channels per key; the minimum applies after the merge."""
+    """Weight-averaged channels (probabilities, kept to 9 decimals) per key; the
+    minimum applies after the merge.  Summed as decimals, so the result does
+    not depend on the order in which shuffled rows arrive."""
     w = F.col(weight)
-    means = [(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in channels]
+    means = [
+        (F.sum(F.col(c).cast("decimal(12,9)") * w.cast("bigint")).cast("double") / F.sum(w)).alias(c) for c in channels
+    ]
     return edges.groupBy(*keys).agg(F.sum(w).alias(weight), *means).where(F.col(weight) >= min_weight)
 
 

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tractum.session import stage
+
 SPLIT = 4
 AXES = ("x", "y", "z")
 
@@ -51,7 +53,7 @@ def nearest_within(
     keys, query_id, payload = list(keys), list(query_id), list(payload)
     anchors = [f"a{a}" for a in AXES]
     shape = [*keys, *anchors, "rad", *payload]
-    c = candidates.groupBy(*shape).agg(F.min(candidate_id).alias("cid"))
+    c = stage(candidates.groupBy(*shape).agg(F.min(candidate_id).alias("cid")))
     box = c.agg(
         *[F.min(a).cast("double").alias(f"lo_{a}") for a in anchors],
         *[F.max(a).cast("double").alias(f"hi_{a}") for a in anchors],
@@ -77,6 +79,7 @@ def nearest_within(
         rep = F.min_by(c_struct, "cid") if most_open is None else F.max_by(c_struct, most_open)
         return c.groupBy(*by).agg(rep.alias("rep"), F.max("rad").alias("reach"))
 
+    queries = stage(queries)
     q = queries.select(*keys, *query_id, F.struct(*anchors, *payload).alias("q"))
     frontier = q
     for level in range(1, levels + 1):
@@ -93,9 +96,9 @@ def nearest_within(
         # A hair of slack keeps cell-edge rounding from cutting a true nearest.
         lower = (F.sqrt(gap2) - F.col("reach")) * F.lit(1 - 1e-9) - F.lit(1e-6)
         step = step.withColumn("_lower", lower).withColumn("_upper", distance("q", "rep"))
-        tightest = step.groupBy(*keys, *query_id).agg(F.min("_upper").alias("_best"))
-        kept = [*keys, *query_id, "q", *cell_columns(level)]
-        frontier = step.join(tightest, keys + query_id).where("_lower <= _best").select(*kept)
+        # One query's open cells: a handful, whatever the size of its key.
+        step = step.withColumn("_best", F.min("_upper").over(Window.partitionBy(*keys, *query_id)))
+        frontier = step.where("_lower <= _best").select(*keys, *query_id, "q", *cell_columns(level))
     leaves = c.select(*keys, *cell_columns(levels), c_struct.alias("rep"))
     hits = frontier.join(leaves, keys + cell_columns(levels))
     if eligible is not None:
