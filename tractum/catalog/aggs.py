@@ -9,7 +9,6 @@ from tractum.operators import aggs as A
 from tractum.operators import joins as J
 from tractum.operators.ordered import order_statistics, top_k
 
-ONE = F.lit(1)
 PAIR_DELTA = delta_sql("v2", "v3", PAIR)
 REGION_DELTA = delta_sql("r2", "r3", KEY3)
 
@@ -25,13 +24,13 @@ def region_delta(t):
 @query("pair_region_agg", "pts", """
     SELECT pre, post, region, CAST(sum(size) AS BIGINT) AS n, count(*) AS source_rows FROM pts GROUP BY 1, 2, 3""")
 def pair_region_agg(t):
-    return t.pts().groupBy(*KEY3).agg(F.sum("size").alias("n"), F.count(ONE).alias("source_rows"))
+    return t.pts().groupBy(*KEY3).agg(F.sum("size").alias("n"), F.count("*").alias("source_rows"))
 
 
 @query("pair_agg", "edg", """
     SELECT pre, post, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_regions FROM edg GROUP BY 1, 2""")
 def pair_agg(t):
-    return t.edg().groupBy(*PAIR).agg(F.sum("n").alias("n"), F.count(ONE).alias("n_regions"))
+    return t.edg().groupBy(*PAIR).agg(F.sum("n").alias("n"), F.count("*").alias("n_regions"))
 
 
 @query("weighted_channels", "pts", """
@@ -95,7 +94,7 @@ def distinct_endpoints(t):
 def membership_confusion(t):
     df = J.partner_class(t.pts().select("pre", "post", "region"), t.nod().where("side = 'left'").select("id"))
     counts = [F.count_if(F.col("partner_class") == c).alias(f"n_{c}") for c in ("both", "only_pre", "only_post", "neither")]
-    return df.groupBy("region").agg(*counts, F.count(ONE).alias("n_rows"))
+    return df.groupBy("region").agg(*counts, F.count("*").alias("n_rows"))
 
 
 LIMITS = [5, 10, 15, 20]
@@ -115,7 +114,7 @@ def threshold_counts(t):
            count(*) AS n_pairs, CAST(sum(n) AS BIGINT) AS weight FROM pairs GROUP BY 1""")
 def strength_buckets(t):
     return t.pairs().groupBy(C.bucket("n", [1, 2, 5, 10, 20]).alias("bucket")).agg(
-        F.count(ONE).alias("n_pairs"), F.sum("n").alias("weight"))
+        F.count("*").alias("n_pairs"), F.sum("n").alias("weight"))
 
 
 @query("flow_matrix", "pairs nod", """
@@ -126,7 +125,7 @@ def flow_matrix(t):
     def label(c):
         return C.first_match([(F.col(c) == "", F.lit("[unannotated]"))], F.col(c))
     return e.groupBy(label("pre_super_class").alias("pre_class"), label("post_super_class").alias("post_class")).agg(
-        F.count(ONE).alias("n_pairs"), F.sum("n").alias("weight"))
+        F.count("*").alias("n_pairs"), F.sum("n").alias("weight"))
 
 
 @query("region_change", "r2 r3", f"""
@@ -135,7 +134,7 @@ def flow_matrix(t):
 def region_change(t):
     zero = F.lit(0)
     return region_delta(t).groupBy("cls", "region").agg(
-        F.count(ONE).alias("n_rows"), F.coalesce(F.sum("n_a"), zero).alias("weight_a"),
+        F.count("*").alias("n_rows"), F.coalesce(F.sum("n_a"), zero).alias("weight_a"),
         F.coalesce(F.sum("n_b"), zero).alias("weight_b"), F.sum("delta").alias("delta"))
 
 
@@ -145,7 +144,7 @@ def region_change(t):
 def delta_direction(t):
     direction = F.when(F.col("delta") > 0, "higher").when(F.col("delta") < 0, "lower").otherwise("same")
     shared = pair_delta(t).where(F.col("cls").startswith("both"))
-    return shared.groupBy(direction.alias("direction")).agg(F.count(ONE).alias("n_pairs"), F.sum("delta").alias("delta"))
+    return shared.groupBy(direction.alias("direction")).agg(F.count("*").alias("n_pairs"), F.sum("delta").alias("delta"))
 
 
 @query("delta_totals", "v2 v3", f"""
@@ -153,7 +152,7 @@ def delta_direction(t):
     FROM ({PAIR_DELTA}) d GROUP BY 1""")
 def delta_totals(t):
     return pair_delta(t).groupBy("cls").agg(
-        F.count(ONE).alias("n_rows"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("weight_a"),
+        F.count("*").alias("n_rows"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("weight_a"),
         F.coalesce(F.sum("n_b"), F.lit(0)).alias("weight_b"))
 
 
@@ -176,7 +175,7 @@ def label_inventory(t):
 def evidence_rollup(t):
     pts = t.pts()
     stats = pts.groupBy(*PAIR).agg(
-        F.count(ONE).alias("n_points"), F.min("score_a").alias("score_min"), A.exact_mean("score_a").alias("score_mean"),
+        F.count("*").alias("n_points"), F.min("score_a").alias("score_min"), A.exact_mean("score_a").alias("score_mean"),
         F.max("score_a").alias("score_max"), *[A.exact_mean(f"pre_{a}").alias(f"c{a}") for a in "xyz"])
     ids = A.chunked_list(pts.select(*PAIR, "okey", "ln", "pre_y"), PAIR, ["okey", "ln", "pre_y"], F.col("okey"), "rows_text", chunk=8)
     return stats.join(ids, PAIR)
@@ -221,7 +220,7 @@ def node_coverage(t):
     pts, published = t.pts(), t.edg().where("n > 1")
     df = t.nod().select("id")
     names = []
-    for label, source, weight in (("points", pts, F.count(ONE)), ("published", published, F.sum("n"))):
+    for label, source, weight in (("points", pts, F.count("*")), ("published", published, F.sum("n"))):
         for end in ("pre", "post"):
             df = df.join(source.groupBy(F.col(end).alias("id")).agg(weight.alias(f"{end}_{label}")), "id", "left")
             names.append(f"{end}_{label}")
@@ -236,7 +235,7 @@ def node_coverage(t):
     FROM (SELECT region, count(*) AS n FROM pts GROUP BY 1) a FULL JOIN (SELECT region, CAST(sum(n) AS BIGINT) AS n FROM edg GROUP BY 1) b
     ON a.region = b.region LEFT JOIN (SELECT region, CAST(sum(n) AS BIGINT) AS n FROM r2 GROUP BY 1) c ON c.region = a.region""")
 def cross_checks(t):
-    a = t.pts().groupBy("region").agg(F.count(ONE).alias("n_points"))
+    a = t.pts().groupBy("region").agg(F.count("*").alias("n_points"))
     b = t.edg().groupBy("region").agg(F.sum("n").alias("n_edges"))
     c = t.r2().groupBy("region").agg(F.sum("n").alias("n_partial"))
     df = a.join(b, "region", "full").join(c, "region", "left").fillna(0, ["n_points", "n_edges", "n_partial"])
@@ -270,7 +269,7 @@ def subgraph_profile(t):
     marked = J.mark(J.mark(t.pairs(), "pre", ids, "a"), "post", ids, "b")
     masks = F.array_compact(F.array(*[F.when(F.expr(c), m) for m, c in MASKS.items()]))
     return marked.select(F.explode(masks).alias("mask"), "pre", "post", "n").groupBy("mask").agg(
-        F.count(ONE).alias("n_rows"), F.sum("n").alias("weight"), F.count_distinct("pre").alias("n_pre"),
+        F.count("*").alias("n_rows"), F.sum("n").alias("weight"), F.count_distinct("pre").alias("n_pre"),
         F.count_distinct("post").alias("n_post"))
 
 
@@ -299,7 +298,7 @@ def partner_type_rollup(t):
 def prevalence_share(t):
     e = _typed_edges(t).groupBy(F.col("pre_cell_type").alias("pre_type"), F.col("post_cell_type").alias("post_type")).agg(
         F.count_distinct("pre").alias("n_sources"), F.sum("n").alias("contacts"))
-    cohort = t.nod().groupBy(F.col("cell_type").alias("pre_type")).agg(F.count(ONE).alias("cohort"))
+    cohort = t.nod().groupBy(F.col("cell_type").alias("pre_type")).agg(F.count("*").alias("cohort"))
     df = A.share_of_total(e.join(cohort, "pre_type"), ["pre_type"], "contacts", "cohort_contacts", "share")
     return df.withColumn("share", F.round("share", 6)).withColumn("prevalence", F.round(C.safe_ratio("n_sources", "cohort"), 6))
 
@@ -319,7 +318,7 @@ def peer_support(t):
         {"pre_cell_type": "cell_type", "pre_side": "side", "post_cell_type": "target_type"})
     peers = e.groupBy(*cohort).agg(F.count_distinct("pre").alias("peers"))
     per_peer = e.where("target_type <> ''").groupBy(*cohort, "pre", "target_type").agg(F.sum("n").alias("w"))
-    support = per_peer.groupBy(*cohort, "target_type").agg(F.count(ONE).alias("support"), F.sum("w").alias("contacts"))
+    support = per_peer.groupBy(*cohort, "target_type").agg(F.count("*").alias("support"), F.sum("w").alias("contacts"))
     df = support.join(peers, cohort).withColumn("fraction", C.safe_ratio("support", "peers"))
     gated = df.where("peers >= 2 AND support >= 2 AND fraction >= 0.05")
     top = top_k(gated, cohort, [F.desc("fraction"), F.desc("contacts"), F.asc("target_type")], 5)
@@ -334,7 +333,7 @@ def peer_support(t):
 def version_jaccard(t):
     df = version_edges(t).groupBy("pre").agg(
         F.count_if(F.expr("n2 IS NOT NULL AND n3 IS NOT NULL")).alias("shared"),
-        F.count_if(F.expr("n2 >= 5 AND n3 >= 5")).alias("shared_strong"), F.count(ONE).alias("union_pairs"))
+        F.count_if(F.expr("n2 >= 5 AND n3 >= 5")).alias("shared_strong"), F.count("*").alias("union_pairs"))
     return df.withColumn("jaccard", F.round(C.safe_ratio("shared", "union_pairs"), 6))
 
 
@@ -362,7 +361,7 @@ def partner_patterns(t):
                 F.coalesce(F.sum(f"n{v}"), F.lit(0)).alias(f"v{v}_contacts")]
     df = g.agg(*version(2), *version(3), F.count_if(F.expr("n2 IS NOT NULL AND n3 IS NOT NULL")).alias("shared"),
                F.count_if(F.expr("n2 >= 7 AND n3 >= 7")).alias("shared_strong"), F.count_distinct("pre").alias("_homologs"),
-               F.count_if(F.expr("pre_side <> post_side")).alias("_conflicts"), F.count(ONE).alias("_all"))
+               F.count_if(F.expr("pre_side <> post_side")).alias("_conflicts"), F.count("*").alias("_all"))
     priority = C.first_match([
         (F.expr("shared_strong > 0 AND _homologs >= 2 AND _conflicts * 2 < _all"), F.lit(1)),
         (F.expr("shared_strong > 0 AND _conflicts * 2 < _all"), F.lit(2))], F.lit(3))
@@ -405,7 +404,7 @@ def claims_rollup(t):
 def claim_labels(universe, claims):
     """One row per id: distinct labels in first-seen order; the row count of
     the universe is kept."""
-    seen = claims.groupBy("root_id", "label").agg(F.min("claim_id").alias("first"), F.count(ONE).alias("n"))
+    seen = claims.groupBy("root_id", "label").agg(F.min("claim_id").alias("first"), F.count("*").alias("n"))
     listed = seen.groupBy(F.col("root_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("first", "label"))).alias("l"), F.sum("n").alias("n_claims"))
     labels = F.array_join(F.transform("l", lambda x: x["label"]), "|")
@@ -435,7 +434,7 @@ def condition_pivot(t):
            count(*) FILTER (WHERE p_size > 40) AS n_large, count(*) FILTER (WHERE p_type = 'ECONOMY' AND p_size > 40) AS n_disagree FROM part GROUP BY 1""")
 def group_composition(t):
     return t.read("part").groupBy(F.col("p_brand").alias("grp")).agg(
-        F.count(ONE).alias("n_rows"), F.count_if(F.expr("p_type <> 'ECONOMY'")).alias("n_typed"),
+        F.count("*").alias("n_rows"), F.count_if(F.expr("p_type <> 'ECONOMY'")).alias("n_typed"),
         F.count_if(F.expr("p_size > 40")).alias("n_large"),
         F.count_if(F.expr("p_type = 'ECONOMY' AND p_size > 40")).alias("n_disagree"))
 
@@ -447,7 +446,7 @@ def group_composition(t):
 def label_conflicts(t):
     df = t.read("documents").select("doc_id", "lang", F.when(F.col("n_chars") >= 500, 1).otherwise(0).alias("predicted")).join(
         t.read("labels"), "doc_id")
-    out = df.groupBy("lang").agg(F.count(ONE).alias("n_both"), F.count_if(F.expr("predicted <> quality")).alias("n_conflicts"))
+    out = df.groupBy("lang").agg(F.count("*").alias("n_both"), F.count_if(F.expr("predicted <> quality")).alias("n_conflicts"))
     return out.withColumn("rate", F.round(C.safe_ratio("n_conflicts", "n_both"), 6))
 
 
@@ -467,7 +466,7 @@ def trial_rates(t):
 def coverage_2x2(t):
     df = J.mark(t.nod(), "id", t.v2().where("n >= 9").select("pre"), "in_a")
     df = J.mark(df, "id", t.v3().where("n >= 10").select("pre"), "in_b")
-    return df.groupBy("super_class", "in_a", "in_b").agg(F.count(ONE).alias("n"))
+    return df.groupBy("super_class", "in_a", "in_b").agg(F.count("*").alias("n"))
 
 
 @query("ratio_table", "", """
@@ -475,7 +474,7 @@ def coverage_2x2(t):
            round(count(*) FILTER (WHERE o_orderstatus = 'O') / count(*), 6) AS ratio, CAST(NULL AS DOUBLE) AS ratio_of_none FROM orders GROUP BY 1""")
 def ratio_table(t):
     df = t.read("orders").groupBy(F.col("o_orderpriority").alias("experiment")).agg(
-        F.count(ONE).alias("total"), F.count_if(F.expr("o_orderstatus = 'O'")).alias("extended"))
+        F.count("*").alias("total"), F.count_if(F.expr("o_orderstatus = 'O'")).alias("extended"))
     return df.withColumn("ratio", F.round(C.safe_ratio("extended", "total"), 6)).withColumn(
         "ratio_of_none", C.safe_ratio("extended", F.col("total") - F.col("total")))
 
@@ -485,7 +484,7 @@ def ratio_table(t):
     FROM (SELECT o_orderkey, o_orderpriority, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) s GROUP BY 1""")
 def progress_share(t):
     """Each order is a chunk of four parts; more parts than planned do not count."""
-    parts = t.read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(ONE).alias("k"))
+    parts = t.read("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("k"))
     df = t.read("orders").select("o_orderkey", F.col("o_orderpriority").alias("stage")).join(parts, "o_orderkey", "left").fillna(0, ["k"])
-    out = df.groupBy("stage").agg(F.sum(F.least("k", F.lit(4))).alias("done"), (F.count(ONE) * 4).alias("planned"))
+    out = df.groupBy("stage").agg(F.sum(F.least("k", F.lit(4))).alias("done"), (F.count("*") * 4).alias("planned"))
     return out.withColumn("percent", F.round(100 * C.safe_ratio("done", "planned"), 6))

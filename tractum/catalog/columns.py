@@ -9,11 +9,10 @@ from tractum.operators import joins as J
 from tractum.operators.graph import drop_accounting as account_drops
 from tractum.plans.checks import violations
 
-ONE = F.lit(1)
 
 
 def _n(df, *keys):
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def _members(t):
@@ -136,7 +135,7 @@ def clip_nonfinite(t):
     inf, ln = float("inf"), F.col("ln")
     p = F.when(ln == 1, float("nan")).when(ln == 2, inf).when(ln == 3, -inf).otherwise(F.col("prob"))
     df = t.pts().select("ln", C.clip_probability(p).alias("p"))
-    return df.groupBy("ln").agg(F.round(F.sum("p"), 6).alias("total"), F.count(ONE).alias("n"))
+    return df.groupBy("ln").agg(F.round(F.sum("p"), 6).alias("total"), F.count("*").alias("n"))
 
 
 @query("normalize_side", "nod", """
@@ -158,7 +157,7 @@ def normalize_side(t):
 def side_relation(t):
     df = t.edg().join(t.nod(), F.col("pre") == F.col("id"))
     return df.groupBy("region", C.side_relation("side", "region").alias("relation")).agg(
-        F.count(ONE).alias("n_rows"), F.sum("n").alias("weight"))
+        F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 
 SIDES_SRC = """(SELECT id, super_class, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'left' ELSE 'right' END AS root_side,

@@ -9,7 +9,6 @@ from tractum.operators import graph as G
 from tractum.operators import joins as J
 from tractum.operators.matching import greedy_match, nearest_control
 
-ONE = F.lit(1)
 PAIR, KEY3 = ["pre", "post"], ["pre", "post", "region"]
 
 
@@ -39,7 +38,7 @@ def edge_delta_pair(t):
              (SELECT pre, post, CASE WHEN region = 'None' THEN 'UNASGD' ELSE region END AS region, n FROM edg WHERE n > 1) b
         ON a.pre = b.pre AND a.post = b.post AND a.region = b.region) s WHERE n_raw <> n_pub""")
 def reconcile_edges(t):
-    raw = t.pts().where("size > 1").groupBy(*KEY3).agg(F.count(ONE).alias("n"))
+    raw = t.pts().where("size > 1").groupBy(*KEY3).agg(F.count("*").alias("n"))
     published = t.edg().where("n > 1").withColumn("region", C.align_region("region"))
     return J.reconcile(raw, published, KEY3)
 
@@ -54,7 +53,7 @@ def anti_membership(t):
     for version in ("v2", "v3"):
         for end in ("pre", "post"):
             one = J.not_in_set(getattr(t, version)(), end, ids).agg(
-                F.lit(version).alias("version"), F.lit(end).alias("direction"), F.count(ONE).alias("n_rows"))
+                F.lit(version).alias("version"), F.lit(end).alias("direction"), F.count("*").alias("n_rows"))
             out = one if out is None else out.union(one)
     return out
 
@@ -102,7 +101,7 @@ def in_subquery_or(t):
 def class_crosswalk(t):
     r = J.version_delta(t.r2(), t.r3(), KEY3).select(*PAIR, F.col("cls").alias("region_class"), "delta")
     p = J.version_delta(t.v2(), t.v3(), PAIR).select(*PAIR, F.col("cls").alias("pair_class"))
-    return r.join(p, PAIR).groupBy("pair_class", "region_class").agg(F.count(ONE).alias("n_rows"), F.sum("delta").alias("delta"))
+    return r.join(p, PAIR).groupBy("pair_class", "region_class").agg(F.count("*").alias("n_rows"), F.sum("delta").alias("delta"))
 
 
 UNION_SQL = """(SELECT coalesce(a.pre, b.pre) AS pre, coalesce(a.post, b.post) AS post, a.n AS n2, b.n AS n3
@@ -122,7 +121,7 @@ def version_union(t):
     SELECT cell_type, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS weight FROM pairs JOIN nod ON pre = id GROUP BY 1""")
 def join_checked(t):
     df = J.join_checked(t.pairs(), t.nod().withColumnRenamed("id", "pre"), ["pre"], "inner", "many_to_one")
-    return df.groupBy("cell_type").agg(F.count(ONE).alias("n_rows"), F.sum("n").alias("weight"))
+    return df.groupBy("cell_type").agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 
 XW = """(SELECT DISTINCT old_id, id AS new_id, method FROM (
@@ -167,7 +166,7 @@ def resolve_ids(t):
            AS n_ambiguous, count(DISTINCT new_id) AS n_ids FROM {CAND} c GROUP BY 1""")
 def resolution_coverage(t):
     return J.resolution_candidates(_requests(t), _crosswalk(t), METHODS).groupBy("method").agg(
-        F.count(ONE).alias("n_requests"), F.count_if("is_unique").alias("n_unique"),
+        F.count("*").alias("n_requests"), F.count_if("is_unique").alias("n_unique"),
         F.count_if(~F.col("is_unique")).alias("n_ambiguous"), F.count_distinct("new_id").alias("n_ids"))
 
 
@@ -197,13 +196,13 @@ def exact_site_matches(t):
 def index_id_consistency(t):
     """Position named by a label must be the position stored as a number."""
     nation = t.read("nation")
-    c = t.read("customer").groupBy(F.col("c_nationkey").alias("ci")).agg(F.count(ONE).alias("cw"))
-    s = t.read("supplier").groupBy(F.col("s_nationkey").alias("si")).agg(F.count(ONE).alias("sw")).join(
+    c = t.read("customer").groupBy(F.col("c_nationkey").alias("ci")).agg(F.count("*").alias("cw"))
+    s = t.read("supplier").groupBy(F.col("s_nationkey").alias("si")).agg(F.count("*").alias("sw")).join(
         nation, F.col("si") == F.col("n_nationkey"))
     c = c.join(nation.select(F.col("n_nationkey").alias("ck")), F.col("ci") == F.col("ck"))
     hit = c.join(s, F.concat(F.lit("NATION_"), F.col("ci").cast("string")) == F.col("n_name"))
     return hit.groupBy((F.col("ci") == F.col("si")).alias("same_id")).agg(
-        F.count(ONE).alias("n"), F.sum(F.abs(F.col("cw") - F.col("sw"))).alias("weight_gap"))
+        F.count("*").alias("n"), F.sum(F.abs(F.col("cw") - F.col("sw"))).alias("weight_gap"))
 
 
 @query("graph_equality", "pairs edg", """
@@ -212,7 +211,7 @@ def index_id_consistency(t):
     FROM pairs a FULL JOIN (SELECT pre, post, sum(n) AS n FROM edg GROUP BY 1, 2) b ON a.pre = b.pre AND a.post = b.post""")
 def graph_equality(t):
     d = J.version_delta(t.pairs(), t.edg().groupBy(*PAIR).agg(F.sum("n").alias("n")), PAIR)
-    return d.agg(F.count(ONE).alias("n_pairs"), F.count_if(F.col("cls").startswith("only")).alias("one_sided"),
+    return d.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("cls").startswith("only")).alias("one_sided"),
                  F.count_if(F.col("cls") == "both_different").alias("unequal"))
 
 
@@ -230,7 +229,7 @@ def type_pair_recurrence(t):
     e = J.enrich_endpoints(known, nod, ["cell_type"])
     ref = J.enrich_endpoints(J.both_in_set(t.v2().where("n >= 6"), nod.select("id")), nod, ["cell_type"])
     support = ref.where("pre_cell_type <> '' AND post_cell_type <> ''").groupBy("pre_cell_type", "post_cell_type").agg(
-        F.count(ONE).alias("_s"))
+        F.count("*").alias("_s"))
     status = C.first_match([
         (F.expr("pre_cell_type = '' OR post_cell_type = ''"), F.lit("type_unknown")),
         (F.col("_s").isNull(), F.lit("type_pair_new"))], F.lit("type_pair_recurs"))
@@ -245,7 +244,7 @@ def type_pair_recurrence(t):
 def claims_attach(t):
     attached = J.attach_claims(t.claims(), t.read("customer").select("c_custkey"))
     return attached.groupBy("source_id").agg(
-        F.count(ONE).alias("n_claims"), F.count_if("exact_match").alias("n_matched"),
+        F.count("*").alias("n_claims"), F.count_if("exact_match").alias("n_matched"),
         F.count_if(~F.col("exact_match")).alias("n_unmatched"), F.count_distinct("root_id").alias("n_ids"))
 
 
@@ -255,7 +254,7 @@ def claims_attach(t):
     ON c_custkey = o_custkey""")
 def profile_join(t):
     profile = t.read("orders").groupBy(F.col("o_custkey").alias("id")).agg(
-        F.count(ONE).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("forced"))
+        F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("forced"))
     ids = t.read("customer").select(F.col("c_custkey").alias("id"))
     return J.join_checked(ids, profile, ["id"], "inner", "one_to_one").withColumn("non_forced", F.col("total") - F.col("forced"))
 
@@ -271,10 +270,10 @@ def profile_join(t):
 def cross_source_summary(t):
     strong = t.pairs().where("n >= 12")
     sources = {
-        "n_out": strong.groupBy(F.col("pre").alias("id")).agg(F.count(ONE).alias("n_out")),
-        "n_in": strong.groupBy(F.col("post").alias("id")).agg(F.count(ONE).alias("n_in")),
-        "n_claims": t.claims().groupBy((F.col("root_id") - 100).alias("id")).agg(F.count(ONE).alias("n_claims")),
-        "n_samples": t.smp().where("spike = 1").groupBy("id").agg(F.count(ONE).alias("n_samples")),
+        "n_out": strong.groupBy(F.col("pre").alias("id")).agg(F.count("*").alias("n_out")),
+        "n_in": strong.groupBy(F.col("post").alias("id")).agg(F.count("*").alias("n_in")),
+        "n_claims": t.claims().groupBy((F.col("root_id") - 100).alias("id")).agg(F.count("*").alias("n_claims")),
+        "n_samples": t.smp().where("spike = 1").groupBy("id").agg(F.count("*").alias("n_samples")),
     }
     df = t.nod().select("id")
     for source in sources.values():
@@ -298,7 +297,7 @@ def side_audit(t):
         F.when(F.col("s_acctbal") < 0, None).when(F.col("s_acctbal") < 5000, "left").otherwise("right").alias("c"))
     df = t.nod().join(other, "id").select(C.match_status("side", "b").alias("a_b"), C.match_status("b", "c").alias("b_c"))
     return df.withColumn("first_opposes_both", F.expr("a_b = 'different' AND b_c = 'same'")).groupBy(
-        "a_b", "b_c", "first_opposes_both").agg(F.count(ONE).alias("n"))
+        "a_b", "b_c", "first_opposes_both").agg(F.count("*").alias("n"))
 
 
 @query("peer_cohort", "nod pairs", """
@@ -343,7 +342,7 @@ def map_coverage(t):
     df = t.read("customer").join(t.nod(), F.col("c_custkey") == F.col("id"), "left")
     status = C.first_match([(F.col("id").isNull(), F.lit("unmapped")), (F.col("side") == side, F.lit("mapped_same_side"))],
                            F.lit("mapped_no_same_side"))
-    return df.groupBy(F.col("c_mktsegment").alias("segment"), status.alias("status")).agg(F.count(ONE).alias("n_rows"))
+    return df.groupBy(F.col("c_mktsegment").alias("segment"), status.alias("status")).agg(F.count("*").alias("n_rows"))
 
 
 DEG_SQL = """(SELECT id, super_class, side, (SELECT count(*) FROM pairs WHERE pre = id AND n >= 7) AS od,
@@ -381,7 +380,7 @@ def filtered_consistency(t):
     strong = t.pairs().where("n >= 5")
     export = full.join(strong.select(*PAIR), PAIR, "left_semi")
     cmp = export.withColumnRenamed("n", "n_x").join(full, KEY3, "left").agg(
-        F.count(ONE).alias("n_filtered_rows"), F.count_if(F.col("n").isNull()).alias("n_not_in_full"),
+        F.count("*").alias("n_filtered_rows"), F.count_if(F.col("n").isNull()).alias("n_not_in_full"),
         F.count_if(F.col("n") != F.col("n_x")).alias("n_wrong_count"))
     totals = full.groupBy(*PAIR).agg(F.sum("n").alias("n")).where("n >= 5")
     pairs = totals.join(export.select(*PAIR).distinct().withColumn("here", F.lit(True)), PAIR, "left").agg(
@@ -404,7 +403,7 @@ def key_union_compare(t):
 def absence_check(t):
     weak = t.v3().where("n = 1").select(*PAIR)
     present = weak.join(t.v2().select(*PAIR, F.lit(True).alias("here")), PAIR, "left")
-    return present.agg(F.count(ONE).alias("n_keys"), F.count("here").alias("n_present"))
+    return present.agg(F.count("*").alias("n_keys"), F.count("here").alias("n_present"))
 
 
 @query("endpoint_explode", "edg nod", """

@@ -6,11 +6,10 @@ from tractum.catalog.base import query
 from tractum.functions import columns as C
 from tractum.functions import udfs as U
 
-ONE = F.lit(1)
 
 
 def _n(df, *keys):
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 @query("str_clean", "", """
@@ -165,7 +164,7 @@ def map_lookup(t):
     SELECT label, count(*) AS n_values, min(score) AS lowest, max(score) AS highest FROM mat JOIN embeddings ON row_id = vec_id GROUP BY 1""")
 def array_flatten(t):
     df = t.read("embeddings").select("label", F.explode("embedding").alias("_s")).select("label", F.col("_s").cast("double").alias("s"))
-    return df.groupBy("label").agg(F.count(ONE).alias("n_values"), F.min("s").alias("lowest"), F.max("s").alias("highest"))
+    return df.groupBy("label").agg(F.count("*").alias("n_values"), F.min("s").alias("lowest"), F.max("s").alias("highest"))
 
 
 @query("udf_scalar", "", _FNV_SQL.replace(", v % 8 AS phase", ""))
@@ -188,7 +187,7 @@ def udaf_string(t):
     WHERE v > coalesce(a, -1) AND v >= coalesce(b, -1) GROUP BY 1""")
 def udf_grouped_map(t):
     """Local maxima of each id's daily counts: a group is one row per day."""
-    daily = t.smp().groupBy("id", F.expr("t_ms div 86400000").alias("t")).agg(F.count(ONE).alias("v"))
+    daily = t.smp().groupBy("id", F.expr("t_ms div 86400000").alias("t")).agg(F.count("*").alias("v"))
     return daily.groupBy("id").applyInPandas(U.peaks, "id long, n_peaks long, first_peak long, last_peak long")
 
 
@@ -199,4 +198,4 @@ def udtf_path_edges(t):
     """Endpoint rows from a Python table function, joined laterally."""
     ends = U.EndpointRows(F.col("pre").outer(), F.col("post").outer())
     rows = t.edg().lateralJoin(ends)
-    return rows.groupBy("region", "role").agg(F.count(ONE).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    return rows.groupBy("region", "role").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))

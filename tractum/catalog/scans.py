@@ -21,7 +21,7 @@ def scan_feather(t):
     path = _scratch(t, "feather")
     write_feather(t.pts().select("pre", "post", "region", "size"), path).agg(F.sum("n_rows")).first()
     df = read_feather(t.spark, path, ["pre", "size"])
-    return df.groupBy("pre").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total_size"))
+    return df.groupBy("pre").agg(F.count("*").alias("n"), F.sum("size").alias("total_size"))
 
 
 @query("scan_parquet_project", "", """
@@ -29,7 +29,7 @@ def scan_feather(t):
     FROM lineitem GROUP BY 1""")
 def scan_parquet_project(t):
     df = t.read("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("long").alias("q"))
-    return df.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("quantity"))
+    return df.groupBy("flag").agg(F.count("*").alias("n"), F.sum("q").alias("quantity"))
 
 
 @query("scan_parquet_isin", "", """
@@ -39,7 +39,7 @@ def scan_parquet_isin(t):
     df = t.read("orders").where(
         F.col("o_custkey").isin(1, 4, 7, 9, 25, 60, 61) & F.col("o_orderpriority").isin("1-URGENT", "5-LOW")
     )
-    return df.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
 
 
 @query("scan_csv_typed", "edg", """
@@ -50,7 +50,7 @@ def scan_csv_typed(t):
     tables.write_delimited(t.edg(), path, ["pre", "post", "region", "n"], sep="\t")
     df = tables.read_delimited(t.spark, path, "pre LONG, post LONG, region STRING, n LONG", sep="\t")
     return df.groupBy("region").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("weight"), F.min("pre").alias("min_pre"),
+        F.count("*").alias("n_rows"), F.sum("n").alias("weight"), F.min("pre").alias("min_pre"),
         F.max("post").alias("max_post"),
     )
 
@@ -59,10 +59,10 @@ def scan_csv_typed(t):
     SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_ids, min(o_custkey) AS first_id, max(o_custkey) AS last_id,
            CAST(count(*) - count(DISTINCT o_custkey) AS BIGINT) AS n_repeats FROM orders""")
 def node_universe(t):
-    ids = t.read("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = t.read("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
     return ids.agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"), (F.sum("n") - F.count(F.lit(1))).alias("n_repeats"),
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"), F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"), (F.sum("n") - F.count("*")).alias("n_repeats"),
     )
 
 
@@ -71,7 +71,7 @@ def node_universe(t):
     FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) e GROUP BY 1, 2""")
 def json_map_explode(t):
     entries = tables.json_entries(t.read("events").select("event_type", "props"), "props", "bigint")
-    return entries.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("entry").alias("total"))
+    return entries.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.sum("entry").alias("total"))
 
 
 # The column sets that identify a layout.
@@ -92,7 +92,7 @@ def schema_dispatch(t):
     for name in ("lineitem", "orders", "events"):
         df = t.read(name)
         layout = tables.dispatch(df, LAYOUTS)
-        one = df.agg(F.lit(layout).alias("layout"), F.count(F.lit(1)).alias("n_rows"),
+        one = df.agg(F.lit(layout).alias("layout"), F.count("*").alias("n_rows"),
                      F.count_distinct(id_of[layout]).alias("n_ids"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -125,7 +125,7 @@ def schema_inventory(t):
 @query("sink_parquet_roundtrip", "edg", """
     SELECT region, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS weight FROM edg GROUP BY region""")
 def sink_parquet_roundtrip(t):
-    return stage(t.edg()).groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("weight"))
+    return stage(t.edg()).groupBy("region").agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 
 @query("sink_csv_roundtrip", "edg", """
@@ -138,7 +138,7 @@ def sink_csv_roundtrip(t):
     back = tables.read_delimited(t.spark, path, "pre_id STRING, post LONG, n LONG")
     exact = back.withColumn("id", id_from_text("pre_id"))
     return exact.groupBy(F.col("id").cast("string").alias("pre_id")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("weight")
+        F.count("*").alias("n_rows"), F.sum("n").alias("weight")
     )
 
 
@@ -147,7 +147,7 @@ def sink_csv_roundtrip(t):
            || ',"total_size":' || sum(size) || '}' AS audit FROM pts""")
 def audit_json(t):
     return tables.audit_json(t.pts().agg(
-        F.count(F.lit(1)).alias("n_points"), F.count_if(F.expr("pre = post")).alias("n_self"),
+        F.count("*").alias("n_points"), F.count_if(F.expr("pre = post")).alias("n_self"),
         F.sum("size").alias("total_size"),
     ))
 
@@ -157,7 +157,7 @@ def audit_json(t):
 def stage_reuse(t):
     tables.named_stage(t.edg(), "edges")
     again = tables.named_stage(t.edg(), "edges")  # the second call reads what the first wrote
-    return again.groupBy("pre").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("weight"))
+    return again.groupBy("pre").agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 
 @query("file_manifest")

@@ -47,12 +47,12 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
                     WHEN o_orderkey % 61 = 0 THEN o_orderkey + 1000000000000
                     ELSE CAST(floor(o_orderkey / 64) AS BIGINT) * 64
                          + CAST(floor((o_orderkey % 64) / 2) AS BIGINT) END AS parent_id,
-               o_totalprice / 10 AS x, o_custkey * 100.0 AS y, (o_orderkey % 1000) * 50.0 AS z,
-               (o_custkey % 50) / 10.0 AS radius
+               o_totalprice / 10 AS x, o_custkey * 100.0::DOUBLE AS y, (o_orderkey % 1000) * 50.0::DOUBLE AS z,
+               (o_custkey % 50) / 10.0::DOUBLE AS radius
         FROM orders"""),
     "sites": ("", """
         SELECT CAST(floor(l_orderkey / 64) AS BIGINT) AS neuron, l_orderkey AS okey, l_linenumber AS ln,
-               l_extendedprice / 2 AS x, l_partkey * 50.0 AS y, l_quantity * 1000.0 AS z
+               l_extendedprice / 2 AS x, l_partkey * 50.0::DOUBLE AS y, l_quantity * 1000.0::DOUBLE AS z
         FROM lineitem"""),
     "claims": ("", """
         SELECT o_orderkey AS claim_id, o_custkey + 100 AS root_id, o_orderpriority AS source_id,
@@ -85,7 +85,7 @@ class Tables:
 
     def pts(self) -> DataFrame:
         li = self.read("lineitem")
-        n_nodes = self.read("supplier").agg(F.count(F.lit(1))).scalar()
+        n_nodes = self.read("supplier").agg(F.count("*")).scalar()
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         region = F.when((flag == "N") & (status == "F"), "None").otherwise(
             F.concat(flag, F.when(status == "F", "_L").otherwise("_R"))
@@ -102,7 +102,7 @@ class Tables:
         )
 
     def _count(self, *keys: str, where: str = "true") -> DataFrame:
-        return self.pts().where(where).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return self.pts().where(where).groupBy(*keys).agg(F.count("*").alias("n"))
 
     def edg(self) -> DataFrame:
         return self._count("pre", "post", "region")

@@ -11,7 +11,6 @@ from tractum.operators import sets as S
 from tractum.operators.graph import connected_nodes as endpoints
 from tractum.operators.ordered import lag_within, rank_within, top_k, trailing_sum, upper_median as positional_median, weighted_decay
 
-ONE = F.lit(1)
 
 
 @query("rank_in_group", "edg", """
@@ -62,7 +61,7 @@ def trailing_rate(t):
 def inter_event_interval(t):
     df = lag_within(t.smp().where("spike = 1").select("id", "t_ms", "event_id"), ["id"], ["t_ms", "event_id"], ["t_ms"])
     gaps = df.withColumn("gap", F.col("t_ms") - F.col("prev_t_ms")).groupBy("id").agg(
-        F.count(ONE).alias("n_events"), F.count("gap").alias("n_gaps"), F.sum("gap").alias("total_gap"),
+        F.count("*").alias("n_events"), F.count("gap").alias("n_gaps"), F.sum("gap").alias("total_gap"),
         F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
     mean = C.safe_ratio("total_gap", "n_gaps")
     return gaps.withColumn("mean_gap_ms", mean).withColumn("frequency_hz", F.try_divide(F.lit(1000.0), mean))
@@ -136,7 +135,7 @@ def stratified_sample(t):
 @query("stratified_classes", "", """
     SELECT c_mktsegment AS category, count(*) AS n_full, count(*) <= 280 AS kept_whole FROM customer GROUP BY 1""")
 def stratified_classes(t):
-    sizes = t.read("customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count(ONE).alias("n_full"))
+    sizes = t.read("customer").groupBy(F.col("c_mktsegment").alias("category")).agg(F.count("*").alias("n_full"))
     return sizes.withColumn("kept_whole", F.col("n_full") <= 280)
 
 
@@ -150,7 +149,7 @@ def connected_nodes(t):
      (SELECT 'v2' AS version, region, n, NULL AS extra FROM r2 UNION ALL SELECT 'v3', region, n, 1 FROM r3) u GROUP BY 1, 2""")
 def union_labelled(t):
     u = S.union_labelled({"v2": t.r2(), "v3": t.r3().withColumn("extra", F.lit(1).cast("long"))}, "version")
-    return u.groupBy("version", "region").agg(F.count(ONE).alias("n_rows"), F.sum("n").alias("weight"), F.sum("extra").alias("extra"))
+    return u.groupBy("version", "region").agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"), F.sum("extra").alias("extra"))
 
 
 @query("set_diff", "pairs nod", """
@@ -194,5 +193,5 @@ def distinct_rows(t):
     UNION ALL SELECT 'incoming', post, count(*), CAST(sum(n) AS BIGINT) FROM pairs GROUP BY 2""")
 def union_directions(t):
     def side(end):
-        return t.pairs().groupBy(F.col(end).alias("id")).agg(F.count(ONE).alias("n_partners"), F.sum("n").alias("contacts"))
+        return t.pairs().groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n_partners"), F.sum("n").alias("contacts"))
     return S.union_labelled({"outgoing": side("pre"), "incoming": side("post")}, "direction")

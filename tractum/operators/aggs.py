@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from tractum.operators.joins import mark
 from tractum.operators.ordered import rank_within
 
-ONE = F.lit(1)
 
 
 def exact_mean(c: str, digits: int = 4) -> Column:
@@ -21,11 +20,11 @@ def exact_mean(c: str, digits: int = 4) -> Column:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(ONE).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(column))
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(column))
 
 
 def weighted_counts(df: DataFrame, keys: Sequence[str], weight: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n_rows"), F.sum(weight).alias("weight"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(weight).alias("weight"))
 
 
 def column_stats(df: DataFrame, domains: Mapping[str, tuple[float, float]]) -> DataFrame:
@@ -99,7 +98,7 @@ def distinct_endpoints(edges: DataFrame, universe: DataFrame) -> DataFrame:
     return mark(ids, "id", universe, "known").agg(
         F.sum("as_pre").alias("n_pre"),
         F.sum("as_post").alias("n_post"),
-        F.count(ONE).alias("n_any"),
+        F.count("*").alias("n_any"),
         F.count_if("known").alias("n_in_universe"),
     )
 
@@ -110,7 +109,7 @@ def threshold_counts(df: DataFrame, keys: Sequence[str], column: str, limits: Se
         return F.col(column) <= limit if below else F.col(column) >= limit
 
     aggs = [F.count_if(holds(x)).alias(f"{prefix}{x}") for x in limits]
-    return df.groupBy(*keys).agg(F.count(ONE).alias("n_rows"), *aggs, F.max(column).alias("largest"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), *aggs, F.max(column).alias("largest"))
 
 
 def distinct_text(df: DataFrame, keys: Sequence[str], label: str, name: str, sep: str = ";") -> DataFrame:
@@ -122,7 +121,7 @@ def distinct_text(df: DataFrame, keys: Sequence[str], label: str, name: str, sep
 
 def histogram_text(df: DataFrame, keys: Sequence[str], label: str, name: str, weight: Column | None = None) -> DataFrame:
     """``label:count;...`` by descending count, then label."""
-    counts = df.groupBy(*keys, label).agg((F.count(ONE) if weight is None else F.sum(weight)).alias("_n"))
+    counts = df.groupBy(*keys, label).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     parts = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("neg"), F.col(label).alias("label"))))
     text = F.transform(parts, lambda p: F.concat(p["label"], F.lit(":"), (-p["neg"]).cast("string")))
     return counts.groupBy(*keys).agg(F.array_join(text, ";").alias(name))
@@ -130,7 +129,7 @@ def histogram_text(df: DataFrame, keys: Sequence[str], label: str, name: str, we
 
 def dominant(df: DataFrame, keys: Sequence[str], label: str, weight: Column | None = None) -> DataFrame:
     """Label with the largest count; ties go to the smallest label."""
-    counts = df.groupBy(*keys, label).agg((F.count(ONE) if weight is None else F.sum(weight)).alias("_n"))
+    counts = df.groupBy(*keys, label).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     best = F.min(F.struct((-F.col("_n")).alias("neg"), F.col(label).alias("label")))
     return counts.groupBy(*keys).agg(best.alias("_b")).select(
         *keys, F.col("_b.label").alias("dominant"), (-F.col("_b.neg")).alias("n")
@@ -146,7 +145,7 @@ def chunked_list(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     items = F.array_sort(F.collect_list(F.struct(F.col("_rank").alias("r"), item.alias("v"))))
     values = F.transform(items, lambda p: p["v"])
     out = values if sep is None else F.array_join(F.transform(values, lambda v: v.cast("string")), sep)
-    return numbered.groupBy(*keys, "chunk").agg(F.count(ONE).alias("n_items"), out.alias(name))
+    return numbered.groupBy(*keys, "chunk").agg(F.count("*").alias("n_items"), out.alias(name))
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, share: str) -> DataFrame:
@@ -157,14 +156,14 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, s
 
 
 def group_size(df: DataFrame, keys: Sequence[str], name: str, distinct: str | None = None) -> DataFrame:
-    sizes = df.groupBy(*keys).agg((F.count(ONE) if distinct is None else F.count_distinct(distinct)).alias(name))
+    sizes = df.groupBy(*keys).agg((F.count("*") if distinct is None else F.count_distinct(distinct)).alias(name))
     return df.join(sizes, list(keys))
 
 
 def degrees(edges: DataFrame, universe: DataFrame) -> DataFrame:
     """Out/in degree and weight of every node of the universe, 0 where none."""
-    out = edges.groupBy(F.col("pre").alias("id")).agg(F.count(ONE).alias("out_degree"), F.sum("n").alias("out_weight"))
-    inn = edges.groupBy(F.col("post").alias("id")).agg(F.count(ONE).alias("in_degree"), F.sum("n").alias("in_weight"))
+    out = edges.groupBy(F.col("pre").alias("id")).agg(F.count("*").alias("out_degree"), F.sum("n").alias("out_weight"))
+    inn = edges.groupBy(F.col("post").alias("id")).agg(F.count("*").alias("in_degree"), F.sum("n").alias("in_weight"))
     names = ["out_degree", "out_weight", "in_degree", "in_weight"]
     return universe.toDF("id").distinct().join(out, "id", "left").join(inn, "id", "left").fillna(0, names)
 
@@ -176,7 +175,7 @@ def condition_pivot(df: DataFrame, key: str, condition: str, value: str, conditi
 def type_rollup(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edges.groupBy(*keys).agg(
         F.sum("n").alias("contacts"),
-        F.count(ONE).alias("n_pairs"),
+        F.count("*").alias("n_pairs"),
         F.count_distinct("pre").alias("n_sources"),
         F.count_distinct("post").alias("n_partners"),
     )

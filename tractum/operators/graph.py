@@ -21,7 +21,7 @@ def drop_accounting(edges: DataFrame, universe: DataFrame, min_weight: int = 1)
         .when(F.col("n") < min_weight, "low_weight")
         .otherwise("kept")
     )
-    return marked.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("weight"))
+    return marked.groupBy(reason.alias("reason")).agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 
 def build_graph(edges: DataFrame, universe: DataFrame, channels: Sequence[str], min_weight: int = 1) -> DataFrame:
@@ -95,9 +95,9 @@ def reachability(hops: DataFrame, groups: DataFrame, max_hops: int = 4) -> DataF
     """Per (group, target, min_n): inputs reached at each hop count and not at
     all.  ``groups``: id, grp.  Unreached inputs are group size minus reached,
     so unreached pairs are never materialised."""
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("inputs"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("inputs"))
     aggs = [F.count_if(F.col("hops") == h).alias(f"hops_{h}") for h in range(1, max_hops + 1)]
-    hit = hops.join(groups, "id").groupBy("grp", "target", "min_n").agg(F.count(F.lit(1)).alias("_reached"), *aggs)
+    hit = hops.join(groups, "id").groupBy("grp", "target", "min_n").agg(F.count("*").alias("_reached"), *aggs)
     return hit.join(sizes, "grp").withColumn("unreached", F.col("inputs") - F.col("_reached")).drop("_reached")
 
 
@@ -152,7 +152,7 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, k: int, weig
 
 def top_mediator(two_edge_paths: DataFrame) -> DataFrame:
     """The mid on most paths per source; ties go to the smallest id."""
-    counts = two_edge_paths.groupBy("source", "mid").agg(F.count(F.lit(1)).alias("n_paths"))
+    counts = two_edge_paths.groupBy("source", "mid").agg(F.count("*").alias("n_paths"))
     best = F.min(F.struct((-F.col("n_paths")).alias("neg"), F.col("mid").alias("mid")))
     return counts.groupBy("source").agg(best.alias("b")).select(
         "source", F.col("b.mid").alias("mid"), (-F.col("b.neg")).alias("n_paths")
@@ -164,9 +164,9 @@ def ablate(two_edge_paths: DataFrame, removals: DataFrame) -> DataFrame:
 
     ``removals``: source, condition, node.  Gives, per (source, condition),
     the paths and targets before and after, and the targets lost."""
-    per_target = two_edge_paths.groupBy("source", "target").agg(F.count(F.lit(1)).alias("_paths"))
+    per_target = two_edge_paths.groupBy("source", "target").agg(F.count("*").alias("_paths"))
     before = per_target.groupBy("source").agg(
-        F.sum("_paths").alias("paths_before"), F.count(F.lit(1)).alias("targets_before")
+        F.sum("_paths").alias("paths_before"), F.count("*").alias("targets_before")
     )
     # Only removed paths are joined: those whose mid or target is the node,
     # and every path of a source that is itself removed.
@@ -176,7 +176,7 @@ def ablate(two_edge_paths: DataFrame, removals: DataFrame) -> DataFrame:
     hit_source = counted.join(removals.where("source = node").drop("node"), "source")
     columns = ["source", "condition", "mid", "target"]
     removed = hit_mid.select(columns).union(hit_target.select(columns)).union(hit_source.select(columns)).distinct()
-    gone = removed.groupBy("source", "condition", "target").agg(F.count(F.lit(1)).alias("_gone"))
+    gone = removed.groupBy("source", "condition", "target").agg(F.count("*").alias("_gone"))
     lost = gone.join(per_target, ["source", "target"]).groupBy("source", "condition").agg(
         F.sum("_gone").alias("_paths_gone"), F.count_if(F.col("_gone") == F.col("_paths")).alias("targets_lost")
     )

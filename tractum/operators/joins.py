@@ -158,8 +158,8 @@ def resolve_ids(requests: DataFrame, crosswalk: DataFrame, priorities: Sequence[
 def exact_site_matches(a: DataFrame, b: DataFrame, keys: Sequence[str], coordinates: Sequence[str]) -> DataFrame:
     """Per key: sum of min(count_a, count_b) over identical coordinate tuples."""
     full = [*keys, *coordinates]
-    ca = a.groupBy(*full).agg(F.count(F.lit(1)).alias("_na"))
-    cb = b.groupBy(*full).agg(F.count(F.lit(1)).alias("_nb"))
+    ca = a.groupBy(*full).agg(F.count("*").alias("_na"))
+    cb = b.groupBy(*full).agg(F.count("*").alias("_nb"))
     return ca.join(cb, full).groupBy(*keys).agg(F.sum(F.least("_na", "_nb")).alias("exact_sites"))
 
 

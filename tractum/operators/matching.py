@@ -60,14 +60,14 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
     cell = [*strata, "cid"]
     shape = [*strata, "in_degree", "out_degree"]
     members = candidates.select("id", *shape)
-    cells = stage(members.groupBy(*shape).agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("room")))
+    cells = stage(members.groupBy(*shape).agg(F.min("id").alias("cid"), F.count("*").alias("room")))
     unplaced = stage(sources.select(F.col("id").alias("source"), *shape))
     everyone, placed = unplaced, None
     for _ in range(max_rounds):
         open_to = F.lit(_ANYONE)
         offered = cells
         if placed is not None:
-            taken = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_held"), F.max("source").alias("_last"))
+            taken = placed.groupBy(*cell).agg(F.count("*").alias("_held"), F.max("source").alias("_last"))
             offered = cells.join(taken, cell, "left")
             open_to = F.when(F.col("_held") >= F.col("room"), F.col("_last")).otherwise(F.lit(_ANYONE))
         offered = _anchored(offered.select(*shape, "cid", open_to.alias("open_to"))).withColumnRenamed("cid", "cell_id")

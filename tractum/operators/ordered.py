@@ -62,7 +62,7 @@ class Ordered:
             return F.sum("_own").over(before.rowsBetween(Window.unboundedPreceding, -1))
 
         own = F.row_number().over(self.window).cast("long")
-        df = self._with_carry(F.count(F.lit(1)), combine)
+        df = self._with_carry(F.count("*"), combine)
         return self._clean(df.withColumn(name, own + F.coalesce(F.col("_carry"), F.lit(0))))
 
     def running_sum(self, value: str, name: str) -> DataFrame:
@@ -113,7 +113,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions:
     the running count, so no task holds a whole group's values.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cum = Ordered(counted, keys, [value]).running_sum("_n", "_upto")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:
@@ -141,7 +141,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions:
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
     """The value at 0-based position n div 2 of each key's sorted values."""
     keys = list(keys)
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cum = Ordered(counted, keys, [value]).running_sum("_n", "_upto")
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n"))
     middle = F.expr("n div 2")
@@ -160,7 +160,7 @@ def weighted_decay(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     ranked = rank_within(df, keys, newest_first, "_age")
     weight = F.lit(smoothing) * F.pow(F.lit(1.0 - smoothing), F.col("_age") - 1)
     return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.sum(weight * F.col(value)).alias(name)
+        F.count("*").alias("n_samples"), F.sum(weight * F.col(value)).alias(name)
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tractum.functions.columns import fnv1a
 
-ONE = F.lit(1)
 
 
 def union_labelled(frames: Mapping[str, DataFrame], label: str) -> DataFrame:
@@ -56,6 +55,6 @@ def stratified_sample(df: DataFrame, category: str, id_column: str, full_limit:
     """All rows of classes with at most ``full_limit`` rows; of larger classes
     those whose id hashes to 0 modulo ``stride``.  The class sizes are a small
     aggregate joined back; the rows themselves are not shuffled by class."""
-    sizes = df.groupBy(category).agg(F.count(ONE).alias("_size"))
+    sizes = df.groupBy(category).agg(F.count("*").alias("_size"))
     keep = (F.col("_size") <= full_limit) | (fnv1a(id_column) % stride == 0)
     return df.join(sizes, category).where(keep).drop("_size")

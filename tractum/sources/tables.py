@@ -56,7 +56,7 @@ def schema_inventory(df: DataFrame, table: str) -> DataFrame:
     rows = [
         F.struct(
             F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"),
-            F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("n_rows"),
+            F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("n_rows"),
             F.count_if(F.col(f.name).isNull()).alias("n_nulls"),
         )
         for f in df.schema.fields
@@ -97,7 +97,7 @@ def scan_totals(df: DataFrame, weight: Column, fraction: float | None = None, se
     a partial scan states no totals."""
     scanned = df if fraction is None else df.sample(fraction, seed)
     complete = F.lit(fraction is None)
-    totals = scanned.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(weight).alias("weight"))
+    totals = scanned.agg(F.count("*").alias("n_rows"), F.sum(weight).alias("weight"))
     return totals.select(
         complete.alias("complete"), F.when(complete, F.col("n_rows")).alias("n_rows"),
         F.when(complete, F.col("weight")).alias("weight"),
