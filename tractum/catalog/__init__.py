@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "columns", "joins", "aggs", "windows", "scalars", "graphs", "geometry", "reviews", "registry")
+MODULES = ("scans", "columns", "joins", "aggs", "windows", "scalars", "graphs", "geometry", "reviews", "registry", "streams")
 
 
 def load():

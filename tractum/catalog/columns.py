@@ -262,30 +262,30 @@ def mapping_status(t):
 
 TIERS_SRC = """(SELECT nod.id, count(*) FILTER (WHERE region = 'None') AS raw_rows, count(*) FILTER (WHERE n = 1) AS seg_rows,
                 count(*) FILTER (WHERE n >= 3) AS strong_rows, count(pre) AS all_rows, max(cell_type) AS cell_type
-                FROM nod LEFT JOIN edg ON edg.pre = nod.id AND edg.post < 50 GROUP BY nod.id)"""
+                FROM nod LEFT JOIN edg ON edg.pre = nod.id GROUP BY nod.id)"""
 
 
 def _tier_rows(t):
-    e = t.edg().where("post < 50").withColumnRenamed("pre", "id")
+    e = t.edg().withColumnRenamed("pre", "id")
     return t.nod().join(e, "id", "left").groupBy("id").agg(
         F.count_if(F.col("region") == "None").alias("raw_rows"), F.count_if(F.col("n") == 1).alias("seg_rows"),
         F.count_if(F.col("n") >= 3).alias("strong_rows"), F.count("post").alias("all_rows"), F.max("cell_type").alias("cell_type"))
 
 
 @query("evidence_tier", "edg nod", f"""
-    SELECT id, CASE WHEN raw_rows > 10 THEN 'A_raw_exception' WHEN seg_rows > 0 THEN 'B_segment_contact'
+    SELECT id, CASE WHEN raw_rows > 70 THEN 'A_raw_exception' WHEN seg_rows > 220 THEN 'B_segment_contact'
            WHEN cell_type <> '' THEN 'C_type_only' ELSE 'no_released_support' END AS tier FROM {TIERS_SRC} s""")
 def evidence_tier(t):
-    tier = R.evidence_tier(F.col("raw_rows") > 10, F.col("seg_rows") > 0, F.col("cell_type") != "")
+    tier = R.evidence_tier(F.col("raw_rows") > 70, F.col("seg_rows") > 220, F.col("cell_type") != "")
     return _tier_rows(t).select("id", tier.alias("tier"))
 
 
 @query("review_band", "edg nod", f"""
-    SELECT id, CASE WHEN raw_rows > 15 THEN 'point_exception' WHEN strong_rows > 5 THEN 'strong_export'
-           WHEN strong_rows > 0 THEN 'weak_pairs_only' WHEN seg_rows > 0 THEN 'segment_only'
+    SELECT id, CASE WHEN raw_rows > 72 THEN 'point_exception' WHEN strong_rows > 55 THEN 'strong_export'
+           WHEN strong_rows > 50 THEN 'weak_pairs_only' WHEN seg_rows > 230 THEN 'segment_only'
            WHEN all_rows > 0 THEN 'self_contacts_only' ELSE 'no_direct_points' END AS band FROM {TIERS_SRC} s""")
 def review_band(t):
-    band = R.review_band(F.col("raw_rows") > 15, F.col("strong_rows") > 5, F.col("strong_rows") > 0, F.col("seg_rows") > 0,
+    band = R.review_band(F.col("raw_rows") > 72, F.col("strong_rows") > 55, F.col("strong_rows") > 50, F.col("seg_rows") > 230,
                          F.col("all_rows") > 0)
     return _tier_rows(t).select("id", band.alias("band"))
 

@@ -345,28 +345,30 @@ def map_coverage(t):
     return df.groupBy(F.col("c_mktsegment").alias("segment"), status.alias("status")).agg(F.count("*").alias("n_rows"))
 
 
-DEG_SQL = """(SELECT id, super_class, side, (SELECT count(*) FROM pairs WHERE pre = id AND n >= 7) AS od,
+# Nodes of suppliers with a small balance play the stimulated sources.
+DEG_SQL = """(SELECT id, super_class, side, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AS is_source, (SELECT count(*) FROM pairs WHERE pre = id AND n >= 7) AS od,
               (SELECT count(*) FROM pairs WHERE post = id AND n >= 7) AS idg FROM nod)"""
 
 
 def _matching_nodes(t):
     d = A.degrees(t.pairs().where("n >= 7"), t.nod().select("id"))
-    return t.nod().select("id", "super_class", "side").join(d.select("id", "in_degree", "out_degree"), "id")
+    role = t.read("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 2000).alias("is_source"))
+    return t.nod().select("id", "super_class", "side").join(d.select("id", "in_degree", "out_degree"), "id").join(role, "id")
 
 
 @query("matched_control", "nod pairs", f"""
     SELECT id AS source, arg_min(cid, (score, cid)) AS control FROM (SELECT s.id, c.id AS cid,
        round(abs(ln(1 + s.idg) - ln(1 + c.idg)) + abs(ln(1 + s.od) - ln(1 + c.od)), 9) AS score
-     FROM {DEG_SQL} s JOIN {DEG_SQL} c ON s.super_class = c.super_class AND s.id % 5 = 0 AND c.id % 5 <> 0) q GROUP BY 1""")
+     FROM {DEG_SQL} s JOIN {DEG_SQL} c ON s.super_class = c.super_class AND s.is_source AND NOT c.is_source) q GROUP BY 1""")
 def matched_control(t):
     nodes = _matching_nodes(t)
-    return nearest_control(nodes.where("id % 5 = 0"), nodes.where("id % 5 <> 0"), ["super_class"]).select("source", "control")
+    return nearest_control(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class"]).select("source", "control")
 
 
 @query("matched_control_no_reuse")
 def matched_control_no_reuse(t):
     nodes = _matching_nodes(t)
-    return greedy_match(nodes.where("id % 5 = 0"), nodes.where("id % 5 <> 0"), ["super_class", "side"])
+    return greedy_match(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class", "side"])
 
 
 @query("filtered_consistency", "edg pairs", """

@@ -90,8 +90,8 @@ def dual_detector_review(t):
     return reviews.dual_detector_review(t.pts().where("ln <= 4"), t.pts().where("ln >= 3"), _typed(t), ["pre_x", "pre_z", "post_x"])
 
 
-EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n = 1 THEN 'raw' ELSE 'segment' END AS evidence FROM edg
-               WHERE (region = 'None' AND n = 1 AND post < 20) OR (post NOT IN {TYPED} AND pre % 3 <> 0))"""
+EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n >= 5 THEN 'raw' ELSE 'segment' END AS evidence FROM edg
+               WHERE (region = 'None' AND n >= 5) OR (post NOT IN {TYPED} AND n >= 4))"""
 
 
 @query("review_queue", "edg nod pairs", f"""
@@ -109,8 +109,8 @@ EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n = 1
 def review_queue(t):
     typed = _typed(t)
     rows = J.mark(t.edg(), "post", typed, "_typed")
-    raw = F.expr("region = 'None' AND n = 1")
-    rows = rows.where((raw & (F.col("post") < 20)) | (~F.col("_typed") & (F.col("pre") % 3 != 0))).select(
+    raw = F.expr("region = 'None' AND n >= 5")
+    rows = rows.where(raw | (~F.col("_typed") & (F.col("n") >= 4))).select(
         F.col("pre").alias("id"), "region", "n", F.when(raw, "raw").otherwise("segment").alias("evidence"))
     hypotheses = t.pairs().where("n >= 13").select(F.col("pre").alias("id"), F.col("n").alias("support"))
     return reviews.review_queue(t.nod().select("id"), rows, hypotheses)
