@@ -365,7 +365,15 @@ def matched_control(t):
     return nearest_control(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class"]).select("source", "control")
 
 
-@query("matched_control_no_reuse")
+@query("matched_control_no_reuse", "nod pairs", f"""
+    WITH RECURSIVE d AS (SELECT * FROM {DEG_SQL} x), c AS (SELECT *, min(id) OVER (PARTITION BY super_class, side, idg, od) AS cid FROM d WHERE NOT is_source),
+      s AS (SELECT *, row_number() OVER (PARTITION BY super_class, side ORDER BY id) AS k FROM d WHERE is_source),
+      g AS (SELECT DISTINCT super_class, side, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS source, CAST(NULL AS BIGINT) AS control, CAST([] AS BIGINT[]) AS used FROM s
+        UNION ALL SELECT g.super_class, g.side, g.k + 1, s.id, arg_min(c.id, (round(abs(ln(1 + s.idg) - ln(1 + c.idg)) + abs(ln(1 + s.od) - ln(1 + c.od)), 9), c.cid, c.id)),
+          list_append(g.used, arg_min(c.id, (round(abs(ln(1 + s.idg) - ln(1 + c.idg)) + abs(ln(1 + s.od) - ln(1 + c.od)), 9), c.cid, c.id)))
+        FROM g JOIN s ON s.super_class = g.super_class AND s.side = g.side AND s.k = g.k + 1
+        LEFT JOIN c ON c.super_class = g.super_class AND c.side = g.side AND NOT list_contains(g.used, c.id) GROUP BY g.super_class, g.side, g.k, s.id, g.used)
+    SELECT super_class, side, source, control FROM g WHERE control IS NOT NULL""")
 def matched_control_no_reuse(t):
     nodes = _matching_nodes(t)
     return greedy_match(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class", "side"])

@@ -126,10 +126,18 @@ def review_list(t):
     return J.enrich_endpoints(only, t.nod(), ["cell_type"]).orderBy(F.desc("n"), F.asc("pre"), F.asc("post"))
 
 
-@query("stratified_sample")
+_SAMPLE_SQL = """
+    WITH RECURSIVE h AS (SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS s, 0 AS i, CAST(2166136261 AS BIGINT) AS v FROM customer
+      UNION ALL SELECT id, s, i + 1, CAST((CAST(xor(v, ascii(substr(s, i + 1, 1))::BIGINT) AS HUGEINT) * 16777619) % 4294967296 AS BIGINT) FROM h WHERE i < length(s)),
+      k AS (SELECT c_mktsegment, count(*) AS size FROM customer GROUP BY 1)
+    SELECT c.c_mktsegment, c_custkey AS id FROM customer c JOIN k USING (c_mktsegment) JOIN h ON h.id = c_custkey AND i = length(s) WHERE size <= 280 OR v % 8 = 0"""
+
+
+@query("stratified_sample", "", _SAMPLE_SQL)
 def stratified_sample(t):
     """Every row of small classes, one in ``stride`` by FNV-1a of the id of large ones."""
-    return S.stratified_sample(t.read("customer").withColumnRenamed("c_custkey", "id"), "c_mktsegment", "id", 280, 8)
+    customers = t.read("customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    return S.stratified_sample(customers, "c_mktsegment", "id", 280, 8)
 
 
 @query("stratified_classes", "", """
