@@ -19,9 +19,9 @@ from tractum.session import stage
 _ANYONE = 2**63 - 1  # a cell with room is open to every source
 
 
-def _score(q: str, c: str) -> Column:
-    gap_in = F.abs(F.log1p(f"{q}.in_degree") - F.log1p(f"{c}.in_degree"))
-    gap_out = F.abs(F.log1p(f"{q}.out_degree") - F.log1p(f"{c}.out_degree"))
+def _score(q: Column, c: Column) -> Column:
+    gap_in = F.abs(F.log1p(q["in_degree"]) - F.log1p(c["in_degree"]))
+    gap_out = F.abs(F.log1p(q["out_degree"]) - F.log1p(c["out_degree"]))
     return F.round(gap_in + gap_out, 9)
 
 
@@ -41,7 +41,7 @@ def nearest_control(sources: DataFrame, candidates: DataFrame, strata: Sequence[
     """
     q = _anchored(sources.withColumnRenamed("id", "source"))
     c = _anchored(candidates)
-    found = nearest_within(q, c, strata, ["source"], "id", _score, ["in_degree", "out_degree"], levels=3)
+    found = nearest_within(q, c, strata, ["source"], "id", _score, ["in_degree", "out_degree"])
     return found.select("source", F.col("near_id").alias("control"), F.col("near_dist").alias("score"), *strata)
 
 
@@ -74,8 +74,8 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
         offered = offered.withColumn("order", F.lit(None).cast("long"))
         q = _anchored(unplaced.select("*", F.lit(0).cast("long").alias("open_to"), F.col("source").alias("order")))
         found = nearest_within(
-            q, offered, strata, ["source"], "cell_id", _score, ["in_degree", "out_degree", "open_to", "order"], levels=3,
-            eligible=lambda s, c: F.col(f"{c}.open_to") > F.col(f"{s}.order"), most_open="open_to",
+            q, offered, strata, ["source"], "cell_id", _score, ["in_degree", "out_degree", "open_to", "order"],
+            eligible=lambda q, c: c["open_to"] > q["order"], most_open="open_to",
         )
         proposals = stage(found.where("near_id IS NOT NULL").select(*strata, "source", F.col("near_id").alias("cid")))
         if proposals.isEmpty():

@@ -1,12 +1,13 @@
-"""Exact nearest candidate within a key, by descending an octree of cells.
-
-Comparing every query with every candidate of its key would be quadratic in a
-hot key.  Instead the occupied cells of each key form a tree with at most
-``SPLIT**3`` children per cell.  Queries walk it from the root: each step
-expands a cell to its children, bounds the distance from below (to the cell)
-and from above (to one candidate inside it), and keeps only cells that can
-still hold the nearest.  Nothing is dropped that could win, so the result is
-exact; coinciding candidates are reduced to their first by id beforehand.
+"""Exact nearest candidate within a key.
+
+Keys with at most ``LEAF`` candidates carry them along as one short array, so
+a query meets each of them in its own row.  Comparing every query with every
+candidate of a larger key would be quadratic, so there the occupied cells form
+a tree with at most ``SPLIT**3`` children per cell.  Queries walk it from the
+root: each step expands a cell to its children, bounds the distance from below
+(to the cell) and from above (to one candidate inside it), and keeps only
+cells that can still hold the nearest.  Nothing is dropped that could win, so
+the result is exact; coinciding candidates are reduced to their first by id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from tractum.session import stage
 
-SPLIT = 4
+SPLIT = 2
+LEAF = 64
+STEPS = 3  # levels between looks at how full the cells still are
+DEEPEST = 48  # cells of box / 2**48: doubles tell no finer
 AXES = ("x", "y", "z")
 
 
@@ -32,19 +36,18 @@ def nearest_within(
     keys: Sequence[str],
     query_id: Sequence[str],
     candidate_id: str,
-    distance: Callable[[str, str], Column],
+    distance: Callable[[Column, Column], Column],
     payload: Sequence[str],
-    levels: int = 4,
-    eligible: Callable[[str, str], Column] | None = None,
+    eligible: Callable[[Column, Column], Column] | None = None,
     most_open: str | None = None,
 ) -> DataFrame:
-    """Per query the candidate of its key with the least distance (ties: least id).
+    """(keys, query_id, near_id, near_dist): per query the candidate of its key
+    with the least distance (ties: least id), NULL where it may take none.
 
-    Both frames carry an anchor ``ax, ay, az``; candidates also a reach ``rad``
-    with ``distance(q, c) >= |anchor_q - anchor_c| - rad``.  ``distance`` gets
-    the struct names of query and candidate.  ``payload`` lists the columns of
-    both sides that ``distance`` reads.  Adds ``near_id`` and ``near_dist``
-    (NULL where the key has no candidate).
+    ``query_id`` names the columns to return with a query.  Both frames carry an
+    anchor ``ax, ay, az``; candidates also a reach ``rad`` such that
+    ``distance(q, c) >= |anchor_q - anchor_c| - rad``.  ``distance`` gets the
+    structs of query and candidate; ``payload`` names the columns it reads.
 
     ``eligible`` restricts which candidates a query may take.  It must be
     monotone in the payload column ``most_open``: if a query may not take the
@@ -52,41 +55,71 @@ def nearest_within(
     """
     keys, query_id, payload = list(keys), list(query_id), list(payload)
     anchors = [f"a{a}" for a in AXES]
-    shape = [*keys, *anchors, "rad", *payload]
-    c = stage(candidates.groupBy(*shape).agg(F.min(candidate_id).alias("cid")))
-    box = c.agg(
-        *[F.min(a).cast("double").alias(f"lo_{a}") for a in anchors],
-        *[F.max(a).cast("double").alias(f"hi_{a}") for a in anchors],
-    ).first()
-    if box is None or box["lo_ax"] is None:
-        return queries.withColumn("near_id", F.lit(None).cast("long")).withColumn(
-            "near_dist", F.lit(None).cast("double")
-        )
+    c = stage(candidates.groupBy(*keys, *anchors, "rad", *payload).agg(F.min(candidate_id).alias("cid")))
+    c_struct = F.struct("cid", *anchors, "rad", *payload)
+    # Staging fixes the row numbers, so one long stands for a query from here.
+    columns = list(dict.fromkeys([*keys, *query_id]))
+    everyone = stage(queries.select(*columns, F.struct(*anchors, *payload).alias("q")).withColumn(
+        "_qid", F.monotonically_increasing_id()))
+    tasks = int(everyone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spread by query: the work per row is heavy and keys may be skewed.
+    q = everyone.select(*keys, "_qid", "q").repartition(tasks, "_qid")
+    large = stage(c.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LEAF).select(*keys))
+    has_large = not large.isEmpty()
+    few, q_few = c, q
+    if has_large:
+        few, q_few = c.join(large, keys, "left_anti"), q.join(large, keys, "left_anti")
+    few = few.groupBy(*keys).agg(F.collect_list(c_struct).alias("_few"))
+    met = q_few.join(few, keys).select("_qid", "q", F.explode("_few").alias("rep"))
+    best = _best(met, distance, eligible)
+    if has_large:
+        many = c.join(large, keys, "left_semi")
+        met = _descend(q.join(large, keys, "left_semi"), many, keys, c_struct, distance, eligible, most_open)
+        best = best.unionByName(_best(met, distance, eligible))
+    return everyone.select(*columns, "_qid").join(best, "_qid", "left").drop("_qid")
+
+
+def _best(met: DataFrame, distance, eligible) -> DataFrame:
+    """The nearest of the candidates ``rep`` each query has met."""
+    if eligible is not None:
+        met = met.where(eligible(F.col("q"), F.col("rep")))
+    hits = met.select("_qid", F.struct(distance(F.col("q"), F.col("rep")).alias("d"), F.col("rep.cid").alias("cid")).alias("hit"))
+    return hits.groupBy("_qid").agg(F.min("hit").alias("hit")).select(
+        "_qid", F.col("hit.cid").alias("near_id"), F.col("hit.d").alias("near_dist"))
+
+
+def _descend(q, c, keys, c_struct, distance, eligible, most_open) -> DataFrame:
+    """(_qid, q, rep): what is left to compare for keys with many candidates."""
+    anchors = [f"a{a}" for a in AXES]
+    box = c.agg(*[F.min(a).alias(f"lo_{a}") for a in anchors], *[F.max(a).alias(f"hi_{a}") for a in anchors]).first()
     low = {a: float(box[f"lo_{a}"]) for a in anchors}
     width = max([float(box[f"hi_{a}"]) - low[a] for a in anchors] + [1e-9]) * (1 + 1e-9)
 
-    c_struct = F.struct(F.col("cid"), *anchors, "rad", *payload)
-    for level in range(1, levels + 1):
-        for a in anchors:
-            c = c.withColumn(f"c{level}_{a}", _cell(F.col(a), F.lit(low[a]), width, level))
-
     def cell_columns(level: int) -> list[str]:
-        return [f"c{level}_{a}" for a in anchors]
+        return [f"c{level}_{a}" for a in anchors] if level else []
+
+    def placed(*levels: int) -> DataFrame:
+        cells = {f"c{n}_{a}": _cell(F.col(a), F.lit(low[a]), width, n) for n in levels if n for a in anchors}
+        return c.withColumns(cells) if cells else c
 
     def children(level: int) -> DataFrame:
         """Occupied cells of ``level`` with a member and the largest reach."""
-        by = keys + (cell_columns(level - 1) if level > 1 else []) + cell_columns(level)
         rep = F.min_by(c_struct, "cid") if most_open is None else F.max_by(c_struct, most_open)
-        return c.groupBy(*by).agg(rep.alias("rep"), F.max("rad").alias("reach"))
-
-    queries = stage(queries)
-    q = queries.select(*keys, *query_id, F.struct(*anchors, *payload).alias("q"))
-    frontier = q
-    for level in range(1, levels + 1):
-        on = keys + (cell_columns(level - 1) if level > 1 else [])
-        step = frontier.join(children(level), on)
+        by = keys + cell_columns(level - 1) + cell_columns(level)
+        return placed(level - 1, level).groupBy(*by).agg(rep.alias("rep"), F.max("rad").alias("reach"))
+
+    def crowded(level: int) -> bool:
+        fullest = placed(level).groupBy(*keys, *cell_columns(level)).count().agg(F.max("count")).first()[0]
+        return fullest > LEAF
+
+    frontier, level = q, 0
+    while level < DEEPEST and (level % STEPS or crowded(level)):
+        if level and level % STEPS == 0:
+            frontier = stage(frontier)
+        level += 1
+        step = frontier.join(children(level), keys + cell_columns(level - 1))
         if eligible is not None:
-            step = step.where(eligible("q", "rep"))
+            step = step.where(eligible(F.col("q"), F.col("rep")))
         size = width / SPLIT**level
         gap2 = None
         for a in anchors:
@@ -95,18 +128,9 @@ def nearest_within(
             gap2 = g * g if gap2 is None else gap2 + g * g
         # A hair of slack keeps cell-edge rounding from cutting a true nearest.
         lower = (F.sqrt(gap2) - F.col("reach")) * F.lit(1 - 1e-9) - F.lit(1e-6)
-        step = step.withColumn("_lower", lower).withColumn("_upper", distance("q", "rep"))
+        step = step.withColumn("_lower", lower).withColumn("_upper", distance(F.col("q"), F.col("rep")))
         # One query's open cells: a handful, whatever the size of its key.
-        step = step.withColumn("_best", F.min("_upper").over(Window.partitionBy(*keys, *query_id)))
-        frontier = step.where("_lower <= _best").select(*keys, *query_id, "q", *cell_columns(level))
-    leaves = c.select(*keys, *cell_columns(levels), c_struct.alias("rep"))
-    hits = frontier.join(leaves, keys + cell_columns(levels))
-    if eligible is not None:
-        hits = hits.where(eligible("q", "rep"))
-    hits = hits.select(
-        *keys, *query_id, F.struct(distance("q", "rep").alias("d"), F.col("rep.cid").alias("cid")).alias("hit")
-    )
-    best = hits.groupBy(*keys, *query_id).agg(F.min("hit").alias("hit")).select(
-        *keys, *query_id, F.col("hit.cid").alias("near_id"), F.col("hit.d").alias("near_dist")
-    )
-    return queries.join(best, keys + query_id, "left")
+        step = step.withColumn("_best", F.min("_upper").over(Window.partitionBy("_qid")))
+        frontier = step.where("_lower <= _best").select(*keys, "_qid", "q", *cell_columns(level))
+    leaves = placed(level).select(*keys, *cell_columns(level), c_struct.alias("rep"))
+    return frontier.join(leaves, keys + cell_columns(level)).select("_qid", "q", "rep")

@@ -55,9 +55,9 @@ def nearest_node(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -> D
     c = tree.select("neuron", "node_id", *anchors, F.lit(0.0).alias("rad"))
 
     def dist(a, b):
-        return distance([f"{a}.a{x}" for x in XYZ], [f"{b}.a{x}" for x in XYZ])
+        return distance([a[f"a{x}"] for x in XYZ], [b[f"a{x}"] for x in XYZ])
 
-    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, []).drop("ax", "ay", "az")
+    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, [])
 
 
 def nearest_segment(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -> DataFrame:
@@ -72,9 +72,9 @@ def nearest_segment(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -
     )
 
     def dist(a, b):
-        return segment_distance([f"{a}.a{x}" for x in XYZ], [f"{b}.c{x}" for x in XYZ], [f"{b}.p{x}" for x in XYZ])
+        return segment_distance([a[f"a{x}"] for x in XYZ], [b[f"c{x}"] for x in XYZ], [b[f"p{x}"] for x in XYZ])
 
-    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, ends).drop("ax", "ay", "az", *ends)
+    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, ends)
 
 
 def nearest_contact(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str], b_id: str) -> DataFrame:
@@ -90,6 +90,6 @@ def nearest_contact(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Seque
     candidates = b.select(*keys, b_id, *anchors, F.lit(0.0).alias("rad"), *pre, *post)
 
     def dist(q, c):
-        return joint_rms(*[[f"{s}.{x}" for x in site] for s in (q, c) for site in (pre, post)])
+        return joint_rms(*[[s[x] for x in site] for s in (q, c) for site in (pre, post)])
 
-    return nearest_within(queries, candidates, keys, a_id, b_id, dist, [*pre, *post]).drop("ax", "ay", "az")
+    return nearest_within(queries, candidates, keys, a_id, b_id, dist, [*pre, *post])

@@ -35,37 +35,53 @@ def filter_rule_search(points: DataFrame, published: DataFrame, max_size: int, e
     """Scores every rule (minimum size 1..max_size, and three switches) by how
     far the filtered point counts are from the published counts.
 
-    Points are reduced to (pair, region, size) once and meet the published
-    counts once per switch setting; the size limits are running sums over at
-    most ``max_size`` counts per key, not copies of the points.
+    Points are reduced to (pair, region, size) and meet the published counts
+    once per region labelling.  The other two switches only drop whole keys, so
+    each key is scored as kept and as dropped, summed by (is self, is
+    exception), and the rules are put together from those few sums.
     """
     sized = points.groupBy(*KEY3, F.least("size", F.lit(max_size)).alias("size")).agg(F.count("*").alias("n"))
-    switch = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("no_self"), F.lit(b).alias("no_exception"), F.lit(c).alias("aligned"))
-        for a in (False, True) for b in (False, True) for c in (False, True)
-    ]))
-    names = ["no_self", "no_exception", "aligned"]
-    kept = sized.select("*", switch.alias("s")).select("pre", "post", "region", "size", "n", "s.*").where(
-        (~F.col("no_self") | F.expr("pre <> post"))
-        & (~F.col("no_exception") | (F.lit(exception_id) != F.col("pre")) & (F.lit(exception_id) != F.col("post")))
-    )
+    labelling = F.explode(F.array(F.lit(False), F.lit(True))).alias("aligned")
     region = F.when(F.col("aligned"), align_region("region")).otherwise(F.col("region")).alias("region")
-    limits = list(range(1, max_size + 1))
-    counts = [F.coalesce(F.sum(F.when(F.col("size") >= t, F.col("n"))), F.lit(0)) for t in limits]
-    grouped = kept.groupBy(*names, "pre", "post", region).agg(F.array(*counts).alias("counts"))
-    wanted = published.select(*KEY3, F.col("n").alias("want"), switch.alias("s")).select(*KEY3, "want", "s.*")
-    both = grouped.join(wanted, [*names, *KEY3], "full")
+    by_limit = [F.coalesce(F.sum(F.when(F.col("size") >= t, F.col("n"))), F.lit(0)) for t in range(1, max_size + 1)]
+    have = sized.select("*", labelling).groupBy("aligned", "pre", "post", region).agg(F.array(*by_limit).alias("counts"))
+    want = published.select(*KEY3, F.col("n").alias("want"), labelling)
+    both = have.join(want, ["aligned", *KEY3], "full")
+    is_exception = (F.col("pre") == exception_id) | (F.col("post") == exception_id)
     zeros = F.array_repeat(F.lit(0).cast("long"), max_size)
-    per_limit = both.select(*names, "want", F.posexplode(F.coalesce("counts", zeros)).alias("at", "have"))
-    gap = F.col("have") - F.coalesce("want", F.lit(0))
-    return per_limit.groupBy((F.col("at") + 1).alias("min_size"), *names).agg(
+    scored = both.select(
+        "aligned", F.expr("pre = post").alias("is_self"), is_exception.alias("is_exception"), "want",
+        F.posexplode(F.coalesce("counts", zeros)).alias("at", "have"),
+    )
+    wanted = F.coalesce("want", F.lit(0))
+    gap = F.col("have") - wanted
+    sums = scored.groupBy("aligned", "is_self", "is_exception", (F.col("at") + 1).alias("min_size")).agg(
         F.sum("have").alias("points_kept"),
-        F.coalesce(F.sum("want"), F.lit(0)).alias("published_sum"),
+        F.sum(wanted).alias("published_sum"),
         F.count_if(gap != 0).alias("key_mismatches"),
         F.sum(F.abs(gap)).alias("absolute_difference"),
         F.count_if((F.col("have") > 0) & F.col("want").isNull()).alias("point_only_keys"),
         F.count_if((F.col("have") == 0) & F.col("want").isNotNull()).alias("connection_only_keys"),
-    ).orderBy("absolute_difference", "key_mismatches", "min_size", *[F.desc(n) for n in names])
+        F.count_if(wanted != 0).alias("_published_keys"),
+    )
+    switches = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("no_self"), F.lit(b).alias("no_exception")) for a in (False, True) for b in (False, True)
+    ]))
+    ruled = sums.select("*", switches.alias("s")).select("*", "s.*")
+    dropped = F.expr("(no_self AND is_self) OR (no_exception AND is_exception)")
+
+    def total(name: str, when_dropped: Column) -> Column:
+        return F.sum(F.when(dropped, when_dropped).otherwise(F.col(name))).alias(name)
+
+    rules = ["min_size", "no_self", "no_exception", "aligned"]
+    return ruled.groupBy(*rules).agg(
+        total("points_kept", F.lit(0)),
+        F.sum("published_sum").alias("published_sum"),
+        total("key_mismatches", F.col("_published_keys")),
+        total("absolute_difference", F.col("published_sum")),
+        total("point_only_keys", F.lit(0)),
+        total("connection_only_keys", F.col("_published_keys")),
+    ).orderBy("absolute_difference", "key_mismatches", "min_size", *[F.desc(r) for r in rules[1:]])
 
 
 def point_connection_recon(points: DataFrame, connections: DataFrame, ids: DataFrame, exception_id: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractum.functions.columns import first_match
+from tractum.sources.tables import spread
 
 # Patterns of secrets (counted, never published), of personal
 # home folders and of private session addresses (replaced).
@@ -24,6 +25,7 @@ REPLACEMENTS = (("session", SESSION, "<PRIVATE_SESSION_URL_REMOVED>"), ("home",
 def scrub_text(df: DataFrame, column: str) -> DataFrame:
     """Replaces what must not be published and counts it per rule; rows with a
     secret are marked as not publishable and their text withheld."""
+    df = spread(df)
     text, counts = F.col(column), []
     for name, pattern, replacement in REPLACEMENTS:
         counts.append(F.regexp_count(text, F.lit(pattern)).alias(f"n_{name}"))

@@ -24,6 +24,13 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shares a scan with fewer partitions than the cluster has cores over all
+    of them, for work that is heavy per row.  Larger scans are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_delimited(df: DataFrame, path: str, order: Sequence[str], id_columns: Sequence[str] = (),
                     sep: str = ",") -> None:
     """Fixed field order; ids as decimal text, so no reader can round them."""
