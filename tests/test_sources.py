@@ -1,6 +1,7 @@
 """Sources, sinks and stages."""
 
 import hashlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,13 +61,27 @@ def test_named_stage_is_reused_until_its_input_changes(spark, tmp_path):
     assert tables.named_stage(spark.read.parquet(path), "demo").count() == 6
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_folder(spark) == str(tmp_path)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+class FakeContext:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def fake_session(master, conf):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=FakeContext(master))
+
+
+def test_shared_folder_follows_the_session():
+    named = fake_session("yarn", {"spark.checkpoint.dir": "hdfs:///shared"})
+    assert shared_folder(named) == "hdfs:///shared" and named.sparkContext.folder is None
+    with pytest.raises(RuntimeError):
+        shared_folder(fake_session("yarn", {}))
+    assert shared_folder(fake_session("local[2]", {})).startswith("/tmp/spark-")
 
 
 def test_layout_dispatch(spark):

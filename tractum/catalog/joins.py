@@ -359,7 +359,7 @@ def _matching_nodes(t):
 @query("matched_control", "nod pairs", f"""
     SELECT id AS source, arg_min(cid, (score, cid)) AS control FROM (SELECT s.id, c.id AS cid,
        round(abs(ln(1 + s.idg) - ln(1 + c.idg)) + abs(ln(1 + s.od) - ln(1 + c.od)), 9) AS score
-     FROM {DEG_SQL} s JOIN {DEG_SQL} c ON s.super_class = c.super_class AND s.is_source AND NOT c.is_source) q GROUP BY 1""")
+     FROM {DEG_SQL} s LEFT JOIN {DEG_SQL} c ON s.super_class = c.super_class AND NOT c.is_source WHERE s.is_source) q GROUP BY 1""")
 def matched_control(t):
     nodes = _matching_nodes(t)
     return nearest_control(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class"]).select("source", "control")
