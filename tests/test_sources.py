@@ -55,10 +55,10 @@ def test_manifest_and_verification(spark, tmp_path):
 def test_named_stage_is_reused_until_its_input_changes(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.range(5).write.parquet(path)
-    first = tables.named_stage(spark.read.parquet(path), "demo").inputFiles()
-    assert tables.named_stage(spark.read.parquet(path), "demo").inputFiles() == first
+    first = tables.named_stage(spark.read.parquet(path), "demo", [path]).inputFiles()
+    assert tables.named_stage(spark.read.parquet(path), "demo", [path]).inputFiles() == first
     spark.range(6).write.mode("overwrite").parquet(path)
-    assert tables.named_stage(spark.read.parquet(path), "demo").count() == 6
+    assert tables.named_stage(spark.read.parquet(path), "demo", [path]).count() == 6
 
 
 class FakeContext:

@@ -155,8 +155,9 @@ def audit_json(t):
 @query("stage_reuse", "edg", """
     SELECT pre, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS weight FROM edg GROUP BY pre""")
 def stage_reuse(t):
-    tables.named_stage(t.edg(), "edges")
-    again = tables.named_stage(t.edg(), "edges")  # the second call reads what the first wrote
+    inputs = [t.path("lineitem"), t.path("supplier")]
+    tables.named_stage(t.edg(), "edges", inputs)
+    again = tables.named_stage(t.edg(), "edges", inputs)  # reads what the first call wrote
     return again.groupBy("pre").agg(F.count("*").alias("n_rows"), F.sum("n").alias("weight"))
 
 

@@ -53,6 +53,8 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, weight_l
     )
     known = stage(start)
     frontier = known
+    # Every round reads the edges again: keep only those some limit admits.
+    edges = stage(edges.where(F.col("n") >= min(weight_limits)).select("pre", "post", "n"))
     for hop in range(1, max_hops + 1):
         reach = frontier.select("target", "min_n", F.col("id").alias("post"))
         step = edges.join(reach, "post").where("n >= min_n").groupBy("target", "min_n", F.col("pre").alias("id")).agg(
@@ -69,6 +71,7 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, weight_l
 def shortest_paths(hops: DataFrame, edges: DataFrame, sources: DataFrame, max_hops: int = 4) -> DataFrame:
     """One shortest path per (source, target, min_n) by following next nodes:
     the node array and the least edge weight on it."""
+    hops, edges = stage(hops), stage(edges.select("pre", "post", "n"))
     path = in_set(hops, "id", sources).select(
         "target", "min_n", F.col("id").alias("source"), "hops", F.array("id").alias("nodes"),
         F.col("next_id").alias("_at"), F.col("id").alias("_from"), F.lit(None).cast("long").alias("bottleneck"),

@@ -71,23 +71,21 @@ def schema_inventory(df: DataFrame, table: str) -> DataFrame:
     return df.agg(F.array(*rows).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
 
 
-def input_fingerprint(df: DataFrame) -> str:
-    """Hash of the plan and of its input files' names, sizes and times."""
-    files = df.inputFiles()
+def input_fingerprint(spark: SparkSession, inputs: Sequence[str]) -> str:
+    """Hash of the names, sizes and times of all files under ``inputs``."""
+    entry = F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
+    # Sum and xor do not depend on the order in which files are listed.
+    total = files.agg(F.count("*"), F.sum(F.crc32(entry)), F.bit_xor(F.xxhash64(entry))).first()
+    return "-".join(f"{(v or 0) & 0xFFFFFFFFFFFFFFFF:x}" for v in total)
+
+
+def named_stage(df: DataFrame, name: str, inputs: Sequence[str]) -> DataFrame:
+    """Parquet stage in the shared folder, reused while the files it is made
+    from stay the same.  ``name`` stands for the query; the committer's marker
+    tells a complete stage from an interrupted one."""
     spark = df.sparkSession
-    if not files:
-        return f"{df.semanticHash() & 0xFFFFFFFF:08x}"
-    listing = spark.read.format("binaryFile").load(files).agg(
-        F.sum(F.crc32(F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string"))))
-    ).first()[0]
-    return f"{df.semanticHash() & 0xFFFFFFFF:08x}-{listing:x}"
-
-
-def named_stage(df: DataFrame, name: str) -> DataFrame:
-    """Parquet stage in the shared folder, reused while the inputs and the
-    plan stay the same.  Complete stages only: the committer's marker counts."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{input_fingerprint(df)}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{input_fingerprint(spark, inputs)}"
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
