@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import simhash
+from tractum.llm import rules, simhash
 from tractum.llm.base import ORACLES, QUERIES, query, read
 
 
@@ -15,5 +15,12 @@ def op9_simhash(spark, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op6_quality")
+def op6_quality(spark, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text", "lang")
+    out = rules.judge(docs, read(spark, folder, "labels", "doc_id", "quality"))
+    return out.select("doc_id", *rules.BASE, "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules"))
+
+
 def load():
     return QUERIES, ORACLES
