@@ -64,7 +64,7 @@ def test_cutoffs_hold_their_bound(spark):
     found = rules.cutoffs(labelled(spark, 10_000, 0.0), "s", good, tuning).collect()
     assert [(r.stratum, r.rule) for r in found] == [(None, "symbols")] and 300 <= found[0].cutoff < 600
     # Too few labels: nothing is certified.  Good documents beyond the proposal: only what the bound allows.
-    assert rules.cutoffs(labelled(spark, 200, 0.0), "s", good, tuning).count() == 0
+    assert rules.cutoffs(labelled(spark, 100, 0.0), "s", good, tuning).count() == 0
     noisy = labelled(spark, 10_000, 0.06)
     found = rules.cutoffs(noisy, "s", good, tuning, rules.Risk(precision=0.5)).collect()
     fine = noisy.where("not bad")
