@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import rules, simhash
+from tractum.llm import mixing, rules, simhash
 from tractum.llm.base import ORACLES, QUERIES, query, read
 
 
@@ -15,6 +15,12 @@ def op9_simhash(spark, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op4_mixing")
+def op4_mixing(spark, folder: str) -> DataFrame:
+    out = mixing.plan(read(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "source", "text")
+    return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+
+
 @query("op6_quality")
 def op6_quality(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang")
