@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, rules, simhash
+from tractum.llm import mixing, rules, secrets, simhash
 from tractum.llm.base import ORACLES, QUERIES, query, read
 
 
@@ -15,6 +15,15 @@ def op9_simhash(spark, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op3_secrets")
+def op3_secrets(spark, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    found = secrets.scan(docs, "text", secrets.fit(docs, "doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < len(secrets.PATTERNS))
+    counts = [secrets.count_of(F.col("secrets"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("secrets")).alias("spans"))
+
+
 @query("op4_mixing")
 def op4_mixing(spark, folder: str) -> DataFrame:
     out = mixing.plan(read(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "source", "text")
