@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, rules, secrets, simhash
+from tractum.llm import mixing, packing, rules, secrets, simhash
 from tractum.llm.base import ORACLES, QUERIES, query, read
 
 
+@query("op8_packing")
+def op8_packing(spark, folder: str) -> DataFrame:
+    """Words of a document and one end mark are its length."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return packing.pack(docs, "doc_id", mixing.word_count(F.col("text")) + 1)
+
+
 @query("op9_simhash")
 def op9_simhash(spark, folder: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", simhash.EXACT, None)

@@ -190,6 +190,29 @@ def _per_stratum(limits: DataFrame, value: str) -> DataFrame:
     return limits.groupBy(F.col("stratum").alias("_stratum_of")).agg(*[F.max(F.when(F.col("rule") == r, F.col(value))).alias(f"_{r}") for r in RULES])
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def fit(signals: DataFrame, labels: DataFrame, id_column: str, stratum: str, label: str = "quality", risk: Risk = Risk()) -> DataFrame:
+    """One row of certified cutoffs per stratum, from the labelled rows of
+    ``signals`` that pass the base rules.  Runs jobs."""
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg((F.min(label) > 0).alias("_good"))
+    scored = signals.where(~_base_failed()).select(id_column, stratum, *[s.alias(name) for name, s in scores().items()])
+    labelled = scored.join(known, F.col(id_column) == F.col("_id"))
+    tuning = F.pmod(F.xxhash64("_id"), F.lit(1000)) < int(1000 * risk.tuning)
+    return stage(_per_stratum(cutoffs(labelled, stratum, F.col("_good"), tuning, risk), "cutoff"))
+
+
+def verdicts(signals: DataFrame, stratum: Column, limits: DataFrame) -> DataFrame:
+    """Adds ``base_failed``, ``failed`` (rules that reject) and ``kept``."""
+    scored = signals.withColumns({"base_failed": _base_failed(), **{f"_score_{name}": s for name, s in scores().items()}})
+    joined = scored.join(limits, stratum.eqNullSafe(F.col("_stratum_of")), "left")
+    failed = F.filter(F.array(*[F.when(F.col(f"_score_{r}") > F.col(f"_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    out = joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return out.drop("_stratum_of", *[f"_{r}" for r in RULES], *[f"_score_{r}" for r in RULES])
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: Risk = Risk()) -> DataFrame:
     """``id_column``, the base counts, ``base_failed``, ``kept`` and ``failed``
     (the rules that reject it) for every row of ``docs``.
@@ -201,11 +224,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     the same id are judged each.  Building the result runs jobs.
     """
     signals = stage(measure(docs.select(id_column, text, F.col(stratum).alias("_stratum")), text, [id_column, "_stratum"]))
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = signals.select(id_column, "_stratum", *BASE, base_failed.alias("base_failed"), *[s.alias(name) for name, s in scores().items()])
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg((F.min(label) > 0).alias("_good"))
-    labelled = scored.where(~F.col("base_failed")).join(known, F.col(id_column) == F.col("_id"))
-    limits = cutoffs(labelled, "_stratum", F.col("_good"), F.pmod(F.xxhash64("_id"), F.lit(1000)) < int(1000 * risk.tuning), risk)
-    joined = scored.join(_per_stratum(limits, "cutoff"), F.col("_stratum").eqNullSafe(F.col("_stratum_of")), "left")
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    return joined.withColumn("failed", failed).select(id_column, *BASE, "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+    limits = fit(signals, labels, id_column, "_stratum", label, risk)
+    return verdicts(signals, F.col("_stratum"), limits).select(id_column, *BASE, "base_failed", "kept", "failed")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: Risk = Risk()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, judged row by row, so rows
+    with a null or repeated id are judged by their own text.  Runs jobs."""
+    signals = stage(measure(docs.select(id_column, text, F.col(stratum).alias("_stratum")), text, [id_column, "_stratum"]))
+    limits = fit(signals, labels, id_column, "_stratum", label, risk)
+    rows = measure(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_own")), "_own", ["_row"])
+    return verdicts(rows, F.col(f"_row.{stratum}"), limits).where("kept").select("_row.*")
