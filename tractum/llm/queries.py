@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, rules, secrets, simhash
+from tractum.llm import mixing, packing, rules, secrets, simhash, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
+from tractum.session import shared_folder, stage
+
+
+@query("op7_warc")
+def op7_warc(spark, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_captures(read(spark, folder, "pages", "page_id", "url", "html"), path)
+    captures = stage(warc.assemble(warc.read_records(spark, path, payloads=False)).select(
+        "id", "capture.*", F.element_at("metadata.fields", "page").cast("long").alias("page_id")))
+    origins = captures.where(F.col("type") == "response").select(F.col("id").alias("_origin"), F.col("page_id").alias("origin_page"))
+    return captures.join(origins, F.col("refers_to") == F.col("_origin"), "left").select(
+        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("origin_page").alias("refers_to"))
 
 
 @query("op8_packing")
