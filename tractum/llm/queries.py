@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, rules, secrets, simhash, warc
+from tractum.llm import mixing, packing, rules, secrets, simhash, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -51,6 +51,16 @@ def op4_mixing(spark, folder: str) -> DataFrame:
     return out.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
 
 
+@query("op5_topk", """
+    WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op5_topk(spark, folder: str) -> DataFrame:
+    return voronoi.search(read(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 @query("op6_quality")
 def op6_quality(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text", "lang")
