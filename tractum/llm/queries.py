@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, rules, secrets, simhash, voronoi, warc
+from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -68,5 +68,11 @@ def op6_quality(spark, folder: str) -> DataFrame:
     return out.select("doc_id", *rules.BASE, "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules"))
 
 
+@query("op10_pitman_yor")
+def op10_pitman_yor(spark, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return pitman_yor.score(docs, "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+
+
 def load():
     return QUERIES, ORACLES
