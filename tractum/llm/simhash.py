@@ -27,6 +27,7 @@ from tractum.session import stage
 
 CELL = 2048  # fingerprints of one first segment that meet in one cell; more are dealt out as pairs of chunks
 BLOCK = 1_000_000  # pairs compared at once
+BROADCAST_ROWS = 500_000  # a list of ids up to this long is sent to all tasks; a longer one is joined by shuffle
 
 
 @dataclass(frozen=True)
@@ -235,6 +236,11 @@ def _similar(edges: DataFrame, texts: DataFrame, text: str, scheme: Scheme, simi
     return both.select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
+def _sent_if_small(ids: DataFrame) -> DataFrame:
+    ids = stage(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Scheme = SIMILAR, similarity: float | None = 0.8) -> DataFrame:
     """``id_column``, ``fp`` and ``component_id`` (least id reachable) for every row.
 
@@ -252,7 +258,7 @@ def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Scheme = S
         edges = stage(edges.distinct())
         ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(fps, "node")
         own = ends.where("low is not null").select(F.col("low").alias("_low"), "node", F.col("fp").alias("_fp"))
-        texts = own.join(df.select(F.col(id_column).alias("_low"), text), "_low").groupBy("node").agg(F.min(text).alias(text))
+        texts = _sent_if_small(own).join(df.select(F.col(id_column).alias("_low"), text), "_low").groupBy("node").agg(F.min(text).alias(text))
         edges = _similar(edges, texts, text, scheme, similarity)
     roots = components(edges)
     rooted = fps.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
@@ -268,5 +274,5 @@ def drop_near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Schem
     least id is theirs; null ids without a named partner stay.
     """
     groups = near_duplicates(df, id_column, text, scheme, similarity)
-    gone = groups.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
+    gone = _sent_if_small(groups.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct())
     return df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
