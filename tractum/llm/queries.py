@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, voronoi, warc
+from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -36,6 +36,12 @@ def op9_simhash(spark, folder: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, folder: str) -> DataFrame:
+    out = suffixes.remove_repeats(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op3_secrets")
 def op3_secrets(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
