@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, voronoi, warc
+from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, tokenfile, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -42,6 +42,13 @@ def op1_suffix_dedup(spark, folder: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op2_tokens")
+def op2_tokens(spark, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(read(spark, folder, "documents", "doc_id", "text"), path, "doc_id", "text")
+    return tokenfile.read_tokens(spark, path, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query("op3_secrets")
 def op3_secrets(spark, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
