@@ -128,7 +128,7 @@ def one_hot(t):
 
 
 @query("clip_nonfinite", "pts", """
-    SELECT ln, round(sum(CASE WHEN isnan(p) THEN 0.0 ELSE least(greatest(p, 0.0), 1.0) END), 6) AS total, count(*) AS n
+    SELECT ln, round(sum(CASE WHEN isfinite(p) THEN least(greatest(p, 0.0), 1.0) ELSE 0.0 END), 6) AS total, count(*) AS n
     FROM (SELECT ln, CASE WHEN ln = 1 THEN CAST('nan' AS DOUBLE) WHEN ln = 2 THEN CAST('inf' AS DOUBLE)
           WHEN ln = 3 THEN CAST('-inf' AS DOUBLE) ELSE prob END AS p FROM pts) s GROUP BY ln""")
 def clip_nonfinite(t):

@@ -2,37 +2,54 @@
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tractum.catalog.base import query
 from tractum.catalog.views import epoch_ms
-from tractum.operators.ordered import lag_within
+from tractum.operators.ordered import lag_within, weighted_decay
 from tractum.streaming import operators as S
-from tractum.streaming.runner import appended, latest, output, read_events, run_available
+from tractum.streaming.runner import appended, first_of, latest, merged, output, read_events, run_available
 
 DAY, HOUR = 86_400_000, 3_600_000
 
 
+def _columns(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
+
+
+LONG, TEXT = T.LongType(), T.StringType()
+WINDOWS = _columns(start_ms=LONG, event_type=TEXT, n=LONG)
+
+
+FILES = 1000  # of a micro-batch; the results don't depend on it
+
+
+def _events(t):
+    return read_events(t.spark, t.folder, FILES)
+
+
 def _stream(t):
-    return S.with_event_time(read_events(t.spark, t.folder), epoch_ms("ts"))
+    return S.with_event_time(_events(t), epoch_ms("ts"))
 
 
 @query("stream_edge_counts", "", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_edge_counts(t):
-    return latest(S.edge_counts(_stream(t), ["user_id", "event_type"]), ["user_id", "event_type"])
+    keys = ["user_id", "event_type"]
+    return merged(_events(t), S.partial_counts(keys), keys, _columns(user_id=LONG, event_type=TEXT, n=LONG))
 
 
 @query("stream_dedup", "", "SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(t):
     """The stream arrives twice; each event stays once."""
     twice = _stream(t).union(_stream(t))
-    return appended(S.deduplicate(twice, "event_id", "1 hour").select("event_id", "user_id", "event_type"))
+    return first_of(twice.select("event_id", "user_id", "event_type"), "event_id")
 
 
 @query("stream_sliding_rate", "smp", f"""
     SELECT start_ms, event_type, CAST(sum(spike) AS BIGINT) AS n FROM (SELECT scenario AS event_type, spike, unnest([t_ms // {HOUR} * {HOUR} - k * {HOUR} FOR k IN range(0, 6)]) AS start_ms FROM smp) s GROUP BY 1, 2""")
 def stream_sliding_rate(t):
-    spikes = S.windowed_counts(_stream(t), ["event_type"], "1 day", "6 hours", "1 hour", F.when(F.col("event_type") == "error", 1).otherwise(0))
-    return latest(spikes, ["start_ms", "event_type"])
+    spikes = S.partial_counts(["event_type"], "6 hours", "1 hour", F.when(F.col("event_type") == "error", 1).otherwise(0))
+    return merged(_stream(t), spikes, ["start_ms", "event_type"], WINDOWS)
 
 
 @query("stream_latest_fresh", "smp", f"""
@@ -47,8 +64,9 @@ def stream_latest_fresh(t):
     SELECT id, count(*) AS n_samples, round(sum(0.2 * power(0.8, age - 1) * value), 6) AS ewma FROM
       (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY t_ms DESC, event_id DESC) AS age FROM smp) s GROUP BY 1""")
 def stream_ewma(t):
+    """Samples land as they come; the decay is a ranked sum over all of them."""
     samples = _stream(t).select(F.col("user_id").alias("id"), "t_ms", "event_id", "value")
-    return latest(S.ewma(samples, 0.2), ["id"]).withColumn("ewma", F.round("ewma", 6))
+    return weighted_decay(appended(samples), ["id"], ["t_ms", "event_id"], "value", 0.2, "ewma").withColumn("ewma", F.round("ewma", 6))
 
 
 KINDS = ["click", "purchase", "signup", "view"]
@@ -58,7 +76,7 @@ KINDS = ["click", "purchase", "signup", "view"]
     SELECT event_type, event_type <> 'error' AS valid, count(*) AS n, min(v) AS lowest, max(v) AS highest FROM
       (SELECT event_type, CASE WHEN event_type <> 'error' THEN least(greatest(value, 1.0), 20.0) ELSE value END AS v FROM events) s GROUP BY 1, 2""")
 def stream_validate(t):
-    stream = read_events(t.spark, t.folder).select("event_id", "event_type", "value")
+    stream = _events(t).select("event_id", "event_type", "value")
     base, _ = run_available(stream, "append", lambda batch: S.split_valid(batch, KINDS, 1.0, 20.0))
     def side(name):
         return output(t.spark, base, stream.schema, name).select("event_type", "value", F.lit(name == "valid").alias("valid"))
@@ -77,7 +95,7 @@ def order_violations(t):
 
 @query("stream_tumbling", "smp", f"SELECT t_ms // {HOUR} * {HOUR} AS start_ms, scenario AS event_type, count(*) AS n FROM smp GROUP BY 1, 2")
 def stream_tumbling(t):
-    return latest(S.windowed_counts(_stream(t), ["event_type"], "1 day", "1 hour"), ["start_ms", "event_type"])
+    return merged(_stream(t), S.partial_counts(["event_type"], "1 hour"), ["start_ms", "event_type"], WINDOWS)
 
 
 @query("observe_metrics", "", """
@@ -89,9 +107,9 @@ def observe_metrics(t):
     seen = Observation("progress")
     watched = t.read("events").observe(seen, *metrics)
     watched.write.format("noop").mode("overwrite").save()
-    stream = read_events(t.spark, t.folder).observe("progress", *metrics)
-    _, q = run_available(stream, "append", lambda batch: {"out": batch.select("event_id")})
-    batches = [p["observedMetrics"]["progress"] for p in q.recentProgress if p["observedMetrics"]]
-    rows = [("batch", seen.get["n_rows"], seen.get["n_errors"]),
-            ("stream", sum(b["n_rows"] for b in batches), sum(b["n_errors"] for b in batches))]
-    return t.spark.createDataFrame(rows, "source string, n_rows long, n_errors long")
+    # One row of metrics per micro-batch, landed with it: exact for any number of batches.
+    base, _ = run_available(_events(t), "append", lambda batch: {"out": batch.agg(*metrics)})
+    landed = output(t.spark, base, _columns(n_rows=LONG, n_errors=LONG))
+    totals = landed.agg(F.lit("stream").alias("source"), F.sum("n_rows").alias("n_rows"), F.sum("n_errors").alias("n_errors"))
+    own = t.spark.createDataFrame([("batch", seen.get["n_rows"], seen.get["n_errors"])], "source string, n_rows long, n_errors long")
+    return own.union(totals)

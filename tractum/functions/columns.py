@@ -61,8 +61,9 @@ def is_finite(c: Column | str) -> Column:
 
 
 def clip_probability(c: Column | str) -> Column:
-    """Non-finite becomes 0 (infinities the nearest bound), then clip to [0, 1]."""
-    return F.least(F.greatest(F.nanvl(_c(c), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    """Whatever is not finite becomes 0, the rest is clipped to [0, 1]; NULL stays."""
+    c = _c(c).cast("double")
+    return F.when(is_finite(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))).when(c.isNotNull(), F.lit(0.0))
 
 
 def quantise_probability(c: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractum.operators.joins import mark
+from tractum.operators.keys import join_null_safe
 from tractum.operators.ordered import rank_within
 
 
@@ -152,12 +153,12 @@ def share_of_total(df: DataFrame, keys: Sequence[str], value: str, total: str, s
     """Adds the key's total and the row's share of it.  An aggregate joined
     back, not a window: partial sums combine before the shuffle."""
     totals = df.groupBy(*keys).agg(F.sum(value).alias(total))
-    return df.join(totals, list(keys)).withColumn(share, F.try_divide(F.col(value).cast("double"), F.col(total)))
+    return join_null_safe(df, totals, keys).withColumn(share, F.try_divide(F.col(value).cast("double"), F.col(total)))
 
 
 def group_size(df: DataFrame, keys: Sequence[str], name: str, distinct: str | None = None) -> DataFrame:
     sizes = df.groupBy(*keys).agg((F.count("*") if distinct is None else F.count_distinct(distinct)).alias(name))
-    return df.join(sizes, list(keys))
+    return join_null_safe(df, sizes, keys)
 
 
 def degrees(edges: DataFrame, universe: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tractum.functions.columns import clip_probability
 from tractum.operators.aggs import chunked_list, weighted_channels
 from tractum.operators.joins import both_in_set, in_set, mark, not_in_set
 from tractum.session import stage
@@ -26,8 +27,8 @@ def drop_accounting(edges: DataFrame, universe: DataFrame, min_weight: int = 1)
 
 def build_graph(edges: DataFrame, universe: DataFrame, channels: Sequence[str], min_weight: int = 1) -> DataFrame:
     """Region rows inside the universe merged to directed pairs with
-    weight-averaged channels."""
-    inside = both_in_set(edges.where("n > 0"), universe)
+    weight-averaged channels, each clipped to [0, 1] and 0 unless finite."""
+    inside = both_in_set(edges.where("n > 0"), universe).withColumns({c: clip_probability(c) for c in channels})
     return weighted_channels(inside, ["pre", "post"], channels, "n", min_weight)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractum.functions.columns import delta_class
+from tractum.operators.keys import join_null_safe
 from tractum.operators.ordered import top_k
 
 
@@ -71,7 +72,7 @@ def version_delta(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full-outer comparison of two edge tables (each ``keys`` + ``n``, one row
     per key): both counts, delta and class.  Keys are unique on both sides, so
     no key can be hot."""
-    joined = a.withColumnRenamed("n", "n_a").join(b.withColumnRenamed("n", "n_b"), list(keys), "full")
+    joined = join_null_safe(a.withColumnRenamed("n", "n_a"), b.withColumnRenamed("n", "n_b"), keys, "full")
     return joined.withColumn("delta", F.coalesce("n_b", F.lit(0)) - F.coalesce("n_a", F.lit(0))).withColumn(
         "cls", delta_class("n_a", "n_b")
     )
@@ -79,7 +80,7 @@ def version_delta(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def reconcile(raw: DataFrame, published: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys whose raw and published counts differ, with the kind of mismatch."""
-    joined = raw.withColumnRenamed("n", "n_raw").join(published.withColumnRenamed("n", "n_pub"), list(keys), "full")
+    joined = join_null_safe(raw.withColumnRenamed("n", "n_raw"), published.withColumnRenamed("n", "n_pub"), keys, "full")
     kind = F.when(F.col("n_pub").isNull(), "raw_only").when(F.col("n_raw").isNull(), "published_only").otherwise(
         "different_count"
     )
@@ -89,7 +90,7 @@ def reconcile(raw: DataFrame, published: DataFrame, keys: Sequence[str]) -> Data
 
 def key_union(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union of both key sets with both counts and an overlap flag."""
-    joined = a.withColumnRenamed("n", "_a").join(b.withColumnRenamed("n", "_b"), list(keys), "full")
+    joined = join_null_safe(a.withColumnRenamed("n", "_a"), b.withColumnRenamed("n", "_b"), keys, "full")
     return joined.select(
         *keys,
         F.coalesce("_a", F.lit(0)).alias("n_a"),

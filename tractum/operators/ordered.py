@@ -14,13 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tractum.operators.keys import join_null_safe
 from tractum.session import stage
 
 _POS, _PART = "_pos", "_part"
 
 
 class Ordered:
-    """``df`` laid out in (keys, order) order and staged.
+    """``df`` laid out in (keys, order) order and staged: building it runs jobs
+    and writes a table to the shared folder.
 
     ``order`` must be a total order within a key for repeatable results.
     """
@@ -115,15 +117,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions:
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     cum = Ordered(counted, keys, [value]).running_sum("_n", "_upto")
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        t = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_total")
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-        cum = cum.join(t, on).drop(*[f"_t_{k}" for k in keys])
-    else:
-        cum = cum.withColumn("_total", totals.scalar())
+    totals = cum.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    cum = join_null_safe(cum, totals, keys) if keys else cum.withColumn("_total", totals.scalar())
     first = F.col("_upto") - F.col("_n")
     aggs = [F.max("_total").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")]
     for name, p in fractions.items():
@@ -139,14 +134,16 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, fractions:
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "upper_median") -> DataFrame:
-    """The value at 0-based position n div 2 of each key's sorted values."""
+    """The value at 0-based position n div 2 of each key's sorted values; NULL
+    values don't count, a NULL key is a key."""
     keys = list(keys)
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cum = Ordered(counted, keys, [value]).running_sum("_n", "_upto")
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    middle = F.expr("n div 2")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    cum = Ordered(counted, keys, ["_value"]).running_sum("_n", "_upto")
+    # The total is the largest running count of the key.
+    totals = cum.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    middle = F.expr("_total div 2")
     hit = (F.col("_upto") - F.col("_n") <= middle) & (middle < F.col("_upto"))
-    return cum.join(totals, keys).where(hit).select(*keys, "n", F.col(value).alias(name))
+    return join_null_safe(cum, totals, keys).where(hit).select(*keys, F.col("_total").alias("n"), F.col("_value").alias(name))
 
 
 def weighted_decay(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, smoothing: float,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractum.functions.columns import fnv1a
-
+from tractum.operators.keys import join_null_safe
 
 
 def union_labelled(frames: Mapping[str, DataFrame], label: str) -> DataFrame:
@@ -57,4 +57,4 @@ def stratified_sample(df: DataFrame, category: str, id_column: str, full_limit:
     aggregate joined back; the rows themselves are not shuffled by class."""
     sizes = df.groupBy(category).agg(F.count("*").alias("_size"))
     keep = (F.col("_size") <= full_limit) | (fnv1a(id_column) % stride == 0)
-    return df.join(sizes, category).where(keep).drop("_size")
+    return join_null_safe(df, sizes, [category]).where(keep).drop("_size")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,23 +21,45 @@ def with_event_time(events: DataFrame, millis: Column) -> DataFrame:
 
 
 def edge_counts(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts with all keys in the state; where keys have no end, land partial
+    counts instead (``partial_counts``, ``runner.merged``)."""
     return events.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def deduplicate(events: DataFrame, id_column: str, delay: str) -> DataFrame:
+    """Drops repeats that come within the watermark; rows later than ``delay``
+    are dropped as well.  Where none may be lost, use ``runner.first_of``."""
     return events.withWatermark("at", delay).dropDuplicatesWithinWatermark([id_column])
 
 
-def windowed_counts(events: DataFrame, keys: Sequence[str], delay: str, width: str, slide: str | None = None,
-                    amount: Column | None = None) -> DataFrame:
-    """Counts (or sums of ``amount``) per window; state older than the
-    watermark is dropped."""
+def windowed(events: DataFrame, keys: Sequence[str], width: str, slide: str | None, amount: Column | None) -> DataFrame:
     window = F.window("at", width, slide) if slide else F.window("at", width)
     amount = F.lit(1) if amount is None else amount
-    grouped = events.withWatermark("at", delay).groupBy(window.alias("_w"), *keys).agg(F.sum(amount).cast("long").alias("n"))
+    grouped = events.groupBy(window.alias("_w"), *keys).agg(F.sum(amount).cast("long").alias("n"))
     return grouped.select(F.unix_millis("_w.start").alias("start_ms"), *keys, "n")
 
 
+def windowed_counts(events: DataFrame, keys: Sequence[str], delay: str, width: str, slide: str | None = None,
+                    amount: Column | None = None) -> DataFrame:
+    """Counts (or sums of ``amount``) per window with bounded state: windows
+    older than the watermark are closed, and rows later than ``delay`` are not
+    counted.  ``partial_counts`` counts them all."""
+    return windowed(events.withWatermark("at", delay), keys, width, slide, amount)
+
+
+def partial_counts(keys: Sequence[str], width: str | None = None, slide: str | None = None,
+                   amount: Column | None = None) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """Counts of one micro-batch, to be landed and added up: the sum does not
+    depend on how rows fall into batches, no row is too late, and no state is
+    kept between batches."""
+    def route(batch: DataFrame) -> dict[str, DataFrame]:
+        if width is None:
+            return {"out": batch.groupBy(*keys).agg((F.count("*") if amount is None else F.sum(amount).cast("long")).alias("n"))}
+        return {"out": windowed(batch, keys, width, slide, amount)}
+
+    return route
+
+
 def latest_frames(events: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """The last frame of each key by (time, event id)."""
     order = F.struct("t_ms", "event_id")
@@ -52,24 +74,29 @@ def fresh_only(frames: DataFrame, limit_ms: int) -> DataFrame:
 
 
 EWMA_OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_samples", T.LongType()), T.StructField("ewma", T.DoubleType())])
-EWMA_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("a", T.DoubleType())])
+EWMA_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("a", T.DoubleType()), T.StructField("last", T.LongType())])
 
 
 def ewma(samples: DataFrame, smoothing: float) -> DataFrame:
     """``a += s * (x - a)`` per id, carried from batch to batch.
 
     ``samples``: id, t_ms, event_id, value.  Rows are ordered inside a
-    micro-batch, whose size the trigger bounds; batches must follow in time.
+    micro-batch, whose size the trigger bounds.  Batches must follow in time:
+    a sample that comes before one already taken fails the query, since the
+    recurrence can't be mended.  Samples in any order can be landed and passed
+    to ``operators.ordered.weighted_decay``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, a = state.get if state.exists else (0, 0.0)
+        n, a, last = state.get if state.exists else (0, 0.0, None)
         batch = pd.concat(list(frames)).sort_values(["t_ms", "event_id"])
+        if last is not None and int(batch["t_ms"].iloc[0]) < last:
+            raise ValueError(f"samples of id {key[0]} go back in time: {int(batch['t_ms'].iloc[0])} after {last}")
         x = batch["value"].to_numpy()
         decay = (1.0 - smoothing) ** np.arange(len(x), -1, -1)
         a = a * decay[0] + smoothing * float(np.dot(x, decay[1:]))
         n += len(x)
-        state.update((n, a))
+        state.update((n, a, int(batch["t_ms"].iloc[-1])))
         yield pd.DataFrame({"id": [key[0]], "n_samples": [n], "ewma": [a]})
 
     return samples.groupBy("id").applyInPandasWithState(step, EWMA_OUT, EWMA_STATE, "update", GroupStateTimeout.NoTimeout)
