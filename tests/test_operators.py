@@ -185,10 +185,17 @@ def test_hops_and_paths(spark):
 def test_ablation_never_adds_reach(spark):
     p = spark.createDataFrame([(1, 2, 3), (1, 4, 3), (1, 2, 5)], "source long, mid long, target long")
     removed = spark.createDataFrame([(1, "m", 2), (1, "none", 99), (1, "source", 1)], "source long, condition string, node long")
-    got = {r["condition"]: r for r in G.ablate(p, removed).collect()}
+    none = spark.createDataFrame([], "source long, target long")
+    got = {r["condition"]: r for r in G.ablate(p, removed, none).collect()}
     assert (got["m"]["paths_after"], got["m"]["targets_lost"]) == (1, 1)
     assert (got["none"]["paths_after"], got["none"]["targets_after"]) == (3, 2)
     assert (got["source"]["paths_after"], got["source"]["targets_lost"]) == (0, 2)
+    # A direct edge keeps a target in reach, unless the source or the target itself goes.
+    removed = removed.union(spark.createDataFrame([(1, "target", 5), (1, "far", 9)], removed.schema))
+    direct = spark.createDataFrame([(1, 5), (1, 9)], "source long, target long")
+    got = {r["condition"]: r for r in G.ablate(p, removed, direct).collect()}
+    assert (got["m"]["targets_before"], got["m"]["paths_after"], got["m"]["targets_lost"]) == (3, 1, 0)
+    assert [got[c]["targets_lost"] for c in ("none", "source", "target", "far")] == [0, 3, 1, 1]
 
 
 def test_adjacency_splits_hubs(spark):

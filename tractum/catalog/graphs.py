@@ -8,6 +8,7 @@ from tractum.functions import columns as C
 from tractum.operators import graph as G
 from tractum.operators.ordered import top_k
 from tractum.plans.checks import ledger
+from tractum.session import stage
 
 SRC, DST = "(SELECT id FROM nod WHERE super_class = 'ASIA')", "(SELECT id FROM nod WHERE super_class = 'EUROPE')"
 
@@ -56,7 +57,7 @@ def graph_integrity(t):
 
 
 HOPS = f"""
-    WITH RECURSIVE w AS (SELECT id AS target, th AS min_n, id, 0 AS hops FROM nod, (VALUES (5), (12)) l(th) WHERE id IN {DST}
+    WITH RECURSIVE w AS (SELECT id AS target, th AS min_n, id, 0 AS hops FROM nod, (SELECT CAST(CUT(25) AS INTEGER) AS th UNION SELECT CAST(CUT(45) AS INTEGER)) l WHERE id IN {DST}
       UNION SELECT w.target, w.min_n, p.pre, w.hops + 1 FROM w JOIN pairs p ON p.post = w.id AND p.n >= w.min_n WHERE w.hops < 4),
     d AS (SELECT target, min_n, id, min(hops) AS hops FROM w GROUP BY 1, 2, 3),
     hop AS (SELECT d.target, d.min_n, d.id, d.hops, min(x.id) AS next_id FROM d LEFT JOIN pairs p ON p.pre = d.id AND p.n >= d.min_n
@@ -64,7 +65,7 @@ HOPS = f"""
 
 
 def _hops(t):
-    return G.hop_distance(t.pairs(), _ends(t)[1], 4, (5, 12))
+    return G.hop_distance(t.pairs(), _ends(t)[1], 4, (t.cut_value(25), t.cut_value(45)))
 
 
 @query("hop_distance", "pairs nod", HOPS + " SELECT target, min_n, id, hops, next_id FROM hop")
@@ -96,13 +97,13 @@ def paths_1hop(t):
     return G.paths(t.pairs(), *_ends(t), 1)
 
 
-TWO = f"""(SELECT a.pre AS source, a.post AS mid, b.post AS target, a.n AS n_1, b.n AS n_2 FROM (SELECT * FROM pairs WHERE n >= 5) a
-           JOIN (SELECT * FROM pairs WHERE n >= 5) b ON a.post = b.pre
+TWO = f"""(SELECT a.pre AS source, a.post AS mid, b.post AS target, a.n AS n_1, b.n AS n_2 FROM (SELECT * FROM pairs WHERE n >= CUT(25)) a
+           JOIN (SELECT * FROM pairs WHERE n >= CUT(25)) b ON a.post = b.pre
            WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> a.post AND b.pre <> b.post AND a.pre <> b.post)"""
 
 
 def _two(t):
-    return G.paths(t.pairs().where("n >= 5"), *_ends(t), 2)
+    return G.paths(t.pairs().where(F.col("n") >= t.cut(25)), *_ends(t), 2)
 
 
 @query("paths_2hop", "pairs nod", f"SELECT * FROM {TWO} p")
@@ -111,12 +112,12 @@ def paths_2hop(t):
 
 
 THREE = f"""(SELECT a.pre AS source, a.post AS mid, e.post AS mid2, b.post AS target, a.n AS n_1, e.n AS n_2, b.n AS n_3
-    FROM (SELECT * FROM pairs WHERE n >= 9) a JOIN (SELECT * FROM pairs WHERE n >= 9) e ON a.post = e.pre JOIN (SELECT * FROM pairs WHERE n >= 9) b ON e.post = b.pre
+    FROM (SELECT * FROM pairs WHERE n >= CUT(40)) a JOIN (SELECT * FROM pairs WHERE n >= CUT(40)) e ON a.post = e.pre JOIN (SELECT * FROM pairs WHERE n >= CUT(40)) b ON e.post = b.pre
     WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> a.post AND e.pre <> e.post AND b.pre <> b.post AND a.pre <> e.post AND a.pre <> b.post AND a.post <> b.post)"""
 
 
 def _three(t):
-    return G.paths(t.pairs().where("n >= 9"), *_ends(t), 3)
+    return G.paths(t.pairs().where(F.col("n") >= t.cut(40)), *_ends(t), 3)
 
 
 @query("paths_3hop", "pairs nod", f"SELECT * FROM {THREE} p")
@@ -135,7 +136,7 @@ def paths_same_version(t):
 @query("paths_allowed_mid", "pairs nod", f"SELECT * FROM {TWO} p WHERE mid IN (SELECT id FROM nod WHERE side = 'left' AND cell_type <> '')")
 def paths_allowed_mid(t):
     allowed = t.nod().where("side = 'left' AND cell_type <> ''").select("id")
-    return G.paths(t.pairs().where("n >= 5"), *_ends(t), 2, allowed=allowed)
+    return G.paths(t.pairs().where(F.col("n") >= t.cut(25)), *_ends(t), 2, allowed=allowed)
 
 
 @query("topk_paths", "pairs nod", f"""
@@ -182,23 +183,33 @@ def top_mediator(t):
 
 
 @query("ablation", "pairs nod", f"""
-    WITH p AS (SELECT * FROM {TWO} q), rem AS (SELECT source, 'top_mediator' AS condition, mid AS node FROM {MEDIATOR} m
-      UNION ALL SELECT source, 'first_mid', min(mid) FROM p GROUP BY 1 UNION ALL SELECT DISTINCT source, 'source', source FROM p)
-    SELECT source, condition, count(*) AS paths_before, count(*) FILTER (WHERE node NOT IN (source, mid, target)) AS paths_after,
-      count(DISTINCT target) AS targets_before, count(DISTINCT target) FILTER (WHERE node NOT IN (source, mid, target)) AS targets_after,
-      count(DISTINCT target) - count(DISTINCT target) FILTER (WHERE node NOT IN (source, mid, target)) AS targets_lost
-    FROM p JOIN rem USING (source) GROUP BY 1, 2""")
+    WITH p AS (SELECT source, mid, target FROM {TWO} q),
+      d AS (SELECT pre AS source, post AS target FROM pairs WHERE n >= CUT(25) AND pre <> post AND pre IN {SRC} AND post IN {DST}),
+      rem AS (SELECT source, 'top_mediator' AS condition, mid AS node FROM {MEDIATOR} m UNION ALL SELECT source, 'first_mid', min(mid) FROM p GROUP BY 1
+        UNION ALL SELECT DISTINCT source, 'source', source FROM p UNION ALL SELECT DISTINCT source, 'baseline', CAST(NULL AS BIGINT) FROM p),
+      r AS (SELECT source, mid, target, true AS path FROM p UNION ALL SELECT source, NULL, target, false FROM d),
+      k AS (SELECT source, condition, target, path, coalesce(node IN (source, coalesce(mid, -1), target), false) AS cut FROM r JOIN rem USING (source))
+    SELECT source, condition, count(*) FILTER (WHERE path) AS paths_before, count(*) FILTER (WHERE path AND NOT cut) AS paths_after,
+      count(DISTINCT target) AS targets_before, count(DISTINCT target) FILTER (WHERE NOT cut) AS targets_after,
+      count(DISTINCT target) - count(DISTINCT target) FILTER (WHERE NOT cut) AS targets_lost
+    FROM k GROUP BY 1, 2""")
 def ablation(t):
-    two = _two(t)
-    removals = G.top_mediator(two).select("source", F.lit("top_mediator").alias("condition"), F.col("mid").alias("node")).union(
-        two.groupBy("source").agg(F.lit("first_mid").alias("condition"), F.min("mid").alias("node"))).union(
-        two.select("source", F.lit("source").alias("condition"), F.col("source").alias("node")).distinct())
-    return G.ablate(two, removals)
+    """Reach within two edges, direct edges included; the paths are staged once."""
+    two = stage(_two(t).select("source", "mid", "target"))
+    sources, targets = _ends(t)
+    direct = G.paths(t.pairs().where(F.col("n") >= t.cut(25)), sources, targets, 1)
+    def condition(df, name, node):
+        return df.select("source", F.lit(name).alias("condition"), node.alias("node"))
+    each = two.select("source").distinct()
+    removals = condition(G.top_mediator(two), "top_mediator", F.col("mid")).union(
+        condition(two.groupBy("source").agg(F.min("mid").alias("mid")), "first_mid", F.col("mid"))).union(
+        condition(each, "source", F.col("source"))).union(condition(each, "baseline", F.lit(None).cast("long")))
+    return G.ablate(two, removals, direct)
 
 
-@query("isolates", "pairs nod", "SELECT id FROM nod WHERE id NOT IN (SELECT pre FROM pairs WHERE n >= 17) AND id NOT IN (SELECT post FROM pairs WHERE n >= 17)")
+@query("isolates", "pairs nod", "SELECT id FROM nod WHERE id NOT IN (SELECT pre FROM pairs WHERE n >= CUT(60)) AND id NOT IN (SELECT post FROM pairs WHERE n >= CUT(60))")
 def isolates(t):
-    return G.isolates(t.pairs().where("n >= 17"), t.nod().select("id"))
+    return G.isolates(t.pairs().where(F.col("n") >= t.cut(60)), t.nod().select("id"))
 
 
 @query("path_edges", "pairs nod", f"""

@@ -84,12 +84,13 @@ def point_connection_recon(t):
         WHEN n_a > 0 AND n_b > 0 THEN 'segment_dual' WHEN n_a > 0 THEN 'segment_only_a' ELSE 'segment_only_b' END AS evidence_class FROM
       (SELECT coalesce(a.pre, b.pre) AS pre, coalesce(a.post, b.post) AS post, coalesce(a.region, b.region) AS region, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b,
          coalesce(a.pre, b.pre) IN {TYPED} AND coalesce(a.post, b.post) IN {TYPED} AS k FROM r2 a FULL JOIN r3 b ON a.pre = b.pre AND a.post = b.post AND a.region = b.region) u
-      LEFT JOIN (SELECT pre, post, region, CAST(sum(least(na, nb)) AS BIGINT) AS exact_sites FROM (SELECT pre, post, region, pre_x, pre_z, post_x, count(*) AS na FROM pts WHERE ln <= 4 GROUP BY ALL) x
-        JOIN (SELECT pre, post, region, pre_x, pre_z, post_x, count(*) AS nb FROM pts WHERE ln >= 3 GROUP BY ALL) y USING (pre, post, region, pre_x, pre_z, post_x) GROUP BY 1, 2, 3) s USING (pre, post, region)) q""")
+      LEFT JOIN (SELECT pre, post, region, CAST(sum(least(na, nb)) AS BIGINT) AS exact_sites FROM (SELECT pre, post, region, pre_x, pre_y, pre_z, post_x, post_y, post_z, count(*) AS na FROM pts WHERE ln <= 4 GROUP BY ALL) x
+        JOIN (SELECT pre, post, region, pre_x, pre_y, pre_z, post_x, post_y, post_z, count(*) AS nb FROM pts WHERE ln >= 3 GROUP BY ALL) y USING (pre, post, region, pre_x, pre_y, pre_z, post_x, post_y, post_z) GROUP BY 1, 2, 3) s USING (pre, post, region)) q""")
 def dual_detector_review(t):
-    return reviews.dual_detector_review(t.pts().where("ln <= 4"), t.pts().where("ln >= 3"), _typed(t), ["pre_x", "pre_z", "post_x"])
+    return reviews.dual_detector_review(t.pts().where("ln <= 4"), t.pts().where("ln >= 3"), _typed(t), SITE)
 
 
+SITE = [f"{end}_{axis}" for end in ("pre", "post") for axis in "xyz"]
 EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n >= 5 THEN 'raw' ELSE 'segment' END AS evidence FROM edg
                WHERE (region = 'None' AND n >= 5) OR (post NOT IN {TYPED} AND n >= 4))"""
 
@@ -98,7 +99,7 @@ EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n >=
     WITH e AS (SELECT * FROM {EVIDENCE} x), c AS (SELECT id, count(*) FILTER (WHERE evidence = 'raw') AS raw_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'raw'), 0) AS BIGINT) AS raw_points,
         count(*) FILTER (WHERE evidence = 'segment') AS segment_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'segment'), 0) AS BIGINT) AS segment_points,
         count(*) FILTER (WHERE evidence = 'segment' AND n > 1) AS repeated_segment_rows FROM e GROUP BY 1),
-      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs WHERE n >= 13 GROUP BY 1),
+      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs WHERE n >= CUT(40) GROUP BY 1),
       w AS (SELECT id, region, CAST(sum(n) AS BIGINT) AS w FROM e GROUP BY 1, 2),
       d AS (SELECT id, arg_min(region, (-w, region)) AS dominant_region, string_agg(concat(region, ':', w), ';' ORDER BY w DESC, region) AS regions FROM w GROUP BY 1),
       q AS (SELECT nod.id, coalesce(raw_rows, 0) AS raw_rows, coalesce(raw_points, 0) AS raw_points, coalesce(segment_rows, 0) AS segment_rows, coalesce(segment_points, 0) AS segment_points,
@@ -112,22 +113,23 @@ def review_queue(t):
     raw = F.expr("region = 'None' AND n >= 5")
     rows = rows.where(raw | (~F.col("_typed") & (F.col("n") >= 4))).select(
         F.col("pre").alias("id"), "region", "n", F.when(raw, "raw").otherwise("segment").alias("evidence"))
-    hypotheses = t.pairs().where("n >= 13").select(F.col("pre").alias("id"), F.col("n").alias("support"))
+    hypotheses = t.pairs().where(F.col("n") >= t.cut(40)).select(F.col("pre").alias("id"), F.col("n").alias("support"))
     return reviews.review_queue(t.nod().select("id"), rows, hypotheses)
 
 
-@query("integrated_queue", "pairs nod", """
-    WITH e AS (SELECT pre AS id, post AS partner, n FROM pairs WHERE n < 3 UNION ALL SELECT post, pre, n FROM pairs WHERE n < 3 UNION ALL SELECT pre, post, n FROM pairs WHERE n >= 15),
-      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= 15) AS strong_pairs, count(*) FILTER (WHERE id = partner) AS self_pairs,
-        CAST(sum(n) AS BIGINT) AS points, count(*) FILTER (WHERE n = 1) AS single_pairs FROM e GROUP BY 1),
-      q AS (SELECT nod.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(self_pairs, 0) AS self_pairs, coalesce(points, 0) AS points, coalesce(single_pairs, 0) AS single_pairs FROM nod LEFT JOIN c USING (id)),
-      b AS (SELECT *, CASE WHEN id = 7 THEN 'point_exception' WHEN strong_pairs > 0 THEN 'strong_export' WHEN pairs > 0 THEN 'weak_pairs_only' WHEN single_pairs > 0 THEN 'segment_only'
-        WHEN self_pairs > 0 THEN 'self_contacts_only' ELSE 'no_direct_points' END AS band FROM q)
+@query("integrated_queue", "pairs edg nod", f"""
+    WITH e AS (SELECT pre AS id, post AS partner, n FROM pairs UNION ALL SELECT post, pre, n FROM pairs WHERE pre <> post),
+      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= CUT(40)) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
+        CAST(coalesce(sum(n) FILTER (WHERE id = partner), 0) AS BIGINT) AS self_points FROM e GROUP BY 1),
+      g AS (SELECT pre AS id, CAST(sum(n) AS BIGINT) AS segment_points FROM edg WHERE post NOT IN {TYPED} GROUP BY 1),
+      q AS (SELECT nod.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(points, 0) AS points, coalesce(self_points, 0) AS self_points, coalesce(segment_points, 0) AS segment_points
+        FROM nod LEFT JOIN c USING (id) LEFT JOIN g USING (id)),
+      b AS (SELECT *, CASE WHEN id = 7 THEN 'point_exception' WHEN strong_pairs > 0 THEN 'strong_export' WHEN pairs > 0 THEN 'weak_pairs_only' WHEN segment_points > 0 THEN 'segment_only'
+        WHEN points > 0 AND self_points = points THEN 'self_contacts_only' ELSE 'no_direct_points' END AS band FROM q)
     SELECT *, row_number() OVER (ORDER BY band, strong_pairs DESC, points DESC, id) AS review_rank FROM b""")
 def integrated_queue(t):
-    weak = J.explode_endpoints(t.pairs().where("n < 3")).select("id", "partner", "n")
-    strong = t.pairs().where("n >= 15").select(F.col("pre").alias("id"), F.col("post").alias("partner"), "n")
-    return reviews.integrated_queue(t.nod().select("id"), weak.union(strong), strong_at=15, exception_id=7)
+    segments = J.mark(t.edg(), "post", _typed(t), "_typed").where("NOT _typed").select(F.col("pre").alias("id"), "n")
+    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, t.cut(40), exception_id=7)
 
 
 @query("version_comparison", "v2 v3 r3 nod", f"""

@@ -16,7 +16,7 @@ mat           long score matrix (embeddings)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # name -> (views it reads, SQL)
@@ -104,6 +104,18 @@ class Tables:
     def _count(self, *keys: str, where: str = "true") -> DataFrame:
         return self.pts().where(where).groupBy(*keys).agg(F.count("*").alias("n"))
 
+    def cut(self, f: int, view: str = "pairs") -> Column:
+        """A count limit that follows the data: ``f`` percent of the way from
+        the mean count of the view to its largest, rounded up.  The largest
+        count always passes, and the share that passes stays small."""
+        n, total, top = F.count("*"), F.sum("n"), F.max("n")
+        counts = getattr(self, view)().agg(n.alias("n"), total.alias("total"), top.alias("top"))
+        mean = F.expr("total div n")
+        return counts.select(mean + F.expr(f"((top - total div n) * {f} + 99) div 100")).scalar()
+
+    def cut_value(self, f: int, view: str = "pairs") -> int:
+        return self.spark.range(1).select(self.cut(f, view).alias("v")).first().v
+
     def edg(self) -> DataFrame:
         return self._count("pre", "post", "region")
 

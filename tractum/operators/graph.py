@@ -163,12 +163,16 @@ def top_mediator(two_edge_paths: DataFrame) -> DataFrame:
     )
 
 
-def ablate(two_edge_paths: DataFrame, removals: DataFrame) -> DataFrame:
-    """Effect of removing nodes from each source's paths.
-
-    ``removals``: source, condition, node.  Gives, per (source, condition),
-    the paths and targets before and after, and the targets lost."""
-    per_target = two_edge_paths.groupBy("source", "target").agg(F.count("*").alias("_paths"))
+def ablate(two_edge_paths: DataFrame, removals: DataFrame, direct: DataFrame) -> DataFrame:
+    """Effect of removing nodes from each source's reach within two edges.
+
+    ``removals``: source, condition, node (NULL removes nothing); ``direct``:
+    source, target of the edges between them, which keep a target in reach
+    unless the source or the target itself is removed.  Gives, per (source,
+    condition), paths and targets before and after, and the targets lost."""
+    direct = direct.select("source", "target").distinct()
+    per_path = two_edge_paths.groupBy("source", "target").agg(F.count("*").alias("_paths"))
+    per_target = per_path.join(direct.withColumn("_direct", F.lit(1)), ["source", "target"], "full").fillna(0, ["_paths", "_direct"])
     before = per_target.groupBy("source").agg(
         F.sum("_paths").alias("paths_before"), F.count("*").alias("targets_before")
     )
@@ -180,9 +184,13 @@ def ablate(two_edge_paths: DataFrame, removals: DataFrame) -> DataFrame:
     hit_source = counted.join(removals.where("source = node").drop("node"), "source")
     columns = ["source", "condition", "mid", "target"]
     removed = hit_mid.select(columns).union(hit_target.select(columns)).union(hit_source.select(columns)).distinct()
-    gone = removed.groupBy("source", "condition", "target").agg(F.count("*").alias("_gone"))
+    cut = direct.join(removals.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "condition", "target").union(
+        direct.join(removals.where("source = node").drop("node"), "source").select("source", "condition", "target")).distinct()
+    losses = removed.select("source", "condition", "target", F.lit(1).alias("_path"), F.lit(0).alias("_edge")).union(
+        cut.select("source", "condition", "target", F.lit(0), F.lit(1)))
+    gone = losses.groupBy("source", "condition", "target").agg(F.sum("_path").alias("_gone"), F.sum("_edge").alias("_cut"))
     lost = gone.join(per_target, ["source", "target"]).groupBy("source", "condition").agg(
-        F.sum("_gone").alias("_paths_gone"), F.count_if(F.col("_gone") == F.col("_paths")).alias("targets_lost")
+        F.sum("_gone").alias("_paths_gone"), F.count_if((F.col("_gone") == F.col("_paths")) & (F.col("_cut") == F.col("_direct"))).alias("targets_lost")
     )
     out = removals.select("source", "condition").distinct().join(before, "source").join(
         lost, ["source", "condition"], "left"

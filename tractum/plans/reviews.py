@@ -61,16 +61,25 @@ def review_queue(nodes: DataFrame, rows: DataFrame, hypotheses: DataFrame) -> Da
     return rank_within(df, [], order, "review_rank")
 
 
-def integrated_queue(nodes: DataFrame, pair_rows: DataFrame, strong_at: int, exception_id: int) -> DataFrame:
-    """Per node: pairs, points and band from endpoint rows (id, partner, n)."""
-    counts = pair_rows.groupBy("id").agg(
-        F.count_if(F.expr("id <> partner")).alias("pairs"),
-        F.count_if(F.expr("id <> partner") & (F.col("n") >= strong_at)).alias("strong_pairs"),
-        F.count_if(F.expr("id = partner")).alias("self_pairs"), F.sum("n").alias("points"),
-        F.count_if(F.col("n") == 1).alias("single_pairs"),
+def integrated_queue(nodes: DataFrame, pairs: DataFrame, segments: DataFrame, strong_at: Column, exception_id: int) -> DataFrame:
+    """Per node: pairs, points and band from two detectors' evidence.
+
+    ``pairs``: pre, post, n of all pairs, whatever their count; ``segments``:
+    id, n of points of the second detector on unknown partners.  Bands in
+    order: the named exception, a pair of at least ``strong_at`` contacts, any
+    pair, only segments, only points on itself, none.
+    """
+    strong = pairs.withColumn("_strong", F.col("n") >= strong_at)
+    ends = strong.select(F.col("pre").alias("id"), F.col("post").alias("partner"), "n", "_strong").union(
+        strong.where("pre <> post").select("post", "pre", "n", "_strong"))
+    counts = ends.groupBy("id").agg(
+        F.count_if(F.expr("id <> partner")).alias("pairs"), F.count_if(F.expr("id <> partner AND _strong")).alias("strong_pairs"),
+        F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.expr("id = partner"), F.col("n"))), F.lit(0)).alias("self_points"),
     )
-    df = nodes.join(counts, "id", "left").fillna(0, ["pairs", "strong_pairs", "self_pairs", "points", "single_pairs"])
-    band = review_band(F.col("id") == exception_id, F.col("strong_pairs") > 0, F.col("pairs") > 0, F.col("single_pairs") > 0,
-                       F.col("self_pairs") > 0)
+    by_segment = segments.groupBy("id").agg(F.sum("n").alias("segment_points"))
+    numbers = ["pairs", "strong_pairs", "points", "self_points", "segment_points"]
+    df = nodes.join(counts, "id", "left").join(by_segment, "id", "left").fillna(0, numbers)
+    band = review_band(F.col("id") == exception_id, F.col("strong_pairs") > 0, F.col("pairs") > 0, F.col("segment_points") > 0,
+                       F.expr("points > 0 AND self_points = points"))
     order = [F.asc("band"), F.desc("strong_pairs"), F.desc("points"), F.asc("id")]
     return rank_within(df.withColumn("band", band), [], order, "review_rank")
