@@ -44,16 +44,16 @@ SITE_ID = ["okey", "ln", "x", "y", "z"]
              + (z - (az + f * (bz - az))) * (z - (az + f * (bz - az)))) AS d FROM
        (SELECT s.*, g.node_id, ax, ay, az, bx, by_, bz, least(greatest(coalesce(((s.x - ax) * (bx - ax) + (s.y - ay) * (by_ - ay) + (s.z - az) * (bz - az))
           / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) + (bz - az) * (bz - az), 0), 0.0), 0.0), 1.0) AS f
-        FROM (SELECT DISTINCT * FROM sites) s JOIN {SEG} g USING (neuron)) q) r GROUP BY 1, 2, 3, 4, 5, 6""")
+        FROM (SELECT DISTINCT * FROM sites) s LEFT JOIN {SEG} g USING (neuron)) q) r GROUP BY 1, 2, 3, 4, 5, 6""")
 def point_to_segment(t):
-    return S.nearest_segment(t.sites().distinct(), t.tree(), SITE_ID).where("near_id IS NOT NULL")
+    return S.nearest_segment(t.sites().distinct(), t.tree(), SITE_ID)
 
 
 @query("point_to_node", "tree sites", f"""
     SELECT s.neuron, s.okey, s.ln, s.x, s.y, s.z, arg_min(n.node_id, (sqrt({D3.format("s", "n")}), n.node_id)) AS near_id, min(sqrt({D3.format("s", "n")})) AS near_dist
-    FROM (SELECT DISTINCT * FROM sites) s JOIN tree n ON s.neuron = n.neuron GROUP BY 1, 2, 3, 4, 5, 6""")
+    FROM (SELECT DISTINCT * FROM sites) s LEFT JOIN tree n ON s.neuron = n.neuron GROUP BY 1, 2, 3, 4, 5, 6""")
 def point_to_node(t):
-    return S.nearest_node(t.sites().distinct(), t.tree(), SITE_ID).where("near_id IS NOT NULL")
+    return S.nearest_node(t.sites().distinct(), t.tree(), SITE_ID)
 
 
 RMS = " + ".join(f"(a.{e}_{x} - b.{e}_{x}) * (a.{e}_{x} - b.{e}_{x})" for e in ("pre", "post") for x in "xyz")

@@ -373,7 +373,7 @@ def matched_control(t):
           list_append(g.used, arg_min(c.id, (round(abs(ln(1 + s.idg) - ln(1 + c.idg)) + abs(ln(1 + s.od) - ln(1 + c.od)), 9), c.cid, c.id)))
         FROM g JOIN s ON s.super_class = g.super_class AND s.side = g.side AND s.k = g.k + 1
         LEFT JOIN c ON c.super_class = g.super_class AND c.side = g.side AND NOT list_contains(g.used, c.id) GROUP BY g.super_class, g.side, g.k, s.id, g.used)
-    SELECT super_class, side, source, control FROM g WHERE control IS NOT NULL""")
+    SELECT super_class, side, source, control FROM g WHERE source IS NOT NULL""")
 def matched_control_no_reuse(t):
     nodes = _matching_nodes(t)
     return greedy_match(nodes.where("is_source"), nodes.where("NOT is_source"), ["super_class", "side"])

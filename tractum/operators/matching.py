@@ -45,7 +45,7 @@ def nearest_control(sources: DataFrame, candidates: DataFrame, strata: Sequence[
     return found.select("source", F.col("near_id").alias("control"), F.col("near_dist").alias("score"), *strata)
 
 
-def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str], max_rounds: int = 500) -> DataFrame:
+def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Controls without reuse: sources choose in id order, each the nearest
     candidate that no earlier source took (ties: the degree cell with the
     least id, then the least id in it).
@@ -54,7 +54,8 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
     candidate prefers the earliest source, so it is found in parallel rounds:
     each unplaced source proposes to its best cell that has room or holds a
     later source, and a cell of m candidates keeps its m earliest sources.
-    Only the number of rounds is bounded, by an error.
+    Rounds go on until nothing changes; a cell's holders only ever become
+    earlier, so they end.  A source that finds no candidate has a NULL control.
     """
     strata = list(strata)
     cell = [*strata, "cid"]
@@ -63,7 +64,7 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
     cells = stage(members.groupBy(*shape).agg(F.min("id").alias("cid"), F.count("*").alias("room")))
     unplaced = stage(sources.select(F.col("id").alias("source"), *shape))
     everyone, placed = unplaced, None
-    for _ in range(max_rounds):
+    while True:
         open_to = F.lit(_ANYONE)
         offered = cells
         if placed is not None:
@@ -86,9 +87,8 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
         unplaced = stage(everyone.join(placed, [*strata, "source"], "left_anti"))
         if unplaced.isEmpty():
             break
-    else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
     if placed is None:
-        return everyone.where("false").select(*strata, "source", F.col("source").alias("control"))
+        return everyone.select(*strata, "source", F.lit(None).cast(members.schema["id"].dataType).alias("control"))
     numbered = rank_within(members.join(cells, shape), cell, ["id"], "_r").select(*cell, "_r", F.col("id").alias("control"))
-    return rank_within(placed, cell, ["source"], "_r").join(numbered, [*cell, "_r"]).select(*strata, "source", "control")
+    matched = rank_within(placed, cell, ["source"], "_r").join(numbered, [*cell, "_r"]).select("source", "control")
+    return everyone.select(*strata, "source").join(matched, "source", "left").select(*strata, "source", "control")

@@ -11,7 +11,8 @@ from tractum.functions.columns import first_match
 from tractum.sources.tables import spread
 
 # Patterns of secrets (counted, never published), of personal
-# home folders and of private session addresses (replaced).
+# home folders and of private session addresses (replaced), of local addresses
+# (counted), and of links that are not checked.
 SECRETS = {
     "private_key": r"-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----",
     "service_token": r"\b(?:sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{32,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,}|AKIA[A-Z0-9]{16})\b",
@@ -19,6 +20,7 @@ SECRETS = {
 HOME = r"""(?i)[A-Za-z]:[\\/]+Users[\\/]+[^\\/\s"'<>]+|/(?:home|Users)/[^/\s"'<>]+"""
 SESSION = r"""(?i)https?://chatgpt\.com/c/[a-f0-9-]{16,}[^\s"<>]*|codex://threads/[a-f0-9-]{16,}[^\s"<>]*"""
 LOCAL = r"""https?://(?:localhost|127\.0\.0\.1)(?::\d+)?[^\s"<>)]*"""
+NOT_LOCAL = "^(https?:|#|mailto:)"
 REPLACEMENTS = (("session", SESSION, "<PRIVATE_SESSION_URL_REMOVED>"), ("home", HOME, "<USER_HOME>"))
 
 
@@ -51,7 +53,7 @@ def include(df: DataFrame, rules: Sequence[tuple[Column, bool, str]], default: t
     return df.withColumn("included", included).withColumn("reason", reason)
 
 
-def check_links(pages: DataFrame, text: str, pattern: str, targets: DataFrame, skip: str = "^(https?:|#|mailto:)") -> DataFrame:
+def check_links(pages: DataFrame, text: str, pattern: str, targets: DataFrame, skip: str = NOT_LOCAL) -> DataFrame:
     """(page_id, link, target, found) for each distinct local link of a text;
     the part after ``#`` does not name another target."""
     links = pages.select("page_id", F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("link"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -81,11 +82,14 @@ def input_fingerprint(spark: SparkSession, inputs: Sequence[str]) -> str:
 
 
 def named_stage(df: DataFrame, name: str, inputs: Sequence[str]) -> DataFrame:
-    """Parquet stage in the shared folder, reused while the files it is made
-    from stay the same.  ``name`` stands for the query; the committer's marker
-    tells a complete stage from an interrupted one."""
+    """Parquet stage in the shared folder, reused while the query and the files
+    it is made from stay the same; the committer's marker tells a complete
+    stage from an interrupted one."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{input_fingerprint(spark, inputs)}"
+    # The plan's text without the numbers that differ from run to run.
+    plan = re.sub(r"#\d+L?|\[plan_id=\d+\]", "", df._jdf.queryExecution().optimizedPlan().toString())
+    query = hashlib.sha256(plan.encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{query}-{input_fingerprint(spark, inputs)}"
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
