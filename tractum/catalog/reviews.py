@@ -143,6 +143,23 @@ def version_comparison(t):
     return audits.most_changed_pairs(t.r2(), t.r3(), t.nod(), 100)
 
 
+@query("version_audit", "r2 r3 v2 v3", f"""
+    WITH r AS ({delta_sql("r2", "r3", ["pre", "post", "region"])}), p AS ({delta_sql("v2", "v3", PAIR)}),
+      ka AS (SELECT pre AS id FROM v2 UNION SELECT post FROM v2), kb AS (SELECT pre AS id FROM v3 UNION SELECT post FROM v3),
+      k AS (SELECT coalesce(ka.id, kb.id) AS id, ka.id IS NOT NULL AS a, kb.id IS NOT NULL AS b FROM ka FULL JOIN kb ON ka.id = kb.id),
+      w AS (SELECT n_b, CASE WHEN pre NOT IN (SELECT id FROM ka) OR post NOT IN (SELECT id FROM ka) THEN 'touches_isolate' WHEN n_b >= 10 THEN '10+' WHEN n_b >= 5 THEN '5-9'
+        WHEN n_b >= 2 THEN '2-4' ELSE '1' END AS item FROM p WHERE cls = 'only_b')
+    SELECT 'region' AS section, cls AS item, count(*) AS n_keys, CAST(coalesce(sum(n_a), 0) AS BIGINT) AS n_a, CAST(coalesce(sum(n_b), 0) AS BIGINT) AS n_b FROM r GROUP BY 2
+    UNION ALL SELECT 'pair', cls, count(*), CAST(coalesce(sum(n_a), 0) AS BIGINT), CAST(coalesce(sum(n_b), 0) AS BIGINT) FROM p GROUP BY 2
+    UNION ALL SELECT 'node', CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END, count(*), count(*) FILTER (WHERE a), count(*) FILTER (WHERE b) FROM k GROUP BY 2
+    UNION ALL SELECT 'new_pair', item, count(*), CAST(0 AS BIGINT), CAST(sum(n_b) AS BIGINT) FROM w GROUP BY 2
+    UNION ALL SELECT 'check', 'contacts_a', CAST(((SELECT sum(n) FROM r2) = (SELECT sum(n) FROM v2))::INT AS BIGINT), CAST((SELECT sum(n) FROM r2) AS BIGINT), CAST((SELECT sum(n) FROM v2) AS BIGINT)
+    UNION ALL SELECT 'check', 'contacts_b', CAST(((SELECT sum(n) FROM r3) = (SELECT sum(n) FROM v3))::INT AS BIGINT), CAST((SELECT sum(n) FROM r3) AS BIGINT), CAST((SELECT sum(n) FROM v3) AS BIGINT)
+    UNION ALL SELECT 'check', 'new_pairs_partition', CAST(((SELECT count(*) FROM p WHERE cls = 'only_b') = (SELECT count(*) FROM w))::INT AS BIGINT), (SELECT count(*) FROM p WHERE cls = 'only_b'), (SELECT count(*) FROM w)""")
+def version_audit(t):
+    return audits.version_audit(t.r2(), t.r3())
+
+
 @query("node_catalog", "claims", """
     SELECT c_custkey AS id, coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END), ''), l.labels, 'node ' || c_custkey) AS display_name,
       coalesce(l.labels, 'unknown') AS labels, coalesce(s.sources, '') AS sources, coalesce(l.n, 0) AS n_claims

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.functions.columns import first_text
+from tractum.functions.columns import delta_class, first_text
 from tractum.operators.aggs import distinct_endpoints, distinct_text
 from tractum.operators.joins import attach_claims, both_in_set, enrich_endpoints, mark, partner_class, version_delta
 from tractum.operators.graph import connected_nodes
+from tractum.plans.checks import ledger
 from tractum.session import stage
 
 PAIR, KEY3 = ["pre", "post"], ["pre", "post", "region"]
@@ -71,6 +72,50 @@ def most_changed_pairs(rows_a: DataFrame, rows_b: DataFrame, nodes: DataFrame, t
     return annotated.join(regions, PAIR, "left").fillna("", ["regions"])
 
 
+def version_audit(rows_a: DataFrame, rows_b: DataFrame) -> DataFrame:
+    """The whole comparison of two versions: (section, item, n_keys, n_a, n_b).
+
+    Sections: ``region`` and ``pair`` (keys and contacts per class), ``node``
+    (in which version a node has edges), ``new_pair`` (pairs of the second
+    version alone by contacts, if both ends have edges in the first; else
+    ``touches_isolate``) and ``check`` (n_a expected, n_b found; n_keys is 1
+    if they are equal).  Each input is read once, into a staged comparison per
+    region, from which all else comes.  ``rows_*``: pre, post, region, n.
+    """
+    regions = stage(version_delta(rows_a, rows_b, KEY3))
+    both = regions.groupBy(*PAIR).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    pairs = stage(both.withColumn("cls", delta_class("n_a", "n_b")))
+    keys, of_a, of_b = F.count("*").alias("n_keys"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b")
+
+    def section(name: str, df: DataFrame, item) -> DataFrame:
+        return df.groupBy(item.alias("item")).agg(keys, of_a, of_b).select(F.lit(name).alias("section"), "item", "n_keys", "n_a", "n_b")
+
+    ends = pairs.select(F.explode(F.array(*PAIR)).alias("id"), F.col("n_a").isNotNull().cast("int").alias("a"), F.col("n_b").isNotNull().cast("int").alias("b"))
+    nodes = stage(ends.groupBy("id").agg(F.max("a").alias("n_a"), F.max("b").alias("n_b")))
+    where = F.when(F.expr("n_a = 1 AND n_b = 1"), "both").when(F.col("n_a") == 1, "only_a").otherwise("only_b")
+    new = pairs.where("cls = 'only_b'")
+    for end in PAIR:
+        new = mark(new, end, nodes.where("n_a = 1").select("id"), f"_{end}")
+    bucket = F.when(~(F.col("_pre") & F.col("_post")), "touches_isolate").when(F.col("n_b") >= 10, "10+").when(F.col("n_b") >= 5, "5-9").when(
+        F.col("n_b") >= 2, "2-4").otherwise("1")
+    parts = stage(reduce(DataFrame.unionByName, [
+        section("region", regions, F.col("cls")), section("pair", pairs, F.col("cls")), section("node", nodes, where), section("new_pair", new, bucket)]))
+
+    def total(name: str, value: str, item: str | None = None):
+        chosen = F.col("section") == name
+        return F.coalesce(F.sum(F.when(chosen if item is None else chosen & (F.col("item") == item), F.col(value))), F.lit(0))
+
+    checks = {
+        "contacts_a": (total("region", "n_a"), total("pair", "n_a")), "contacts_b": (total("region", "n_b"), total("pair", "n_b")),
+        "new_pairs_partition": (total("pair", "n_keys", "only_b"), total("new_pair", "n_keys")),
+    }
+    named = ledger(parts.agg(*[v.alias(f"{k}_{side}") for k, both in checks.items() for side, v in zip("ef", both)]),
+                   {k: (F.col(f"{k}_e"), F.col(f"{k}_f")) for k in checks})
+    rows = named.select(F.lit("check").alias("section"), F.col("name").alias("item"), F.col("passed").cast("long").alias("n_keys"),
+                        F.col("expected").alias("n_a"), F.col("actual").alias("n_b"))
+    return parts.unionByName(rows)
+
+
 def node_catalog(nodes: DataFrame, claims: DataFrame) -> DataFrame:
     """One row per node with its claims and a display name; the node count is
     kept.  ``nodes``: id, name; ``claims``: claim_id, root_id, source_id, label."""
