@@ -6,7 +6,8 @@ equal anchors at equal offsets, so only strings around an anchor that occurs
 again can repeat.  An anchor's context is the text that holds all strings with
 that anchor.  Contexts found whole more than once are repeated throughout; for
 the others the contexts of one anchor are put side by side, and their suffix
-array shows which strings of ``LENGTH`` bytes occur at two places.
+array shows which strings of ``LENGTH`` bytes occur at two places.  The gram
+itself is equal in all of them and stands as eight bytes of its hash there.
 
 The suffix array is built by linear grouping: suffixes are grouped by their
 Lyndon prefix, the groups are processed in descending order through pointers
@@ -28,10 +29,10 @@ from tractum.llm.textops import text_slices
 from tractum.session import stage
 
 LENGTH = 200
-GRAM = 32
+GRAM = 100
 SIDE_BY_SIDE = 256  # contexts of one anchor sorted together; an anchor with more is settled string by string
 CHUNK = 1 << 16  # bytes sorted together
-BROADCAST_ROWS = 200_000  # documents with findings are sent to all tasks up to this many; else joined by shuffle
+BROADCAST_ROWS = 200_000  # documents' merged findings are sent to all tasks up to this many; else joined by shuffle
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CODE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -109,11 +110,13 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
-def repeated_starts(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the ``starts`` begin a string of ``length`` bytes that begins at another of them too."""
-    rank = np.empty(len(data) + 1, np.int64)
-    rank[suffix_array(data)] = np.arange(len(data))
-    order = np.argsort(rank[starts])
+def repeated_starts(short: bytes, at: np.ndarray, data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the ``starts`` begin a string of ``length`` bytes of ``data``
+    that begins at another of them too.  ``short`` is the text with shortened
+    grams, ``at`` the same starts in it; its order puts equal strings together."""
+    rank = np.empty(len(short) + 1, np.int64)
+    rank[suffix_array(short)] = np.arange(len(short))
+    order = np.argsort(rank[at])
     rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[starts[order]]
     same = (rows[1:] == rows[:-1]).all(axis=1)
     out = np.zeros(len(starts), bool)
@@ -145,12 +148,13 @@ class Hashes:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, gram hash, context hash) of
-    every anchor of the documents in ``data``."""
+    """(document, first start, number of starts, anchor, gram hash, context
+    hash) of every anchor of the documents in ``data``; places count from the
+    document's start."""
     n, width = len(data), length - gram + 1
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     hashes = Hashes(data)
     g = hashes.of(slice(0, n - gram + 1), slice(gram, n + 1))
     least = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
@@ -164,12 +168,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     start = np.flatnonzero(np.arange(len(own)) + length <= offsets[doc + 1])
     own, doc = own[start], doc[start]
     if not len(start):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty, empty
     first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.append(first, len(own)))
     lo = start[first]
     context = hashes.of(lo, lo + count - 1 + length)
-    return doc[first], lo - offsets[doc[first]], count, g[own[first]].view(np.int64), context.view(np.int64)
+    begin = offsets[doc[first]]
+    return doc[first], lo - begin, count, own[first] - begin, g[own[first]].view(np.int64), context.view(np.int64)
 
 
 def _pieces(frames: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -188,24 +193,25 @@ def _sort_contexts(length: int):
         if not batches:
             return
         table = pa.Table.from_batches(batches).sort_by("h")
-        h, rid, lo, n, copies = (table.column(c).to_numpy() for c in ("h", "rid", "lo", "n", "copies"))
+        h, rid, lo, n, anchor, copies = (table.column(c).to_numpy() for c in ("h", "rid", "lo", "n", "anchor", "copies"))
         body = table.column("body").to_pylist()
+        cut = [b[:p] + code.tobytes() + b[p + GRAM:] for b, p, code in zip(body, (anchor - lo).tolist(), h)]
         borders = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
         at = 0
         while at + 1 < len(borders):
             a, stop, total = borders[at], at + 1, 0
-            total = sum(map(len, body[a:borders[stop]]))
+            total = sum(map(len, cut[a:borders[stop]]))
             while stop + 1 < len(borders):
-                more = sum(map(len, body[borders[stop]:borders[stop + 1]]))
+                more = sum(map(len, cut[borders[stop]:borders[stop + 1]]))
                 if total + more > CHUNK:
                     break
                 total, stop = total + more, stop + 1
             b, at = borders[stop], stop
-            sizes = np.array([len(x) for x in body[a:b]])
-            begin = np.cumsum(sizes) - sizes
+            sizes, short = np.array([len(x) for x in body[a:b]]), np.array([len(x) for x in cut[a:b]])
+            begin, begin_short = np.cumsum(sizes) - sizes, np.cumsum(short) - short
             owner = np.repeat(np.arange(b - a), n[a:b])
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-            hit = repeated_starts(b"".join(body[a:b]), begin[owner] + offset, length) & (copies[a:b][owner] == 1)
+            hit = repeated_starts(b"".join(cut[a:b]), begin_short[owner] + offset, b"".join(body[a:b]), begin[owner] + offset, length) & (copies[a:b][owner] == 1)
             owner, offset = owner[hit], offset[hit]
             if not len(owner):
                 continue
@@ -233,6 +239,27 @@ def _strings(length: int):
     return run
 
 
+def _merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins runs of starts that touch: most neighbours do."""
+    for frame in frames:
+        spans = frame.column(1)
+        if not len(spans):
+            continue
+        flat, sizes = spans.flatten(), pa.compute.list_value_length(spans).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        lo, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+        order = np.lexsort((lo, row))
+        row, lo, stop = row[order], lo[order], (lo + n)[order]
+        wide = row * (int(stop.max()) + 2)  # rows side by side, apart from each other
+        reach = np.maximum.accumulate(stop + wide)
+        first = np.flatnonzero(np.concatenate(([True], lo[1:] + wide[1:] > reach[:-1])))
+        last = np.append(first[1:], len(lo)) - 1
+        begin, end = lo[first], (reach - wide)[last]
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=len(sizes))))).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["lo", "n"])
+        yield pa.RecordBatch.from_arrays([frame.column(0), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["rid", "spans"])
+
+
 def _sent_if_small(df: DataFrame) -> DataFrame:
     df = stage(df)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -244,38 +271,38 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def mark(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for rows, data, offsets in text_slices(frame, "text"):
-                doc, lo, n, h, c = anchors(data, offsets, length)
+                doc, lo, n, anchor, h, c = anchors(data, offsets, length)
                 if len(doc):
                     rid = rows.column(0).to_numpy()[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(c)], names=["rid", "lo", "n", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.astype(np.int32)), pa.array(h), pa.array(c)], names=["rid", "lo", "n", "anchor", "h", "c"])
 
-    marked = stage(docs.mapInArrow(mark, "rid long, lo int, n int, h long, c long"))
+    marked = stage(docs.mapInArrow(mark, "rid long, lo int, n int, anchor int, h long, c long"))
     again = marked.groupBy("h").agg(F.count("*").alias("_m")).where("_m > 1").select("h")
     found = stage(marked.join(again, "h"))
-    kinds = found.groupBy("h", "c", "n").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo")).alias("one"))
+    kinds = found.groupBy("h", "c", "n").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "lo", "anchor")).alias("one"))
     kinds = stage(kinds)
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     whole = found.join(kinds.where("copies > 1").select("h", "c", "n"), ["h", "c", "n"]).select("rid", "lo", "n")
-    asked = kinds.join(several, "h").select("h", "kinds", "copies", "n", "one.rid", "one.lo")
-    spans = F.collect_list(F.struct("lo", "n", "h", "kinds", "copies")).alias("spans")  # bounded by the document
-    texts = docs.join(_sent_if_small(asked.groupBy("rid").agg(spans)), "rid").select("rid", "text", "spans")
+    asked = kinds.join(several, "h").select("h", "kinds", "copies", "n", "one.rid", "one.lo", "one.anchor")
+    spans = F.collect_list(F.struct("lo", "n", "anchor", "h", "kinds", "copies")).alias("spans")  # bounded by the document
+    texts = docs.join(asked.groupBy("rid").agg(spans).hint("shuffle_merge"), "rid").select("rid", "text", "spans")
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets, owner, flat, _ in _pieces(frames, length):
-            lo, n, h, kinds, copies = (flat.field(c).to_numpy() for c in range(5))
+            lo, n, anchor, h, kinds, copies = (flat.field(c).to_numpy() for c in range(6))
             start = offsets[owner] + lo
             body = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + n - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows.column(0).to_numpy()[owner]), pa.array(lo), pa.array(n), pa.array(copies), pa.array(body, pa.binary()), pa.array(kinds)],
-                                             names=["h", "rid", "lo", "n", "copies", "body", "kinds"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rows.column(0).to_numpy()[owner]), pa.array(lo), pa.array(n), pa.array(copies), pa.array(body, pa.binary()), pa.array(kinds), pa.array(anchor)],
+                                             names=["h", "rid", "lo", "n", "copies", "body", "kinds", "anchor"])
 
-    contexts = stage(texts.mapInArrow(cut, "h long, rid long, lo int, n int, copies long, body binary, kinds long"))
+    contexts = stage(texts.mapInArrow(cut, "h long, rid long, lo int, n int, copies long, body binary, kinds long, anchor int"))
     sorted_ = contexts.where(F.col("kinds") <= SIDE_BY_SIDE).repartition("h").mapInArrow(_sort_contexts(length), "rid long, lo int, n int")
     # Anchors with very many contexts: every string by itself, counted before anything meets.
     strings = contexts.where(F.col("kinds") > SIDE_BY_SIDE).select("h", "rid", "lo", "n", "copies", "body").mapInArrow(_strings(length), "s long, rid long, lo int, copies long")
     twice = strings.groupBy("s").agg(F.sum("copies").alias("_m")).where("_m > 1").select("s")
     settled = strings.where("copies = 1").join(twice, "s").select("rid", "lo", F.lit(1).alias("n"))
     every = whole.unionByName(sorted_).unionByName(settled)
-    return every.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return every.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans")).mapInArrow(_merge, "rid long, spans array<struct<lo:int,n:int>>")
 
 
 def remove_repeats(df: DataFrame, id_column: str, text: str, length: int = LENGTH) -> DataFrame:
