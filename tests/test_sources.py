@@ -11,6 +11,31 @@ from tractum.sources import tables
 from tractum.sources.feather import read_feather, write_feather
 
 
+def test_feather_by_uri(spark, tmp_path):
+    df = spark.range(50).repartition(2)
+    assert sum(r.n_rows for r in write_feather(df, f"file://{tmp_path}/u").collect()) == 50
+    assert sorted(r.id for r in read_feather(spark, f"file:{tmp_path}/u").collect()) == list(range(50))
+
+
+def test_feather_on_another_filesystem(tmp_path):
+    """Paths belong to the filesystem object, not to the machine; an unfinished file is not seen."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from tractum.sources import feather
+
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    store.create_dir("d")
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2, 3]})
+    assert feather.write_complete(store, "d/a.arrow", [batch, batch.slice(0, 0)]) == 3
+    assert feather.write_complete(store, "d/b.arrow", []) == 0
+    with store.open_output_stream("d/c.arrow.1.tmp") as out:
+        out.write(b"half")
+    assert feather.arrow_files(store, "d") == ["d/a.arrow"]
+    with store.open_input_file("d/a.arrow") as source:
+        assert pa.ipc.open_file(source).read_all().column("x").to_pylist() == [1, 2, 3]
+
+
 def test_feather_round_trip_in_ranges(spark, tmp_path):
     df = spark.range(0, 50_000, numPartitions=3).select((F.col("id") + 720575940000000000).alias("id"), (F.col("id") % 7).alias("n"))
     files = write_feather(df, str(tmp_path / "f")).collect()

@@ -2,25 +2,46 @@
 
 Reading: one Spark partition per range of record batches, handed over as Arrow
 batches.  Writing: one file per Spark partition, streamed batch by batch.
-Paths must be on storage every executor mounts.
+Paths are plain paths of a mount that every executor has, or URIs of a
+filesystem that pyarrow opens (``hdfs:``, ``s3:``, ``gs:``, ``file:`` ...).
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The filesystem of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:(//)?(?=/)", "", path)
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def arrow_files(store: fs.FileSystem, inner: str) -> list[str]:
+    """The complete Feather files of a folder, or the file itself."""
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return [inner]
+    found = store.get_file_info(fs.FileSelector(inner))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".arrow"))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    return sorted(glob.glob(f"{path}/*.arrow")) if os.path.isdir(path) else [path]
+    return arrow_files(*located(path))
+
+
+def _open(path: str, inner: str) -> pa.NativeFile:
+    return located(path)[0].open_input_file(inner)
 
 
 class BatchRange(InputPartition):
@@ -34,14 +55,14 @@ class FeatherReader(DataSourceReader):
 
     def partitions(self) -> list[BatchRange]:
         ranges = []
-        for path in _files(self.path):
-            with pa.memory_map(path) as source:
+        for inner in _files(self.path):
+            with _open(self.path, inner) as source:
                 n = pa.ipc.open_file(source).num_record_batches
-            ranges += [BatchRange(path, i, min(i + self.batches, n)) for i in range(0, n, self.batches)]
+            ranges += [BatchRange(inner, i, min(i + self.batches, n)) for i in range(0, n, self.batches)]
         return ranges
 
     def read(self, part: BatchRange) -> Iterator[pa.RecordBatch]:
-        with pa.memory_map(part.path) as source:
+        with _open(self.path, part.path) as source:
             reader = pa.ipc.open_file(source)
             for i in range(part.first, part.last):
                 yield reader.get_batch(i).select(self.columns)
@@ -56,7 +77,8 @@ class FeatherSource(DataSource):
         return "feather"
 
     def _arrow_schema(self) -> pa.Schema:
-        with pa.memory_map(_files(self.options["path"])[0]) as source:
+        path = self.options["path"]
+        with _open(path, _files(path)[0]) as source:
             schema = pa.ipc.open_file(source).schema
         wanted = self.options.get("columns")
         return pa.schema([schema.field(c) for c in wanted.split(",")]) if wanted else schema
@@ -75,26 +97,36 @@ def read_feather(spark: SparkSession, path: str, columns: list[str] | None = Non
     return (reader.option("columns", ",".join(columns)) if columns else reader).load()
 
 
+def write_complete(store: fs.FileSystem, final: str, batches) -> int:
+    """Writes the batches under a name of its own and moves the file to
+    ``final`` once it is complete; no rows leave no file.  Returns the rows."""
+    partial, sink, writer, rows = f"{final}.{uuid.uuid4().hex}.tmp", None, None, 0
+    for batch in batches:
+        if batch.num_rows:
+            if writer is None:
+                sink = store.open_output_stream(partial)
+                writer = pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+            rows += batch.num_rows
+    if writer is not None:
+        writer.close()
+        sink.close()
+        store.move(partial, final)
+    return rows
+
+
 def write_feather(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df`` under ``path`` and returns (file, n_rows).  A file gets its
     final name only when complete, so a retried task leaves no half file."""
-    path = path.removeprefix("file://").removeprefix("file:")
-
     def write(batches):
-        os.makedirs(path, exist_ok=True)
         from pyspark import TaskContext
 
+        store, inner = located(path)
+        store.create_dir(inner, recursive=True)
         # Named by partition: a retried or speculative copy replaces its twin.
-        final = f"{path}/part-{TaskContext.get().partitionId():06d}.arrow"
-        partial, writer, rows = f"{final}.{uuid.uuid4().hex}.tmp", None, 0
-        for batch in batches:
-            if batch.num_rows:
-                writer = writer or pa.ipc.new_file(partial, batch.schema)
-                writer.write_batch(batch)
-                rows += batch.num_rows
-        if writer is not None:
-            writer.close()
-            os.replace(partial, final)
+        final = f"{inner}/part-{TaskContext.get().partitionId():06d}.arrow"
+        rows = write_complete(store, final, batches)
+        if rows:
             yield pa.RecordBatch.from_pydict({"file": [final], "n_rows": [rows]})
 
     return df.mapInArrow(write, "file string, n_rows long")
