@@ -19,7 +19,8 @@ HEADLINE = (
     "trailing_rate", "inter_event_interval", "ewma", "degrees", "hop_distance", "paths_2hop", "reach_summary", "adjacency",
     "skeleton_topology", "point_to_node", "point_to_segment", "nearest_in_key", "exact_site_matches", "resolve_ids",
     "claims_rollup", "node_catalog", "dual_detector_review", "table_audit", "text_scrub", "link_check", "stable_hash",
-    "stream_edge_counts", "stream_tumbling",
+    "stream_edge_counts", "stream_tumbling", "stream_ewma", "version_audit", "matched_control", "shortest_paths", "paths_3hop", "ablation",
+    "partner_patterns", "node_coverage", "udtf_path_edges",
 )
 
 

@@ -19,12 +19,14 @@ def prefix_category(c: Column, prefixes: Sequence[tuple[str, str]], default: str
     return first_match([(c.startswith(p), F.lit(r)) for p, r in prefixes], F.lit(default))
 
 
+# The tiers of evidence, strongest first.
+TIERS = ("A_raw_exception", "B_segment_contact", "C_type_only", "no_released_support")
+
+
 def evidence_tier(raw: Column, segment: Column, hypothesis: Column) -> Column:
     """Strongest evidence a node has."""
-    return first_match(
-        [(raw, F.lit("A_raw_exception")), (segment, F.lit("B_segment_contact")), (hypothesis, F.lit("C_type_only"))],
-        F.lit("no_released_support"),
-    )
+    found = [(c, F.lit(tier)) for c, tier in zip((raw, segment, hypothesis), TIERS)]
+    return first_match(found, F.lit(TIERS[-1]))
 
 
 def review_band(exception: Column, strong: Column, weak: Column, segment: Column, self_only: Column) -> Column:

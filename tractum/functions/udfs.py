@@ -41,7 +41,7 @@ def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n_peaks": [len(at)], "first_peak": [at[0]], "last_peak": [at[-1]]})
 
 
-@F.udtf(returnType=T.StructType().add("id", T.LongType()).add("partner", T.LongType()).add("role", T.StringType()))
+@F.udtf(returnType=T.StructType().add("id", T.LongType()).add("partner", T.LongType()).add("role", T.StringType()), useArrow=True)
 class EndpointRows:
     def eval(self, pre: int, post: int):
         yield pre, post, "pre"

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.functions.rules import DETECTOR_RANK, detector_class, evidence_tier, rank_of, review_band
+from tractum.functions.rules import DETECTOR_RANK, TIERS, detector_class, evidence_tier, rank_of, review_band
 from tractum.operators.aggs import dominant, histogram_text
 from tractum.operators.joins import exact_site_matches, key_union, mark
 from tractum.operators.ordered import rank_within
 
 KEY3 = ["pre", "post", "region"]
-TIERS = ("A_raw_exception", "B_segment_contact", "C_type_only", "no_released_support")
 
 
 def dual_detector_review(a: DataFrame, b: DataFrame, known: DataFrame, coordinates: list[str]) -> DataFrame:
