@@ -161,7 +161,7 @@ def exact_site_matches(a: DataFrame, b: DataFrame, keys: Sequence[str], coordina
     full = [*keys, *coordinates]
     ca = a.groupBy(*full).agg(F.count("*").alias("_na"))
     cb = b.groupBy(*full).agg(F.count("*").alias("_nb"))
-    return ca.join(cb, full).groupBy(*keys).agg(F.sum(F.least("_na", "_nb")).alias("exact_sites"))
+    return join_null_safe(ca, cb, full).groupBy(*keys).agg(F.sum(F.least("_na", "_nb")).alias("exact_sites"))
 
 
 def explode_endpoints(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

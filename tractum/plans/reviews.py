@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tractum.functions.rules import DETECTOR_RANK, TIERS, detector_class, evidence_tier, rank_of, review_band
 from tractum.operators.aggs import dominant, histogram_text
 from tractum.operators.joins import exact_site_matches, key_union, mark
+from tractum.operators.keys import join_null_safe
 from tractum.operators.ordered import rank_within
 
 KEY3 = ["pre", "post", "region"]
@@ -19,7 +20,7 @@ def dual_detector_review(a: DataFrame, b: DataFrame, known: DataFrame, coordinat
     def counts(df: DataFrame) -> DataFrame:
         return df.groupBy(*KEY3).agg(F.count("*").alias("n"))
 
-    keys = key_union(counts(a), counts(b), KEY3).join(exact_site_matches(a, b, KEY3, coordinates), KEY3, "left")
+    keys = join_null_safe(key_union(counts(a), counts(b), KEY3), exact_site_matches(a, b, KEY3, coordinates), KEY3, "left")
     keys = mark(mark(keys, "pre", known, "_pre"), "post", known, "_post")
     cls = detector_class(F.col("_pre") & F.col("_post"), F.col("n_a"), F.col("n_b"))
     df = keys.select(*KEY3, "n_a", "n_b", F.coalesce("exact_sites", F.lit(0)).alias("exact_sites"), cls.alias("evidence_class"))
