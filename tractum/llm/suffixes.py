@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from tractum.session import stage
 
 LENGTH = 200
 GRAM = 100
-SIDE_BY_SIDE = 256  # contexts of one anchor sorted together; an anchor with more is settled string by string
+SIDE_BY_SIDE = 256  # contexts of one anchor sorted together; larger groups are halved by content
 CHUNK = 1 << 16  # bytes sorted together
 BROADCAST_ROWS = 200_000  # documents' merged findings are sent to all tasks up to this many; else joined by shuffle
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -222,21 +223,42 @@ def _sort_contexts(length: int):
     return run
 
 
-def _strings(length: int):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for k in range(0, frame.num_rows, 2000):
-                part = frame.slice(k, 2000)
-                rid, lo, n, copies = (part.column(c).to_numpy() for c in range(1, 5))
-                body = part.column(5)
-                data = np.frombuffer(b"".join(body.to_pylist()), np.uint8)
-                sizes = pa.compute.binary_length(body).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(rid)), n)
-                offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                start = (np.cumsum(sizes) - sizes)[owner] + offset
-                yield pa.RecordBatch.from_arrays([pa.array(Hashes(data).of(start, start + length).view(np.int64)), pa.array(rid[owner]), pa.array((lo[owner] + offset).astype(np.int32)), pa.array(copies[owner])], names=["s", "rid", "lo", "copies"])
-
-    return run
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts cut in two by where the anchor lies in a string (``a0 <= place
+    < a1``).  All strings of a half hold the bytes from ``a0`` before the anchor
+    to the end of the one with the anchor at ``a1 - 1``, so equal strings of a
+    half agree on them: their hash makes the half's own group."""
+    middle = F.floor((F.col("a0") + F.col("a1")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("a0").alias("b0"), middle.alias("b1")), F.struct(middle.alias("b0"), F.col("a1").alias("b1")))).alias("half")
+    cut = rows.select("*", half).select("*", "half.b0", "half.b1").where("b0 < b1")
+    first = F.greatest("lo", F.col("anchor") - F.col("b1") + 1)
+    last = F.least(F.col("lo") + F.col("n") - 1, F.col("anchor") - F.col("b0"))
+    cut = cut.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    common = F.substr("body", F.col("anchor") - F.col("b0") - F.col("lo") + 1, F.col("b0") - F.col("b1") + 1 + length)
+    return cut.select(
+        F.xxhash64("h", "b0", "b1", common).alias("h"), "rid", F.col("_first").alias("lo"), (F.col("_last") - F.col("_first") + 1).alias("n"), "copies",
+        F.substr("body", F.col("_first") - F.col("lo") + 1, F.col("_last") - F.col("_first") + length).alias("body"), "anchor", F.col("b0").alias("a0"), F.col("b1").alias("a1"))
+
+
+def _settle_crowded(crowded: DataFrame, length: int, sort) -> DataFrame:
+    """(rid, lo, n) of repeated starts for anchors with very many contexts.
+
+    Groups are halved until they are small enough to be sorted or hold one
+    string only; members of a group alone go, as nothing can equal them.
+    Groups are counted before anything meets, and each half keeps its strings,
+    so none is lost; the rounds are the logarithm of the string length.
+    """
+    rows = crowded.withColumn("a0", F.lit(0)).withColumn("a1", F.lit(length - GRAM + 1))
+    found = []
+    while not rows.isEmpty():
+        rows = _halves(rows, length)
+        groups = rows.groupBy("h").agg(F.count("*").alias("members"), F.sum("copies").alias("_m")).where("_m > 1").select("h", "members")
+        rows = stage(rows.join(groups, "h"))
+        small = rows.where((F.col("members") <= SIDE_BY_SIDE) & (F.col("a1") - F.col("a0") > 1))
+        found.append(small.repartition("h").mapInArrow(sort, "rid long, lo int, n int"))
+        found.append(rows.where("a1 - a0 = 1 and copies = 1").select("rid", "lo", "n"))
+        rows = rows.where((F.col("members") > SIDE_BY_SIDE) & (F.col("a1") - F.col("a0") > 1)).drop("members")
+    return reduce(DataFrame.unionByName, found) if found else crowded.select("rid", "lo", "n")
 
 
 def _merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +318,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                                              names=["h", "rid", "lo", "n", "copies", "body", "kinds", "anchor"])
 
     contexts = stage(texts.mapInArrow(cut, "h long, rid long, lo int, n int, copies long, body binary, kinds long, anchor int"))
-    sorted_ = contexts.where(F.col("kinds") <= SIDE_BY_SIDE).repartition("h").mapInArrow(_sort_contexts(length), "rid long, lo int, n int")
-    # Anchors with very many contexts: every string by itself, counted before anything meets.
-    strings = contexts.where(F.col("kinds") > SIDE_BY_SIDE).select("h", "rid", "lo", "n", "copies", "body").mapInArrow(_strings(length), "s long, rid long, lo int, copies long")
-    twice = strings.groupBy("s").agg(F.sum("copies").alias("_m")).where("_m > 1").select("s")
-    settled = strings.where("copies = 1").join(twice, "s").select("rid", "lo", F.lit(1).alias("n"))
+    sort = _sort_contexts(length)
+    sorted_ = contexts.where(F.col("kinds") <= SIDE_BY_SIDE).repartition("h").mapInArrow(sort, "rid long, lo int, n int")
+    settled = _settle_crowded(contexts.where(F.col("kinds") > SIDE_BY_SIDE).drop("kinds"), length, sort)
     every = whole.unionByName(sorted_).unionByName(settled)
     return every.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans")).mapInArrow(_merge, "rid long, spans array<struct<lo:int,n:int>>")
 
@@ -314,7 +334,7 @@ def remove_repeats(df: DataFrame, id_column: str, text: str, length: int = LENGT
     empty; shorter texts keep everything; rows with the same or a null id are
     texts of their own, so all of several equal long texts go.  Rows are told
     apart by their place in the input, which a table of files keeps.  Equal
-    contexts and, for crowded anchors, equal strings are told by 64-bit hashes.
+    contexts and, for crowded anchors, equal parts are told by 64-bit hashes.
     Building the result runs jobs and stages tables.
     """
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
