@@ -62,24 +62,22 @@ def nearest_within(
     columns = list(dict.fromkeys([*keys, *query_id]))
     everyone = stage(queries.select(*columns, F.struct(*anchors, *payload).alias("q")).withColumn(
         "_qid", F.monotonically_increasing_id()))
+    tasks = int(everyone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Spread by query: the work per row is heavy and keys may be skewed.
+    q = everyone.select(*keys, "_qid", "q").repartition(tasks, "_qid")
     large = stage(c.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > LEAF).select(*keys))
     has_large = not large.isEmpty()
-    few = join_null_safe(c, large, keys, "left_anti") if has_large else c
-    # A short list is compared within the query's row: nothing is exploded or regrouped.
+    few, q_few = c, q
+    if has_large:
+        few, q_few = join_null_safe(c, large, keys, "left_anti"), join_null_safe(q, large, keys, "left_anti")
     few = few.groupBy(*keys).agg(F.collect_list(c_struct).alias("_few"))
-    own = F.col("_few") if eligible is None else F.filter("_few", lambda rep: eligible(F.col("q"), rep))
-    hit = F.array_min(F.transform(own, lambda rep: F.struct(distance(F.col("q"), rep).alias("d"), rep["cid"].alias("cid"))))
-    near = join_null_safe(everyone, few, keys, "left").select(*columns, "_qid", hit.alias("hit"))
-    near = near.select(*columns, "_qid", F.col("hit.cid").alias("near_id"), F.col("hit.d").alias("near_dist"))
-    if not has_large:
-        return near.drop("_qid")
-    tasks = int(everyone.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Spread by query: the work per row is heavy and keys may be skewed.
-    q = join_null_safe(everyone.select(*keys, "_qid", "q"), large, keys, "left_semi").repartition(tasks, "_qid")
-    many = join_null_safe(c, large, keys, "left_semi")
-    far = _best(_descend(q, many, keys, c_struct, distance, eligible, most_open), distance, eligible).toDF("_qid", "_far_id", "_far_dist")
-    both = near.join(far, "_qid", "left")
-    return both.select(*columns, F.coalesce("near_id", "_far_id").alias("near_id"), F.coalesce("near_dist", "_far_dist").alias("near_dist"))
+    met = join_null_safe(q_few, few, keys).select("_qid", "q", F.explode("_few").alias("rep"))
+    best = _best(met, distance, eligible)
+    if has_large:
+        many = join_null_safe(c, large, keys, "left_semi")
+        met = _descend(join_null_safe(q, large, keys, "left_semi"), many, keys, c_struct, distance, eligible, most_open)
+        best = best.unionByName(_best(met, distance, eligible))
+    return everyone.select(*columns, "_qid").join(best, "_qid", "left").drop("_qid")
 
 
 def _best(met: DataFrame, distance, eligible) -> DataFrame:
