@@ -39,7 +39,7 @@ def test_whole_table(spark, sf):
     assert check(op1_suffix_dedup(spark, folder).collect(), spark.read.parquet(f"{folder}/documents.parquet").collect()) > 0
 
 
-@pytest.mark.parametrize("side_by_side", [256, 2])
+@pytest.mark.parametrize("side_by_side", [2048, 2])
 def test_edges(spark, tmp_path, monkeypatch, side_by_side):
     """Copies, passages at text borders, runs of one letter, exact lengths; crowded anchors settled string by string."""
     monkeypatch.setattr(suffixes, "SIDE_BY_SIDE", side_by_side)

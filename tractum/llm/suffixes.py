@@ -31,7 +31,7 @@ from tractum.session import stage
 
 LENGTH = 200
 GRAM = 100
-SIDE_BY_SIDE = 256  # contexts of one anchor sorted together; larger groups are halved by content
+SIDE_BY_SIDE = 2048  # contexts of one anchor sorted together; larger groups are halved by content
 CHUNK = 1 << 16  # bytes sorted together
 BROADCAST_ROWS = 200_000  # documents' merged findings are sent to all tasks up to this many; else joined by shuffle
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
