@@ -100,3 +100,35 @@ def test_similar_texts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df, "doc_id", "text").count() == 0
+
+
+def grouped(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(df, "doc_id", "text").collect()}
+
+
+def wanted(texts):
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    return plain_groups(ids, [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("small, cell", [(64, 2048), (8, 50), (1000, 2048)])
+def test_star_of_edited_copies(spark, monkeypatch, small, cell):
+    """Copies at 0.84 of one original and about 0.72 of each other: siblings are often nearer by bits, all are one group."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(229)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 301):
+        words = list(base)
+        for k in range(4):
+            words[rng.randrange(5 + 55 * k, 50 + 55 * k)] = f"n{i}_{k}"
+        texts[i] = " ".join(words)
+    assert set(wanted(texts).values()) == {0}
+    assert set(grouped(spark, texts).values()) == {0}

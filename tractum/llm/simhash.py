@@ -6,14 +6,16 @@ segments together differ in at most k * r / m bits, for every k (the strong
 form of the pigeonring principle).  Only pairs whose first segment agrees
 meet; the chain cuts them down segment by segment before the full Hamming
 check.  With r < m the first budget is 0, so the search is complete.  With a
-larger r it finds the pairs that agree in at least one segment; the share is
-1 - (1 - (1 - r/bits) ** segment_bits) ** m for a pair at distance r.
+larger r it finds only pairs that agree in a segment; with a similarity these
+are a start, and a join on the rare shingles of each text (prefix filter) finds
+every similar pair between the components that they leave.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +29,10 @@ from tractum.session import stage
 
 CELL = 2048  # fingerprints of one first segment that meet in one cell; more are dealt out as pairs of chunks
 BLOCK = 1_000_000  # pairs compared at once
+SMALL = 64  # nodes of one shingle that meet as pairs; where more meet, their sets are compared as a crowd
+CROWD = 2_000_000  # shingles of a chunk of a crowd
+SAMPLE = 5_000  # documents whose shingles are counted to put common ones last
+COMMON = 300_000  # shingles that are put last
 BROADCAST_ROWS = 500_000  # a list of ids up to this long is sent to all tasks; a longer one is joined by shuffle
 
 
@@ -162,7 +168,7 @@ def links(fps: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
 
     ``forest``: edges whose components are those of all pairs found.
     Otherwise real pairs: for each node its nearest and its least partner in
-    each cell.  Either way a task keeps a few edges per node, so a dense group
+    each task, so more may be similar than these.  Either way a task keeps a few edges per node, so a dense group
     gives no quadratic output.  A segment value with more than ``CELL``
     fingerprints is dealt out as pairs of chunks, which keeps every pair.
     """
@@ -236,31 +242,221 @@ def _similar(edges: DataFrame, texts: DataFrame, text: str, scheme: Scheme, simi
     return both.select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
+def _shingle_sets(frame: pa.RecordBatch, text: str, scheme: Scheme) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, hashes, first): the distinct shingles of text i are hashes[first[i]:first[i + 1]], ascending."""
+    for rows, data, offsets in text_slices(frame, text):
+        words = Words(data, offsets)
+        doc, start, end = words.shingles(scheme.width)
+        h = xxh64(words.data, start, end - start, scheme.seed).view(np.int64)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        yield rows, h[new], np.searchsorted(doc[new], np.arange(words.n_docs + 1))
+
+
+def _common(held: DataFrame, text: str, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur again in a sample of documents, ascending, and their counts.
+    They only order the shingles, so the result does not depend on the sample."""
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for _, h, _ in _shingle_sets(frame, text, scheme):
+                h, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    every = max(1, held.count() // SAMPLE)
+    sample = held.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select(text)
+    counts = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
+    """``_row``, ``key`` (of the set of shingles), ``size`` and ``prefix`` of each text.
+
+    In one order of all shingles, rare ones first, two sets of the similarity
+    share one of their first size - ceil(similarity * size) + 1 shingles."""
+    common, often = _common(held, text, scheme)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for rows, h, first in _shingle_sets(frame, text, scheme):
+                size = np.diff(first)
+                keys = [blake2b(h[i:j].tobytes(), digest_size=16).digest() for i, j in zip(first[:-1], first[1:])]
+                n = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    n = np.where(common[at] == h, often[at], 0)
+                doc = np.repeat(np.arange(len(size)), size)
+                h = h[np.lexsort((h, n, doc))]
+                length = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+                h = h[np.arange(len(h)) - first[:-1][doc] < length[doc]]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(size), lists], names=["_row", "key", "size", "prefix"])
+
+    return held.select("_row", text).mapInArrow(run, "_row long, key binary, size long, prefix array<bigint>")
+
+
+def _repeated(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``h`` occurs again; all rows of an ``h`` are in one partition."""
+    got = [f for f in frames if f.num_rows]
+    if got:
+        h, node = (np.concatenate([f.column(k).to_numpy() for f in got]) for k in (0, 1))
+        order = np.argsort(h, kind="stable")
+        h, node = h[order], node[order]
+        same = np.concatenate(([False], h[1:] == h[:-1], [False]))
+        keep = same[1:] | same[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(node[keep])], names=["h", "node"])
+
+
+def _cell_pairs(similarity: float):
+    """Pairs of different roots and fitting sizes in each ``h``, for cells of up to ``SMALL`` nodes."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [f for f in frames if f.num_rows]
+        if not got:
+            return
+        h, node, root, size = (np.concatenate([f.column(k).to_numpy() for f in got]) for k in range(4))
+        order = np.argsort(h, kind="stable")
+        h, node, root, size = h[order], node[order], root[order], size[order]
+        for step in range(1, SMALL):
+            ok = h[step:] == h[:-step] if step < len(h) else np.zeros(0, bool)
+            if not ok.any():
+                break
+            x = np.flatnonzero(ok)
+            y = x + step
+            fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+            x, y = x[fits & (root[x] != root[y])], y[fits & (root[x] != root[y])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+    return run
+
+
+def _crowd_links(crowd: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
+    """Edges that connect what the similar pairs in each cluster of ``crowd``
+    (node, root, size, cluster) connect.  All sets of a cluster are compared
+    with each other; a big one is dealt out as pairs of chunks."""
+    parts = crowd.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("size") / CROWD)).alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    rows = crowd.join(parts, "cluster").select("node", "root", "cluster", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select("node", "root", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    nodes = _sent_if_small(crowd.select("node"))
+
+    def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for some, h, first in _shingle_sets(frame, text, scheme):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))], names=["node", "shingles"])
+
+    texts = held.select(F.col("_row").alias("node"), text).join(nodes, "node").mapInArrow(sets, "node long, shingles array<bigint>")
+    dealt = rows.join(stage(texts), "node").select("cell", "node", "root", "shingles")
+
+    def solve(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [f for f in frames if f.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        cells = table.column("cell").to_numpy()
+        for cell in np.unique(cells):
+            part = table.filter(pa.array(cells == cell)).combine_chunks()
+            node, label = part.column("node").to_numpy(), part.column("root").to_numpy().copy()
+            lists = part.column("shingles").chunk(0)
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(size)))
+            _, token = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            mark = np.zeros(int(token.max()) + 1 if len(token) else 1, np.int64)
+            a, b = [], []
+            for x in range(len(node)):
+                fits = (label != label[x]) & (np.minimum(size, size[x]) >= similarity * np.maximum(size, size[x]))
+                if not fits.any():
+                    continue
+                mine = token[first[x]:first[x + 1]]
+                mark[mine] = 1
+                shared = segment_sum(mark[token], first)
+                mark[mine] = 0
+                for y in np.flatnonzero(fits & (shared >= similarity * (size + size[x] - shared))):
+                    if label[y] != label[x]:
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+                        label[label == label[y]] = label[x]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("cell").mapInArrow(solve, "a long, b long")
+
+
+def _texts(nodes: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    return held.select(F.col("_row").alias("node"), text).join(_sent_if_small(nodes), "node")
+
+
+def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
+    """Similar pairs between the components of ``edges`` (similar pairs already
+    known), so that together they connect what all similar pairs connect.
+
+    ``nodes``: node; ``prefixes``: as from ``_prefixes``, node is a ``_row``.
+    Nodes that share a prefix shingle meet; where all of them are connected
+    already there is nothing to find."""
+    own = prefixes.join(_sent_if_small(nodes.select(F.col("node").alias("_row"))), "_row").select(F.col("_row").alias("node"), "size", "prefix")
+    met = stage(own.select(F.explode("prefix").alias("h"), "node").repartition("h").mapInArrow(_repeated, "h long, node long"))
+    named = own.select("node", "size").join(components(edges), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = met.join(_sent_if_small(named.join(met.select("node").distinct(), "node")), "node")
+    mixed = rooted.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    cells = stage(rooted.join(mixed.select("h", "n", F.col("low").alias("_low")), "h").select("h", "node", "root", "size", "n"))
+    few = cells.where(F.col("n") <= SMALL).select("h", "node", "root", "size").repartition("h")
+    pairs = stage(few.mapInArrow(_cell_pairs(similarity), "a long, b long").distinct())
+    found = _similar(pairs, _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), held, text), text, scheme, similarity)
+    many = cells.where(F.col("n") > SMALL)
+    hubs = many.groupBy("h").agg(F.min("node").alias("b"))
+    clusters = components(many.join(hubs, "h").select(F.col("node").alias("a"), "b"))
+    members = clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster"))).distinct()
+    crowd = stage(members.join(named, "node").select("node", "root", "size", "cluster"))
+    return found.unionByName(_crowd_links(crowd, held, text, scheme, similarity))
+
+
 def _sent_if_small(ids: DataFrame) -> DataFrame:
     ids = stage(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _groups(held: DataFrame, id_column: str, text: str, scheme: Scheme, similarity: float) -> DataFrame:
+    """``_row``, ``id_column``, ``fp``, ``root`` (of the group) and ``component_id``
+    for each row of ``held``, a staged table with row numbers ``_row``.
+
+    Texts with one set of shingles are one node.  Links are all pairs of nodes
+    with the Jaccard similarity: those that fingerprints find come first, and
+    a join on shingles finds what is left between their components."""
+    marked = stage(fingerprints(held, text, ["_row", id_column], scheme))
+    prefixes = stage(_prefixes(held, text, scheme, similarity))
+    marked = marked.join(prefixes.select("_row", "key"), "_row")
+    nodes = stage(marked.groupBy("key").agg(F.min("_row").alias("node"), F.min("fp").alias("fp"), F.min(id_column).alias("low")))
+    edges = stage(links(nodes, scheme, forest=False).distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = stage(_similar(edges, _texts(ends, held, text), text, scheme, similarity))
+    rest = _all_similar(nodes.select("node"), edges, prefixes, held, text, scheme, similarity)
+    roots = components(edges.unionByName(rest))
+    rooted = nodes.join(roots, "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(rooted.join(least, "root").select("key", "root", "component_id"), "key").select("_row", id_column, "fp", "root", "component_id")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return stage(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Scheme = SIMILAR, similarity: float | None = 0.8) -> DataFrame:
     """``id_column``, ``fp`` and ``component_id`` (least id reachable) for every row.
 
-    ``similarity``: links must also have this Jaccard similarity on distinct
-    word shingles; None links by Hamming distance alone.  Texts with one
-    fingerprint are one node.  Rows with a null id have the component of their
-    links; it is null only if no member has an id.  Repeated ids are all
-    returned.  An empty table gives no rows.  Building the result runs jobs
-    and stages tables in the shared folder.
+    ``similarity``: links are the pairs with this Jaccard similarity on
+    distinct word shingles, all of them; None links by Hamming distance alone,
+    and texts with one fingerprint are one node.  Rows with a null id have the
+    component of their links; it is null only if no member has an id.  Repeated
+    ids are all returned.  An empty table gives no rows.  Building the result
+    runs jobs and stages tables in the shared folder.
     """
+    if similarity is not None:
+        return _groups(_numbered(df.select(id_column, text)), id_column, text, scheme, similarity).select(id_column, "fp", "component_id")
     marked = stage(fingerprints(df, text, [id_column], scheme))
     fps = stage(marked.groupBy("fp").agg(F.min(id_column).alias("low")).withColumn("node", F.monotonically_increasing_id()))
-    edges = links(fps, scheme, forest=similarity is None)
-    if similarity is not None:
-        edges = stage(edges.distinct())
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(fps, "node")
-        own = ends.where("low is not null").select(F.col("low").alias("_low"), "node", F.col("fp").alias("_fp"))
-        texts = _sent_if_small(own).join(df.select(F.col(id_column).alias("_low"), text), "_low").groupBy("node").agg(F.min(text).alias(text))
-        edges = _similar(edges, texts, text, scheme, similarity)
-    roots = components(edges)
+    roots = components(links(fps, scheme, forest=True))
     rooted = fps.join(roots, "node", "left").select("fp", "low", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
