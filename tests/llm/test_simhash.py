@@ -132,3 +132,17 @@ def test_star_of_edited_copies(spark, monkeypatch, small, cell):
         texts[i] = " ".join(words)
     assert set(wanted(texts).values()) == {0}
     assert set(grouped(spark, texts).values()) == {0}
+
+
+def test_no_pair_is_left_to_chance(spark):
+    """Groups of two at 0.80 to 0.84, which fingerprints alone find with about 0.95."""
+    rng = random.Random(12)
+    texts = {}
+    for g in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(229)]
+        texts[2 * g] = " ".join(words)
+        for k in range(4 + g % 2):
+            words[20 + 40 * k] = f"n{g}_{k}"
+        texts[2 * g + 1] = " ".join(words)
+    got = grouped(spark, texts)
+    assert [g for g in range(400) if got[2 * g + 1] != 2 * g] == []
