@@ -146,3 +146,12 @@ def test_no_pair_is_left_to_chance(spark):
         texts[2 * g + 1] = " ".join(words)
     got = grouped(spark, texts)
     assert [g for g in range(400) if got[2 * g + 1] != 2 * g] == []
+
+
+def test_one_of_each_group_stays_without_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d = ([f"{x}{rng.randrange(5000)}" for _ in range(60)] for x in "abcd")
+    rows = [(1, a), (None, a), (None, a + ["more"]), (None, b), (None, b), (None, b + ["more"]), (3, c), (3, a), (2, d), (4, c)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text[0]) for r in simhash.drop_near_duplicates(df, "doc_id", "text").collect())
+    assert kept == [(0, "b"), (1, "a"), (2, "d"), (3, "c")]

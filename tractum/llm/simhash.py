@@ -466,9 +466,14 @@ def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Scheme = S
 def drop_near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Scheme = SIMILAR, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` that stay: of each group the one with the least id.
 
-    Rows with a null id, or with an id that occurs again, stay if their group's
-    least id is theirs; null ids without a named partner stay.
+    Rows are told apart by their place in a staged copy of the table.  Rows that
+    repeat the least id of their group all stay; rows with a null id go if a
+    member has an id, and of a group without any id one row stays.
     """
-    groups = near_duplicates(df, id_column, text, scheme, similarity)
-    gone = _sent_if_small(groups.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct())
-    return df.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    held = _numbered(df)
+    groups = stage(_groups(held, id_column, text, scheme, similarity).select("_row", F.col(id_column).alias("_own"), "root", "component_id"))
+    unnamed = groups.where("component_id is null").select("_row", "root")
+    first = unnamed.groupBy("root").agg(F.min("_row").alias("_first"))
+    gone = groups.where("component_id is not null and not (_own <=> component_id)").select("_row")
+    gone = gone.unionByName(unnamed.join(first, "root").where("_row <> _first").select("_row"))
+    return held.join(_sent_if_small(gone), "_row", "left_anti").select(*df.columns)
