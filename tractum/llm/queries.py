@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, tokenfile, voronoi, warc
+from tractum.llm import merkle, mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, tokenfile, variants, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -87,5 +87,23 @@ def op10_pitman_yor(spark, folder: str) -> DataFrame:
     return pitman_yor.score(docs, "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
 
 
+@query("op12_merkle")
+def op12_merkle(spark, folder: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    docs = read(spark, folder, "documents", *fields)
+    leaf = merkle.digest(*[merkle.encoded(F.col(c)) for c in fields])
+    changed = merkle.digest(*[merkle.encoded(F.col(c)) for c in fields[:-1]], merkle.encoded(tampered))
+    rows = docs.select("doc_id", "lang", leaf.alias("digest"), F.when(third, changed).otherwise(leaf).alias("claimed"))
+    return merkle.prove(rows.withColumn("leaf", F.col("digest")), ["doc_id"], "lang", ["doc_id", "leaf"], "claimed")
+
+
+@query("op13_variants")
+def op13_variants(spark, folder: str) -> DataFrame:
+    words = variants.vocabulary(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", lose=31)
+    return variants.forms(words)
+
+
 def load():
     return QUERIES, ORACLES
