@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tractum.llm import merkle, mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, tokenfile, variants, voronoi, warc
+from tractum.llm import forest, merkle, mixing, packing, pitman_yor, rules, secrets, simhash, suffixes, tokenfile, variants, voronoi, warc
 from tractum.llm.base import ORACLES, QUERIES, query, read
 from tractum.session import shared_folder, stage
 
@@ -87,6 +87,11 @@ def op10_pitman_yor(spark, folder: str) -> DataFrame:
     return pitman_yor.score(docs, "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
 
 
+@query("op11_minhash")
+def op11_minhash(spark, folder: str) -> DataFrame:
+    return forest.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 @query("op12_merkle")
 def op12_merkle(spark, folder: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
