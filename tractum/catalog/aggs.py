@@ -304,8 +304,8 @@ def prevalence_share(t):
 
 
 @query("peer_support", "pairs nod", f"""
-    WITH per AS (SELECT pre_type, pre_side, pre, post_type, sum(n) AS w FROM {TYPED} e WHERE pre_type <> '' AND post_type <> '' AND n >= CUT(30) GROUP BY 1, 2, 3, 4),
-      size AS (SELECT pre_type, pre_side, count(DISTINCT pre) AS peers FROM {TYPED} e WHERE pre_type <> '' AND n >= CUT(30) GROUP BY 1, 2),
+    WITH per AS (SELECT pre_type, pre_side, pre, post_type, sum(n) AS w FROM {TYPED} e WHERE pre_type <> '' AND post_type <> '' AND n >= 5 GROUP BY 1, 2, 3, 4),
+      size AS (SELECT pre_type, pre_side, count(DISTINCT pre) AS peers FROM {TYPED} e WHERE pre_type <> '' AND n >= 5 GROUP BY 1, 2),
       s AS (SELECT pre_type, pre_side, post_type, count(*) AS support, CAST(sum(w) AS BIGINT) AS contacts, peers,
             count(*) / peers AS fraction FROM per JOIN size USING (pre_type, pre_side) GROUP BY pre_type, pre_side, post_type, peers)
     SELECT pre_type AS cell_type, pre_side AS side, post_type AS target_type, support, contacts, peers, round(fraction, 4) AS fraction, rank FROM
@@ -314,7 +314,7 @@ def prevalence_share(t):
 def peer_support(t):
     """Per (type, side): partner types by the share of peers that have them."""
     cohort = ["cell_type", "side"]
-    e = _typed_edges(t).where("pre_cell_type <> ''").where(F.col("n") >= t.cut(30)).withColumnsRenamed(
+    e = _typed_edges(t).where("pre_cell_type <> ''").where(F.col("n") >= 5).withColumnsRenamed(
         {"pre_cell_type": "cell_type", "pre_side": "side", "post_cell_type": "target_type"})
     peers = e.groupBy(*cohort).agg(F.count_distinct("pre").alias("peers"))
     per_peer = e.where("target_type <> ''").groupBy(*cohort, "pre", "target_type").agg(F.sum("n").alias("w"))
@@ -462,10 +462,10 @@ def trial_rates(t):
 
 
 @query("coverage_2x2", "v2 v3 nod", """
-    SELECT super_class, id IN (SELECT pre FROM v2 WHERE n >= CUT(30, v2)) AS in_a, id IN (SELECT pre FROM v3 WHERE n >= CUT(30, v3)) AS in_b, count(*) AS n FROM nod GROUP BY 1, 2, 3""")
+    SELECT super_class, id IN (SELECT pre FROM v2 WHERE n >= 10) AS in_a, id IN (SELECT pre FROM v3 WHERE n >= 10) AS in_b, count(*) AS n FROM nod GROUP BY 1, 2, 3""")
 def coverage_2x2(t):
-    df = J.mark(t.nod(), "id", t.v2().where(F.col("n") >= t.cut(30, "v2")).select("pre"), "in_a")
-    df = J.mark(df, "id", t.v3().where(F.col("n") >= t.cut(30, "v3")).select("pre"), "in_b")
+    df = J.mark(t.nod(), "id", t.v2().where(F.col("n") >= 10).select("pre"), "in_a")
+    df = J.mark(df, "id", t.v3().where(F.col("n") >= 10).select("pre"), "in_b")
     return df.groupBy("super_class", "in_a", "in_b").agg(F.count("*").alias("n"))
 
 

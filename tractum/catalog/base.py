@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _cut(match: re.Match) -> str:
-    """``CUT(f[, view])``: a count limit that follows the data (see ``Tables.cut``)."""
-    f, view = int(match[1]), match[2] or "pairs"
-    return f"(SELECT sum(n) // count(*) + ((max(n) - sum(n) // count(*)) * {f} + 99) // 100 FROM {view})"
-
-
 def with_views(names: str, body: str) -> str:
     """Prefix ``body`` with the views it names (and the views those name)."""
-    body = re.sub(r"CUT\((\d+)(?:, (\w+))?\)", _cut, body)
     wanted = set(names.split())
     for name in reversed(VIEW_ORDER):
         if name in wanted:

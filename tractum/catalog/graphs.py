@@ -6,6 +6,9 @@ from tractum.catalog.base import query
 from tractum.catalog.joins import PAIR, UNION_SQL, version_edges
 from tractum.functions import columns as C
 from tractum.operators import graph as G
+from tractum.operators import joins as J
+from tractum.operators import matching as M
+from tractum.operators import reach as R
 from tractum.operators.ordered import top_k
 from tractum.plans.checks import ledger
 from tractum.session import stage
@@ -56,8 +59,9 @@ def graph_integrity(t):
         "weight_sum": (F.col("n_points"), F.col("weight"))})
 
 
+LIMITS = (1, 5, 10)
 HOPS = f"""
-    WITH RECURSIVE w AS (SELECT id AS target, th AS min_n, id, 0 AS hops FROM nod, (SELECT CAST(CUT(25) AS INTEGER) AS th UNION SELECT CAST(CUT(45) AS INTEGER)) l WHERE id IN {DST}
+    WITH RECURSIVE w AS (SELECT id AS target, CAST(th AS INTEGER) AS min_n, id, 0 AS hops FROM nod, (VALUES (1), (5), (10)) l(th) WHERE id IN {DST}
       UNION SELECT w.target, w.min_n, p.pre, w.hops + 1 FROM w JOIN pairs p ON p.post = w.id AND p.n >= w.min_n WHERE w.hops < 4),
     d AS (SELECT target, min_n, id, min(hops) AS hops FROM w GROUP BY 1, 2, 3),
     hop AS (SELECT d.target, d.min_n, d.id, d.hops, min(x.id) AS next_id FROM d LEFT JOIN pairs p ON p.pre = d.id AND p.n >= d.min_n
@@ -65,7 +69,7 @@ HOPS = f"""
 
 
 def _hops(t):
-    return G.hop_distance(t.pairs(), _ends(t)[1], 4, (t.cut_value(25), t.cut_value(45)))
+    return R.hop_distance(t.pairs(), _ends(t)[1], 4, LIMITS)
 
 
 @query("hop_distance", "pairs nod", HOPS + " SELECT target, min_n, id, hops, next_id FROM hop")
@@ -97,13 +101,12 @@ def paths_1hop(t):
     return G.paths(t.pairs(), *_ends(t), 1)
 
 
-TWO = f"""(SELECT a.pre AS source, a.post AS mid, b.post AS target, a.n AS n_1, b.n AS n_2 FROM (SELECT * FROM pairs WHERE n >= CUT(25)) a
-           JOIN (SELECT * FROM pairs WHERE n >= CUT(25)) b ON a.post = b.pre
+TWO = f"""(SELECT a.pre AS source, a.post AS mid, b.post AS target, a.n AS n_1, b.n AS n_2 FROM pairs a JOIN pairs b ON a.post = b.pre
            WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> a.post AND b.pre <> b.post AND a.pre <> b.post)"""
 
 
 def _two(t):
-    return G.paths(t.pairs().where(F.col("n") >= t.cut(25)), *_ends(t), 2)
+    return G.paths(t.pairs(), *_ends(t), 2)
 
 
 @query("paths_2hop", "pairs nod", f"SELECT * FROM {TWO} p")
@@ -112,12 +115,12 @@ def paths_2hop(t):
 
 
 THREE = f"""(SELECT a.pre AS source, a.post AS mid, e.post AS mid2, b.post AS target, a.n AS n_1, e.n AS n_2, b.n AS n_3
-    FROM (SELECT * FROM pairs WHERE n >= CUT(40)) a JOIN (SELECT * FROM pairs WHERE n >= CUT(40)) e ON a.post = e.pre JOIN (SELECT * FROM pairs WHERE n >= CUT(40)) b ON e.post = b.pre
+    FROM (SELECT * FROM pairs WHERE n >= 10) a JOIN (SELECT * FROM pairs WHERE n >= 10) e ON a.post = e.pre JOIN (SELECT * FROM pairs WHERE n >= 10) b ON e.post = b.pre
     WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> a.post AND e.pre <> e.post AND b.pre <> b.post AND a.pre <> e.post AND a.pre <> b.post AND a.post <> b.post)"""
 
 
 def _three(t):
-    return G.paths(t.pairs().where(F.col("n") >= t.cut(40)), *_ends(t), 3)
+    return G.paths(t.pairs().where(F.col("n") >= 10), *_ends(t), 3)
 
 
 @query("paths_3hop", "pairs nod", f"SELECT * FROM {THREE} p")
@@ -136,7 +139,7 @@ def paths_same_version(t):
 @query("paths_allowed_mid", "pairs nod", f"SELECT * FROM {TWO} p WHERE mid IN (SELECT id FROM nod WHERE side = 'left' AND cell_type <> '')")
 def paths_allowed_mid(t):
     allowed = t.nod().where("side = 'left' AND cell_type <> ''").select("id")
-    return G.paths(t.pairs().where(F.col("n") >= t.cut(25)), *_ends(t), 2, allowed=allowed)
+    return G.paths(t.pairs(), *_ends(t), 2, allowed=allowed)
 
 
 @query("topk_paths", "pairs nod", f"""
@@ -147,69 +150,102 @@ def topk_paths(t):
     return top_k(_three(t), ["source", "target"], order, 3)
 
 
-@query("reach_summary", "v2 v3 nod", f"""
-    WITH e AS (SELECT ver, th AS min_n, pre, post FROM (SELECT 'v2' AS ver, * FROM v2 UNION ALL SELECT 'v3', * FROM v3) u, (VALUES (3), (5)) l(th) WHERE n >= th AND pre <> post),
+#: Edges of a version that hold at least ``min_n`` contacts; 'common' asks it of both versions.
+REACH_SQL = f"""
+    WITH u AS {UNION_SQL},
+      e AS (SELECT ver, th AS min_n, pre, post FROM u, (VALUES (1), (5)) l(th), (VALUES ('v2'), ('v3'), ('common')) v(ver)
+        WHERE pre <> post AND CASE ver WHEN 'v2' THEN n2 >= th WHEN 'v3' THEN n3 >= th ELSE n2 >= th AND n3 >= th END)"""
+
+
+def _version_settings(t):
+    n2, n3 = F.coalesce("n2", F.lit(0)), F.coalesce("n3", F.lit(0))
+    settings = F.array(*[F.struct(F.lit(ver).alias("ver"), F.lit(th).alias("min_n"), (n >= th).alias("holds"))
+                         for ver, n in (("v2", n2), ("v3", n3), ("common", F.least(n2, n3))) for th in (1, 5)])
+    each = version_edges(t).where("pre <> post").select(*PAIR, F.explode(settings).alias("s")).where("s.holds")
+    return stage(each.select("s.ver", "s.min_n", *PAIR))
+
+
+@query("reach_summary", "v2 v3 nod", REACH_SQL + f""",
       r AS (SELECT ver, min_n, pre AS source, post AS target, 1 AS d FROM e WHERE pre IN {SRC} AND post IN {DST}
         UNION ALL SELECT a.ver, a.min_n, a.pre, b.post, 0 FROM e a JOIN e b ON a.ver = b.ver AND a.min_n = b.min_n AND a.post = b.pre
         WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> b.post)
     SELECT ver, min_n, source, CAST(sum(d) AS BIGINT) AS direct_targets, CAST(sum(1 - d) AS BIGINT) AS two_edge_paths, count(DISTINCT target) AS targets_within_2 FROM r GROUP BY 1, 2, 3""")
 def reach_summary(t):
-    limits = F.array(F.lit(3), F.lit(5))
-    e = None
-    for ver in ("v2", "v3"):
-        one = getattr(t, ver)().where("pre <> post").select(F.lit(ver).alias("ver"), F.explode(F.filter(limits, lambda x: F.col("n") >= x)).alias("min_n"), *PAIR)
-        e = one if e is None else e.union(one)
-    from tractum.operators.joins import bipartite, in_set
-
-    sources, targets = _ends(t)
-    setting = ["ver", "min_n"]
-    direct = bipartite(e, sources, targets).select(*setting, F.col("pre").alias("source"), F.col("post").alias("target"), F.lit(1).alias("d"))
-    first = in_set(e, "pre", sources).select(*setting, F.col("pre").alias("source"), F.col("post").alias("mid"))
-    last = in_set(e, "post", targets).select(*setting, F.col("pre").alias("mid"), F.col("post").alias("target"))
-    # Paths are counted per (source, target) as they are joined, never kept.
-    two = first.join(last, [*setting, "mid"]).where("source <> target").select(*setting, "source", "target", F.lit(0).alias("d"))
-    per_target = direct.union(two).groupBy(*setting, "source", "target").agg(F.sum("d").alias("d"), F.sum(1 - F.col("d")).alias("p"))
-    return per_target.groupBy(*setting, "source").agg(
-        F.sum("d").alias("direct_targets"), F.sum("p").alias("two_edge_paths"), F.count("*").alias("targets_within_2"))
+    """Counted from degrees and bit sets: no path is listed."""
+    e, (sources, targets), setting = _version_settings(t), _ends(t), ["ver", "min_n"]
+    bits = R.target_bits(targets)
+    within = R.count_bits(R.reached(e, sources, bits, 1, setting).unionByName(R.reached(e, sources, bits, 2, setting)), "targets_within_2", setting)
+    for k, name in ((1, "direct_targets"), (2, "two_edge_paths")):
+        within = within.join(R.path_totals(e, sources, targets, k, setting).withColumnRenamed("n_paths", name), [*setting, "source"], "left")
+    return within.fillna(0, ["direct_targets", "two_edge_paths"])
+
+
+@query("reach_summary_3", "v2 v3 nod", REACH_SQL + f"""
+    SELECT a.ver, a.min_n, a.pre AS source, count(*) AS three_edge_paths, count(DISTINCT b.post) AS three_edge_targets
+    FROM e a JOIN e m ON m.ver = a.ver AND m.min_n = a.min_n AND m.pre = a.post JOIN e b ON b.ver = a.ver AND b.min_n = a.min_n AND b.pre = m.post
+    WHERE a.pre IN {SRC} AND b.post IN {DST} AND a.pre <> m.post AND a.pre <> b.post AND a.post <> b.post GROUP BY 1, 2, 3""")
+def reach_summary_3(t):
+    e, (sources, targets), setting = _version_settings(t), _ends(t), ["ver", "min_n"]
+    ends = R.count_bits(R.reached(e, sources, R.target_bits(targets), 3, setting), "three_edge_targets", setting)
+    totals = R.path_totals(e, sources, targets, 3, setting).withColumnRenamed("n_paths", "three_edge_paths")
+    return totals.join(ends, [*setting, "source"])
+
+
+STRONG_TWO = f"(SELECT * FROM {TWO} t WHERE n_1 >= 5 AND n_2 >= 5)"
+MEDIATOR = f"""(SELECT source, mid, n_paths FROM (SELECT source, mid, count(*) AS n_paths, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, mid) AS r
+               FROM {STRONG_TWO} p GROUP BY 1, 2) s WHERE r = 1)"""
 
 
-MEDIATOR = f"""(SELECT source, mid, n_paths FROM (SELECT source, mid, count(*) AS n_paths, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, mid) AS r
-               FROM {TWO} p GROUP BY 1, 2) s WHERE r = 1)"""
+def _strong(t):
+    return t.pairs().where("n >= 5")
 
 
 @query("top_mediator", "pairs nod", f"SELECT * FROM {MEDIATOR} m")
 def top_mediator(t):
-    return G.top_mediator(_two(t))
+    return G.top_mediator(G.paths(_strong(t), *_ends(t), 2))
 
 
 @query("ablation", "pairs nod", f"""
-    WITH p AS (SELECT source, mid, target FROM {TWO} q),
-      d AS (SELECT pre AS source, post AS target FROM pairs WHERE n >= CUT(25) AND pre <> post AND pre IN {SRC} AND post IN {DST}),
-      rem AS (SELECT source, 'top_mediator' AS condition, mid AS node FROM {MEDIATOR} m UNION ALL SELECT source, 'first_mid', min(mid) FROM p GROUP BY 1
+    WITH p AS (SELECT source, mid, target FROM {STRONG_TWO} q),
+      d AS (SELECT pre AS source, post AS target FROM pairs WHERE n >= 5 AND pre <> post AND pre IN {SRC} AND post IN {DST}),
+      m AS (SELECT * FROM {MEDIATOR} m),
+      deg AS (SELECT pre AS id, super_class, count(*) AS degree FROM pairs JOIN nod ON id = pre WHERE n >= 5 AND pre <> post AND post IN {DST} GROUP BY 1, 2),
+      ctl AS (SELECT source, id AS node FROM (SELECT m.source, c.id, row_number() OVER (PARTITION BY m.source ORDER BY abs(c.degree - g.degree), c.id) AS r
+        FROM m JOIN deg g ON g.id = m.mid JOIN deg c ON c.super_class = g.super_class AND c.id NOT IN {SRC} AND c.id NOT IN {DST}
+          AND NOT EXISTS (SELECT 1 FROM p WHERE p.source = m.source AND p.mid = c.id)) x WHERE r = 1),
+      rem AS (SELECT source, 'top_mediator' AS condition, mid AS node FROM m UNION ALL SELECT source, 'first_mid', min(mid) FROM p GROUP BY 1
+        UNION ALL SELECT source, 'matched_degree', node FROM ctl
         UNION ALL SELECT DISTINCT source, 'source', source FROM p UNION ALL SELECT DISTINCT source, 'baseline', CAST(NULL AS BIGINT) FROM p),
       r AS (SELECT source, mid, target, true AS path FROM p UNION ALL SELECT source, NULL, target, false FROM d),
-      k AS (SELECT source, condition, target, path, coalesce(node IN (source, coalesce(mid, -1), target), false) AS cut FROM r JOIN rem USING (source))
-    SELECT source, condition, count(*) FILTER (WHERE path) AS paths_before, count(*) FILTER (WHERE path AND NOT cut) AS paths_after,
+      k AS (SELECT source, condition, target, path, node, coalesce(node IN (source, coalesce(mid, -1), target), false) AS cut FROM r JOIN rem USING (source))
+    SELECT source, condition, max(node) AS node, max(deg.degree) AS node_degree, count(*) FILTER (WHERE path) AS paths_before, count(*) FILTER (WHERE path AND NOT cut) AS paths_after,
       count(DISTINCT target) AS targets_before, count(DISTINCT target) FILTER (WHERE NOT cut) AS targets_after,
       count(DISTINCT target) - count(DISTINCT target) FILTER (WHERE NOT cut) AS targets_lost
-    FROM k GROUP BY 1, 2""")
+    FROM k LEFT JOIN deg ON deg.id = k.node GROUP BY 1, 2""")
 def ablation(t):
     """Reach within two edges, direct edges included; the paths are staged once."""
-    two = stage(_two(t).select("source", "mid", "target"))
     sources, targets = _ends(t)
-    direct = G.paths(t.pairs().where(F.col("n") >= t.cut(25)), sources, targets, 1)
+    strong = _strong(t).where("pre <> post")
+    two = stage(G.paths(strong, sources, targets, 2).select("source", "mid", "target"))
+    direct = G.paths(strong, sources, targets, 1)
     def condition(df, name, node):
         return df.select("source", F.lit(name).alias("condition"), node.alias("node"))
-    each = two.select("source").distinct()
-    removals = condition(G.top_mediator(two), "top_mediator", F.col("mid")).union(
-        condition(two.groupBy("source").agg(F.min("mid").alias("mid")), "first_mid", F.col("mid"))).union(
+    each, top = two.select("source").distinct(), G.top_mediator(two)
+    degree = stage(J.in_set(strong, "post", targets).groupBy(F.col("pre").alias("id")).agg(F.count("*").alias("degree")).join(t.nod().select("id", "super_class"), "id"))
+    pool = J.not_in_set(J.not_in_set(degree, "id", sources), "id", targets)
+    wanted = top.select("source", F.col("mid").alias("id")).join(degree, "id").select("source", "super_class", "degree")
+    control = M.nearest_free(wanted, pool, two.select("source", F.col("mid").alias("id")).distinct(), "source", "super_class", "degree")
+    removals = condition(top, "top_mediator", F.col("mid")).union(condition(two.groupBy("source").agg(F.min("mid").alias("mid")), "first_mid", F.col("mid"))).union(
+        condition(control, "matched_degree", F.col("id"))).union(
         condition(each, "source", F.col("source"))).union(condition(each, "baseline", F.lit(None).cast("long")))
-    return G.ablate(two, removals, direct)
+    removals = stage(removals)
+    named = removals.join(degree.select(F.col("id").alias("node"), F.col("degree").alias("node_degree")), "node", "left").select("source", "condition", "node", "node_degree")
+    return G.ablate(two, removals, direct).join(named, ["source", "condition"])
 
 
-@query("isolates", "pairs nod", "SELECT id FROM nod WHERE id NOT IN (SELECT pre FROM pairs WHERE n >= CUT(60)) AND id NOT IN (SELECT post FROM pairs WHERE n >= CUT(60))")
+@query("isolates", "pairs nod", "SELECT id FROM nod WHERE id NOT IN (SELECT pre FROM pairs WHERE n >= 15) AND id NOT IN (SELECT post FROM pairs WHERE n >= 15)")
 def isolates(t):
-    return G.isolates(t.pairs().where(F.col("n") >= t.cut(60)), t.nod().select("id"))
+    return G.isolates(t.pairs().where(F.col("n") >= 15), t.nod().select("id"))
 
 
 @query("path_edges", "pairs nod", f"""

@@ -80,10 +80,10 @@ def both_connected(t):
 
 
 @query("touch_isolate", "pairs nod", """
-    SELECT p.pre, p.post, p.n FROM pairs p LEFT JOIN (SELECT DISTINCT post AS id FROM pairs WHERE n >= CUT(45)) a ON p.pre = a.id
-    LEFT JOIN (SELECT DISTINCT post AS id FROM pairs WHERE n >= CUT(45)) b ON p.post = b.id WHERE a.id IS NULL OR b.id IS NULL""")
+    SELECT p.pre, p.post, p.n FROM pairs p LEFT JOIN (SELECT DISTINCT post AS id FROM pairs WHERE n >= 15) a ON p.pre = a.id
+    LEFT JOIN (SELECT DISTINCT post AS id FROM pairs WHERE n >= 15) b ON p.post = b.id WHERE a.id IS NULL OR b.id IS NULL""")
 def touch_isolate(t):
-    strong = t.pairs().where(F.col("n") >= t.cut(45)).select("post").distinct()
+    strong = t.pairs().where(F.col("n") >= 15).select("post").distinct()
     marked = J.mark(J.mark(t.pairs(), "pre", strong, "a"), "post", strong, "b")
     return marked.where("NOT a OR NOT b").select("pre", "post", "n")
 
@@ -263,12 +263,12 @@ def profile_join(t):
     SELECT id, coalesce(o.n, 0) AS n_out, coalesce(i.n, 0) AS n_in, coalesce(c.n, 0) AS n_claims, coalesce(s.n, 0) AS n_samples,
            CASE WHEN coalesce(c.n, 0) > 0 AND coalesce(o.n, 0) > 0 AND coalesce(s.n, 0) > 0 THEN 1
                 WHEN coalesce(c.n, 0) > 0 AND coalesce(o.n, 0) > 0 THEN 2 WHEN coalesce(o.n, 0) > 0 THEN 3 ELSE 4 END AS priority
-    FROM nod LEFT JOIN (SELECT pre, count(*) AS n FROM pairs WHERE n >= CUT(35) GROUP BY 1) o ON id = o.pre
-    LEFT JOIN (SELECT post, count(*) AS n FROM pairs WHERE n >= CUT(35) GROUP BY 1) i ON id = i.post
+    FROM nod LEFT JOIN (SELECT pre, count(*) AS n FROM pairs WHERE n >= 10 GROUP BY 1) o ON id = o.pre
+    LEFT JOIN (SELECT post, count(*) AS n FROM pairs WHERE n >= 10 GROUP BY 1) i ON id = i.post
     LEFT JOIN (SELECT root_id, count(*) AS n FROM claims GROUP BY 1) c ON id = c.root_id - 100
     LEFT JOIN (SELECT id AS sid, count(*) AS n FROM smp WHERE spike = 1 GROUP BY 1) s ON id = s.sid""")
 def cross_source_summary(t):
-    strong = t.pairs().where(F.col("n") >= t.cut(35))
+    strong = t.pairs().where(F.col("n") >= 10)
     sources = {
         "n_out": strong.groupBy(F.col("pre").alias("id")).agg(F.count("*").alias("n_out")),
         "n_in": strong.groupBy(F.col("post").alias("id")).agg(F.count("*").alias("n_in")),
@@ -302,10 +302,10 @@ def side_audit(t):
 
 @query("peer_cohort", "nod pairs", """
     SELECT n.id, n.cell_type, n.side FROM nod n WHERE (n.cell_type, n.side) IN
-      (SELECT cell_type, side FROM nod WHERE cell_type <> '' AND id NOT IN (SELECT pre FROM pairs WHERE n >= CUT(40)))
-      AND n.id IN (SELECT pre FROM pairs WHERE n >= CUT(40))""")
+      (SELECT cell_type, side FROM nod WHERE cell_type <> '' AND id NOT IN (SELECT pre FROM pairs WHERE n >= 15))
+      AND n.id IN (SELECT pre FROM pairs WHERE n >= 15)""")
 def peer_cohort(t):
-    strong = t.pairs().where(F.col("n") >= t.cut(40)).select("pre").distinct()
+    strong = t.pairs().where(F.col("n") >= 15).select("pre").distinct()
     nod = t.nod().where("cell_type <> ''")
     lonely = J.not_in_set(nod, "id", strong).select("cell_type", "side").distinct()
     return J.in_set(nod, "id", strong).join(lonely, ["cell_type", "side"], "left_semi").select("id", "cell_type", "side")
@@ -346,12 +346,12 @@ def map_coverage(t):
 
 
 # Nodes of suppliers with a small balance play the stimulated sources.
-DEG_SQL = """(SELECT id, super_class, side, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AS is_source, (SELECT count(*) FROM pairs WHERE pre = id AND n >= CUT(15)) AS od,
-              (SELECT count(*) FROM pairs WHERE post = id AND n >= CUT(15)) AS idg FROM nod)"""
+DEG_SQL = """(SELECT id, super_class, side, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AS is_source, (SELECT count(*) FROM pairs WHERE pre = id AND n >= 5) AS od,
+              (SELECT count(*) FROM pairs WHERE post = id AND n >= 5) AS idg FROM nod)"""
 
 
 def _matching_nodes(t):
-    d = A.degrees(t.pairs().where(F.col("n") >= t.cut(15)), t.nod().select("id"))
+    d = A.degrees(t.pairs().where(F.col("n") >= 5), t.nod().select("id"))
     role = t.read("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") < 2000).alias("is_source"))
     return t.nod().select("id", "super_class", "side").join(d.select("id", "in_degree", "out_degree"), "id").join(role, "id")
 

@@ -99,7 +99,7 @@ EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n >=
     WITH e AS (SELECT * FROM {EVIDENCE} x), c AS (SELECT id, count(*) FILTER (WHERE evidence = 'raw') AS raw_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'raw'), 0) AS BIGINT) AS raw_points,
         count(*) FILTER (WHERE evidence = 'segment') AS segment_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'segment'), 0) AS BIGINT) AS segment_points,
         count(*) FILTER (WHERE evidence = 'segment' AND n > 1) AS repeated_segment_rows FROM e GROUP BY 1),
-      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs WHERE n >= CUT(40) GROUP BY 1),
+      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs WHERE n >= 10 GROUP BY 1),
       w AS (SELECT id, region, CAST(sum(n) AS BIGINT) AS w FROM e GROUP BY 1, 2),
       d AS (SELECT id, arg_min(region, (-w, region)) AS dominant_region, string_agg(concat(region, ':', w), ';' ORDER BY w DESC, region) AS regions FROM w GROUP BY 1),
       q AS (SELECT nod.id, coalesce(raw_rows, 0) AS raw_rows, coalesce(raw_points, 0) AS raw_points, coalesce(segment_rows, 0) AS segment_rows, coalesce(segment_points, 0) AS segment_points,
@@ -113,13 +113,13 @@ def review_queue(t):
     raw = F.expr("region = 'None' AND n >= 5")
     rows = rows.where(raw | (~F.col("_typed") & (F.col("n") >= 4))).select(
         F.col("pre").alias("id"), "region", "n", F.when(raw, "raw").otherwise("segment").alias("evidence"))
-    hypotheses = t.pairs().where(F.col("n") >= t.cut(40)).select(F.col("pre").alias("id"), F.col("n").alias("support"))
+    hypotheses = t.pairs().where(F.col("n") >= F.lit(10)).select(F.col("pre").alias("id"), F.col("n").alias("support"))
     return reviews.review_queue(t.nod().select("id"), rows, hypotheses)
 
 
 @query("integrated_queue", "pairs edg nod", f"""
     WITH e AS (SELECT pre AS id, post AS partner, n FROM pairs UNION ALL SELECT post, pre, n FROM pairs WHERE pre <> post),
-      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= CUT(40)) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
+      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= 10) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
         CAST(coalesce(sum(n) FILTER (WHERE id = partner), 0) AS BIGINT) AS self_points FROM e GROUP BY 1),
       g AS (SELECT pre AS id, CAST(sum(n) AS BIGINT) AS segment_points FROM edg WHERE post NOT IN {TYPED} GROUP BY 1),
       q AS (SELECT nod.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(points, 0) AS points, coalesce(self_points, 0) AS self_points, coalesce(segment_points, 0) AS segment_points
@@ -129,7 +129,7 @@ def review_queue(t):
     SELECT *, row_number() OVER (ORDER BY band, strong_pairs DESC, points DESC, id) AS review_rank FROM b""")
 def integrated_queue(t):
     segments = J.mark(t.edg(), "post", _typed(t), "_typed").where("NOT _typed").select(F.col("pre").alias("id"), "n")
-    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, t.cut(40), exception_id=7)
+    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, F.lit(10), exception_id=7)
 
 
 @query("version_comparison", "v2 v3 r3 nod", f"""

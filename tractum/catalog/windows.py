@@ -10,6 +10,7 @@ from tractum.operators import joins as J
 from tractum.operators import sets as S
 from tractum.operators.graph import connected_nodes as endpoints
 from tractum.operators.ordered import lag_within, rank_within, top_k, trailing_sum, upper_median as positional_median, weighted_decay
+from tractum.operators.series import autocorrelation, peaks, rhythm
 
 
 
@@ -67,6 +68,69 @@ def inter_event_interval(t):
     return gaps.withColumn("mean_gap_ms", mean).withColumn("frequency_hz", F.try_divide(F.lit(1000.0), mean))
 
 
+_SERIES = """
+    WITH s AS (SELECT id, t_ms, row_number() OVER (PARTITION BY id ORDER BY t_ms, event_id) - 1 AS i, floor(value / 10) AS v FROM smp WHERE value IS NOT NULL AND NOT isnan(value)),
+      r AS (SELECT id, i, v, lag(v) OVER w AS pv, lead(v) OVER w AS nv, lead(i) OVER w AS nxt FROM
+        (SELECT *, lag(v) OVER (PARTITION BY id ORDER BY i) IS DISTINCT FROM v AS new FROM s) c WHERE new WINDOW w AS (PARTITION BY id ORDER BY i)),
+      p AS (SELECT * FROM r WHERE v > pv AND v > nv),
+      h AS (SELECT p.id, p.i, p.v, p.nxt, coalesce(max(CASE WHEN y.i < p.i THEN y.i END), -1) AS l, coalesce(min(CASE WHEN y.i > p.i THEN y.i END), 1000000000) AS u
+        FROM p LEFT JOIN r y ON y.id = p.id AND y.v > p.v GROUP BY 1, 2, 3, 4),
+      b AS (SELECT h.id, (h.i + h.nxt - 1) // 2 AS i, h.v, h.v - greatest(min(CASE WHEN y.i <= h.i THEN y.v END), min(CASE WHEN y.i >= h.i THEN y.v END)) AS prominence
+        FROM h JOIN r y ON y.id = h.id AND y.i > h.l AND y.i < h.u GROUP BY h.id, h.i, h.nxt, h.v),
+      peak AS (SELECT b.id, b.i, s.t_ms, b.v, b.prominence FROM b JOIN (SELECT id, greatest(0.01, 0.05 * (max(v) - min(v))) AS least FROM s GROUP BY 1) a USING (id)
+        JOIN s ON s.id = b.id AND s.i = b.i WHERE b.prominence >= a.least)"""
+
+
+def _series(t):
+    return t.smp().where("value is not null and not isnan(value)").select("id", "t_ms", "event_id", F.floor(F.col("value") / 10).cast("double").alias("v"))
+
+
+def _prominent(t):
+    series = _series(t)
+    least = series.groupBy("id").agg(F.greatest(F.lit(0.01), 0.05 * (F.max("v") - F.min("v"))).alias("least"))
+    return peaks(series, "id", ["t_ms", "event_id"], "v", ["t_ms"]).join(least, "id").where("prominence >= least").drop("least")
+
+
+@query("prominence_peaks", "smp", _SERIES + " SELECT id, i, t_ms, v, prominence FROM peak")
+def prominence_peaks(t):
+    """Peaks at least 0.01 and a twentieth of the series' range above their surroundings."""
+    return _prominent(t)
+
+
+@query("peak_periods", "smp", _SERIES + """
+    SELECT id, count(*) AS n_peaks, CAST(sum(gap) AS BIGINT) AS total_gap, sum(gap) / count(gap) AS mean_period_ms, 1000 / (sum(gap) / count(gap)) AS frequency_hz
+    FROM (SELECT id, t_ms - lag(t_ms) OVER (PARTITION BY id ORDER BY i) AS gap FROM peak) g GROUP BY 1""")
+def peak_periods(t):
+    gaps = lag_within(_prominent(t).select("id", "i", "t_ms"), ["id"], ["i"], ["t_ms"]).withColumn("gap", F.col("t_ms") - F.col("prev_t_ms"))
+    out = gaps.groupBy("id").agg(F.count("*").alias("n_peaks"), F.sum("gap").alias("total_gap"), F.count("gap").alias("_n"))
+    mean = C.safe_ratio("total_gap", "_n")
+    return out.withColumn("mean_period_ms", mean).withColumn("frequency_hz", F.try_divide(F.lit(1000.0), mean)).drop("_n")
+
+
+_LAGS = """
+    WITH s AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY t_ms, event_id) AS i, value AS v FROM smp WHERE value IS NOT NULL AND NOT isnan(value)),
+      x AS (SELECT s.id, i, n, v - m AS x FROM s JOIN (SELECT id, count(*) AS n, avg(v) AS m FROM s GROUP BY 1) a USING (id)),
+      c AS (SELECT a.id, a.n, l.lag, round(CASE WHEN q.total > 0 THEN sum(a.x * b.x) / q.total ELSE 0 END, 6) AS r FROM x a JOIN (VALUES (1), (2), (3), (5), (8)) l(lag) ON l.lag < a.n
+        JOIN x b ON b.id = a.id AND b.i = a.i + l.lag JOIN (SELECT id, sum(x * x) AS total FROM x GROUP BY 1) q ON q.id = a.id GROUP BY a.id, a.n, l.lag, q.total)"""
+LAGS = (1, 2, 3, 5, 8)
+
+
+def _correlations(t):
+    out = autocorrelation(t.smp().select("id", "t_ms", "event_id", "value"), "id", ["t_ms", "event_id"], "value", LAGS)
+    return out.withColumn("r", F.round("r", 6))
+
+
+@query("autocorrelation", "smp", _LAGS + " SELECT id, n, lag, r FROM c")
+def autocorrelation_of_values(t):
+    return _correlations(t)
+
+
+@query("rhythm_score", "smp", _LAGS + """
+    SELECT id, r AS score, lag, 1.0::DOUBLE / (lag * 0.5::DOUBLE) AS frequency FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY r DESC, lag) = 1""")
+def rhythm_score(t):
+    return rhythm(_correlations(t), "id", 0.5)
+
+
 @query("first_occurrence", "claims", """
     SELECT root_id, arg_min(label, claim_id) AS label, arg_min(source_id, claim_id) AS source_id, min(claim_id) AS claim_id FROM claims GROUP BY 1""")
 def first_occurrence(t):

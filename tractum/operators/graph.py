@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tractum.functions.columns import clip_probability
 from tractum.operators.aggs import chunked_list, weighted_channels
 from tractum.operators.joins import both_in_set, in_set, mark, not_in_set
+from tractum.operators.reach import hop_distance  # noqa: F401  (part of this module's interface)
 from tractum.session import stage
 
 
@@ -40,35 +41,6 @@ def isolates(edges: DataFrame, universe: DataFrame) -> DataFrame:
     return not_in_set(universe.toDF("id"), "id", connected_nodes(edges))
 
 
-def hop_distance(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, weight_limits: Sequence[int] = (1,)) -> DataFrame:
-    """Least number of edges (<= max_hops) from each node to each target, per
-    weight limit, with the smallest next node on such a path.
-
-    ``seeds``: one column of target ids.  Each round joins only the newly
-    reached nodes to the edges and is staged, so lineage stays one round deep.
-    """
-    limits = F.array(*[F.lit(x).cast("int") for x in weight_limits])
-    start = seeds.toDF("target").distinct().select(
-        "target", F.explode(limits).alias("min_n"), F.col("target").alias("id"), F.lit(0).alias("hops"),
-        F.lit(None).cast("long").alias("next_id"),
-    )
-    known = stage(start)
-    frontier = known
-    # Every round reads the edges again: keep only those some limit admits.
-    edges = stage(edges.where(F.col("n") >= min(weight_limits)).select("pre", "post", "n"))
-    for hop in range(1, max_hops + 1):
-        reach = frontier.select("target", "min_n", F.col("id").alias("post"))
-        step = edges.join(reach, "post").where("n >= min_n").groupBy("target", "min_n", F.col("pre").alias("id")).agg(
-            F.min("post").alias("next_id")
-        )
-        new = step.join(known.select("target", "min_n", "id"), ["target", "min_n", "id"], "left_anti")
-        frontier = stage(new.select("target", "min_n", "id", F.lit(hop).alias("hops"), "next_id"))
-        if frontier.isEmpty():
-            break
-        known = known.union(frontier)
-    return known
-
-
 def shortest_paths(hops: DataFrame, edges: DataFrame, sources: DataFrame, max_hops: int = 4) -> DataFrame:
     """One shortest path per (source, target, min_n) by following next nodes:
     the node array and the least edge weight on it."""

@@ -92,3 +92,25 @@ def greedy_match(sources: DataFrame, candidates: DataFrame, strata: Sequence[str
     numbered = rank_within(members.join(cells, shape), cell, ["id"], "_r").select(*cell, "_r", F.col("id").alias("control"))
     matched = rank_within(placed, cell, ["source"], "_r").join(numbered, [*cell, "_r"]).select("source", "control")
     return everyone.select(*strata, "source").join(matched, "source", "left").select(*strata, "source", "control")
+
+
+def nearest_free(wanted: DataFrame, pool: DataFrame, taken: DataFrame, key: str, stratum: str, measure: str) -> DataFrame:
+    """``key`` and ``id``: of the pool's nodes in the stratum the one nearest in
+    ``measure`` (ties: least id) that the key has not taken; keys without one
+    are left out.
+
+    ``wanted``: key, stratum, measure; ``pool``: id, stratum, measure; ``taken``:
+    key, id.  Distances are judged on the distinct measures of a stratum.  In the
+    nearest cells with a free node its first ``taken + 1`` ids must hold one, so
+    no key meets a whole cell.
+    """
+    place = [stratum, measure]
+    pool = pool.select("id", *place)
+    cells = pool.groupBy(*place).agg(F.count("*").alias("_size"))
+    used = taken.join(pool, "id").groupBy(key, *place).agg(F.count("*").alias("_used"))
+    options = wanted.select(key, stratum, F.col(measure).alias("_wanted")).join(cells, stratum).join(used, [key, *place], "left").fillna(0, ["_used"])
+    options = options.where("_size > _used").withColumn("_gap", F.abs(F.col(measure) - F.col("_wanted")))
+    nearest = options.groupBy(key).agg(F.min("_gap").alias("_gap"))
+    asked = options.join(nearest, [key, "_gap"]).select(key, *place, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_used") + 1)).alias("_r"))
+    free = asked.join(rank_within(pool, place, ["id"], "_r"), [*place, "_r"]).select(key, "id").join(taken, [key, "id"], "left_anti")
+    return free.groupBy(key).agg(F.min("id").alias("id"))
