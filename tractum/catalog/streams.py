@@ -8,6 +8,7 @@ from tractum.catalog.base import query
 from tractum.catalog.views import epoch_ms
 from tractum.operators.ordered import lag_within, weighted_decay
 from tractum.streaming import operators as S
+from tractum.streaming import stateful as X
 from tractum.streaming.runner import appended, first_of, latest, merged, output, read_events, run_available
 
 DAY, HOUR = 86_400_000, 3_600_000
@@ -69,6 +70,45 @@ def stream_ewma(t):
     return weighted_decay(appended(samples), ["id"], ["t_ms", "event_id"], "value", 0.2, "ewma").withColumn("ewma", F.round("ewma", 6))
 
 
+@query("stream_ewma_ordered", "smp", """
+    SELECT id, count(*) AS n_samples, round(sum(0.2 * power(0.8, age - 1) * value), 6) AS ewma FROM
+      (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY t_ms DESC, event_id DESC) AS age FROM smp WHERE value IS NOT NULL) s GROUP BY 1""")
+def stream_ewma_ordered(t):
+    """The recurrence itself, with samples held back until the watermark has passed them."""
+    samples = _stream(t).withColumnRenamed("user_id", "id")
+    out = latest(X.ewma_in_order(samples, 0.2, "60 days"), ["id"])
+    return out.select("id", "n_samples", F.round("ewma", 6).alias("ewma"))
+
+
+def _watched(t, limit: str, shift=None):
+    """(held frames, violations): the last word of the stream on each id, and its side output."""
+    millis = epoch_ms("ts") if shift is None else epoch_ms("ts") - shift
+    frames = S.with_event_time(_events(t), millis).withColumnsRenamed({"user_id": "id", "event_type": "kind"})
+    stream = X.watch_frames(frames, limit)
+    base, _ = run_available(stream, "update", lambda batch: {"held": batch.where("event in ('frame', 'stale')"), "violations": batch.where("event = 'violation'")}, "frames")
+    rest = [c for c in stream.columns if c != "id"]
+    held = output(t.spark, base, stream.schema, "held").groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("batch", F.col("event") == "frame")).alias("r")).select("id", "r.*")
+    return held, output(t.spark, base, stream.schema, "violations")
+
+
+@query("stream_frame_expiry", "smp", f"""
+    SELECT id AS user_id, max(t_ms) AS t_ms, arg_max(scenario, (t_ms, event_id)) AS event_type, arg_max(value, (t_ms, event_id)) AS value FROM smp GROUP BY 1
+    HAVING (SELECT max(t_ms) FROM smp) - max(t_ms) <= {DAY // 4}""")
+def stream_frame_expiry(t):
+    """Frames that no timer has expired when the stream ends."""
+    held, _ = _watched(t, "6 hours")
+    return held.where("event = 'frame'").select(F.col("id").alias("user_id"), "t_ms", F.col("kind").alias("event_type"), "value")
+
+
+@query("stream_order_violations", "smp", f"""
+    SELECT id AS user_id, event_id, t, p AS before FROM (SELECT id, event_id, t, lag(t) OVER (PARTITION BY id ORDER BY event_id) AS p
+      FROM (SELECT id, event_id, t_ms - CASE WHEN event_id % 17 = 0 THEN {3 * DAY} ELSE 0 END AS t FROM smp) a) b WHERE t < p""")
+def stream_order_violations(t):
+    """Frames that go back in time, from the stream's side output; every 17th frame carries a clock that is three days late."""
+    _, violations = _watched(t, "60 days", F.when(F.col("event_id") % 17 == 0, 3 * DAY).otherwise(0))
+    return violations.select(F.col("id").alias("user_id"), "event_id", F.col("t_ms").alias("t"), "before")
+
+
 KINDS = ["click", "purchase", "signup", "view"]
 
 
