@@ -8,6 +8,7 @@ from tractum.functions import columns as C
 from tractum.operators import graph as G
 from tractum.operators import joins as J
 from tractum.operators import matching as M
+from tractum.operators import positions as P
 from tractum.operators import reach as R
 from tractum.operators.ordered import top_k
 from tractum.plans.checks import ledger
@@ -255,20 +256,55 @@ def path_edges(t):
 
 
 @query("path_recheck", "pairs nod", f"""
-    SELECT count(*) AS n_paths, CAST(2 * count(*) AS BIGINT) AS n_edge_uses, CAST(0 AS BIGINT) AS n_wrong_edges, CAST(0 AS BIGINT) AS n_repeats,
-           (SELECT count(DISTINCT (source, target)) FROM {TWO} q) AS n_reached FROM {TWO} p""")
+    WITH p AS (SELECT source, CASE WHEN (source * 5 + mid + target) % 101 = 0 THEN source ELSE mid END AS mid, target,
+        n_1 + CASE WHEN (source + mid * 3 + target) % 97 = 0 THEN 1 ELSE 0 END AS n_1, n_2 FROM {TWO} q),
+      u AS (SELECT source AS pre, mid AS post, n_1 AS n FROM p UNION ALL SELECT mid, target, n_2 FROM p)
+    SELECT count(*) AS n_paths, CAST(2 * count(*) AS BIGINT) AS n_edge_uses, (SELECT count(*) FROM u WHERE NOT EXISTS (SELECT 1 FROM pairs g WHERE g.pre = u.pre AND g.post = u.post AND g.n = u.n)) AS n_wrong_edges,
+      count(*) FILTER (WHERE source = mid OR mid = target OR source = target) AS n_repeats, count(DISTINCT (source, target)) AS n_reached FROM p""")
 def path_recheck(t):
-    two, graph = _two(t), t.pairs()
+    """Exported paths against the graph: wrong counts and repeated nodes are put into the export by rule."""
+    source, mid, target = F.col("source"), F.col("mid"), F.col("target")
+    two = _two(t).select("source", F.when((source * 5 + mid + target) % 101 == 0, source).otherwise(mid).alias("mid"), "target",
+                         (F.col("n_1") + F.when((source + mid * 3 + target) % 97 == 0, 1).otherwise(0)).alias("n_1"), "n_2")
     uses = two.select(F.explode(F.array(
         F.struct(F.col("source").alias("pre"), F.col("mid").alias("post"), F.col("n_1").alias("n")),
         F.struct(F.col("mid").alias("pre"), F.col("target").alias("post"), F.col("n_2").alias("n")))).alias("e")).select("e.*")
     edges = uses.groupBy(*PAIR, "n").agg(F.count("*").alias("uses"))
-    wrong = edges.join(graph, [*PAIR, "n"], "left_anti").agg(F.coalesce(F.sum("uses"), F.lit(0))).scalar()
+    wrong = edges.join(t.pairs(), [*PAIR, "n"], "left_anti").agg(F.coalesce(F.sum("uses"), F.lit(0))).scalar()
     repeated = F.size(F.array_distinct(F.array("source", "mid", "target"))) < 3
     return two.agg(F.count("*").alias("n_paths"), (2 * F.count("*")).alias("n_edge_uses"), F.count_if(repeated).alias("n_repeats"),
                    F.count_distinct("source", "target").alias("n_reached")).withColumn("n_wrong_edges", wrong)
 
 
+_CSR = """WITH idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nod),
+      s AS (SELECT a.i AS pre, b.i AS post, n, row_number() OVER (ORDER BY a.i, b.i) - 1 AS slot FROM pairs JOIN idx a ON a.id = pre JOIN idx b ON b.id = post)"""
+
+
+def _slots(t):
+    places = P.positions(t.nod())
+    e = P.indexed(t.pairs(), places).where("pre_index is not null and post_index is not null").select("pre_index", "post_index", "n")
+    return places, stage(P.slots(e))
+
+
+@query("csr_offsets", "pairs nod", _CSR + """
+    SELECT i AS index, id, count(slot) AS degree, CAST(coalesce(sum(count(slot)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+    FROM idx LEFT JOIN s ON s.pre = i GROUP BY 1, 2""")
+def csr_offsets(t):
+    places, slotted = _slots(t)
+    return P.offsets(slotted, places)
+
+
+@query("csr_arrays", "pairs nod", _CSR + """
+    SELECT slot // 1000 AS block, min(slot) AS first, count(*) AS n_slots, string_agg(pre::VARCHAR, ',' ORDER BY slot) AS pre, string_agg(post::VARCHAR, ',' ORDER BY slot) AS targets,
+      string_agg(n::VARCHAR, ',' ORDER BY slot) AS weights FROM s GROUP BY 1""")
+def csr_arrays(t):
+    """The arrays of each block, as text for the comparison."""
+    _, slotted = _slots(t)
+    out = P.edge_arrays(slotted, ["post_index", "n"], 1000)
+    text = {name: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for name, c in (("pre", "pre"), ("targets", "post_index"), ("weights", "n"))}
+    return out.select("block", "first", F.size("n").cast("long").alias("n_slots"), *[c.alias(name) for name, c in text.items()])
+
+
 @query("adjacency", "pairs", """
     SELECT pre, (r - 1) // 32 AS chunk, count(*) AS n_items, string_agg(concat(post, ':', n), ';' ORDER BY post) AS neighbours
     FROM (SELECT *, row_number() OVER (PARTITION BY pre ORDER BY post) AS r FROM pairs) s GROUP BY 1, 2""")

@@ -7,6 +7,7 @@ from tractum.functions import columns as C
 from tractum.operators import aggs as A
 from tractum.operators import graph as G
 from tractum.operators import joins as J
+from tractum.operators import positions as P
 from tractum.operators.matching import greedy_match, nearest_control
 
 PAIR, KEY3 = ["pre", "post"], ["pre", "post", "region"]
@@ -188,21 +189,29 @@ def exact_site_matches(t):
     return J.exact_site_matches(t.pts().where("ln <= 4"), t.pts().where("ln >= 3"), PAIR, COORDS)
 
 
-@query("index_id_consistency", "nod edg", """
-    SELECT (c.n_nationkey = s.n_nationkey) AS same_id, count(*) AS n, CAST(sum(abs(c.w - s.w)) AS BIGINT) AS weight_gap
-    FROM (SELECT n_nationkey, count(*) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) c
-    JOIN (SELECT n_nationkey, n_name, count(*) AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) s
-    ON 'NATION_' || c.n_nationkey = s.n_name GROUP BY 1""")
+INDEX_SQL = """idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM nod),
+    e AS (SELECT pre, post, n, a.i + CASE WHEN (pre * 31 + post) % 97 = 0 THEN 1 ELSE 0 END AS pre_index,
+        CASE WHEN (pre + post * 17) % 89 = 0 THEN -1 ELSE b.i END AS post_index, CASE WHEN pre % 3 = 0 THEN -1 ELSE 1 END AS sign,
+        CASE WHEN pre % 3 = 0 THEN -n ELSE n END + CASE WHEN (pre * 7 + post) % 83 = 0 THEN 1 ELSE 0 END AS signed
+      FROM pairs JOIN idx a ON a.id = pre JOIN idx b ON b.id = post)"""
+
+
+@query("index_id_consistency", "pairs nod", "WITH " + INDEX_SQL + """
+    SELECT count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS weight,
+      count(*) FILTER (WHERE pre_index < 0 OR pre_index >= k) AS pre_out_of_range, count(*) FILTER (WHERE post_index < 0 OR post_index >= k) AS post_out_of_range,
+      count(*) FILTER (WHERE pre_index BETWEEN 0 AND k - 1 AND x.id <> pre) AS pre_mismatches, count(*) FILTER (WHERE post_index BETWEEN 0 AND k - 1 AND y.id <> post) AS post_mismatches,
+      count(*) FILTER (WHERE sign * n <> signed) AS sign_mismatches, count(*) FILTER (WHERE sign > 0) AS n_positive, count(*) FILTER (WHERE sign < 0) AS n_negative
+    FROM e LEFT JOIN idx x ON x.i = pre_index LEFT JOIN idx y ON y.i = post_index, (SELECT count(*) AS k FROM nod) c""")
 def index_id_consistency(t):
-    """Position named by a label must be the position stored as a number."""
-    nation = t.read("nation")
-    c = t.read("customer").groupBy(F.col("c_nationkey").alias("ci")).agg(F.count("*").alias("cw"))
-    s = t.read("supplier").groupBy(F.col("s_nationkey").alias("si")).agg(F.count("*").alias("sw")).join(
-        nation, F.col("si") == F.col("n_nationkey"))
-    c = c.join(nation.select(F.col("n_nationkey").alias("ck")), F.col("ci") == F.col("ck"))
-    hit = c.join(s, F.concat(F.lit("NATION_"), F.col("ci").cast("string")) == F.col("n_name"))
-    return hit.groupBy((F.col("ci") == F.col("si")).alias("same_id")).agg(
-        F.count("*").alias("n"), F.sum(F.abs(F.col("cw") - F.col("sw"))).alias("weight_gap"))
+    """``ids[index] = id`` on both ends and sign times weight, over edges into which faults of every kind are put by rule."""
+    places = P.positions(t.nod())
+    e = P.indexed(t.pairs().join(t.nod().select(F.col("id").alias("pre")), "pre", "left_semi").join(t.nod().select(F.col("id").alias("post")), "post", "left_semi"), places)
+    pre, post, n = F.col("pre"), F.col("post"), F.col("n")
+    sign = F.when(pre % 3 == 0, -1).otherwise(1)
+    rows = e.select("pre", "post", "n", (F.col("pre_index") + F.when((pre * 31 + post) % 97 == 0, 1).otherwise(0)).alias("pre_index"),
+                    F.when((pre + post * 17) % 89 == 0, F.lit(-1).cast("long")).otherwise(F.col("post_index")).alias("post_index"), sign.alias("sign"),
+                    (sign * n + F.when((pre * 7 + post) % 83 == 0, 1).otherwise(0)).alias("signed"))
+    return P.check_positions(rows, places)
 
 
 @query("graph_equality", "pairs edg", """
@@ -380,15 +389,22 @@ def matched_control_no_reuse(t):
 
 
 @query("filtered_consistency", "edg pairs", """
-    SELECT (SELECT count(*) FROM pairs WHERE n >= 5) AS n_filtered_pairs,
-      (SELECT count(*) FROM edg WHERE (pre, post) IN (SELECT pre, post FROM pairs WHERE n >= 5)) AS n_filtered_rows,
-      CAST(0 AS BIGINT) AS n_not_in_full, CAST(0 AS BIGINT) AS n_wrong_count, CAST(0 AS BIGINT) AS n_pairs_missing""")
+    WITH x AS (SELECT pre, post, region, n + CASE WHEN (pre + post) % 41 = 0 THEN 1 ELSE 0 END AS n FROM edg WHERE (pre, post) IN (SELECT pre, post FROM pairs WHERE n >= 5)
+        AND (pre * 3 + post) % 37 <> 0 UNION ALL SELECT pre, post, 'nowhere', n FROM pairs WHERE n >= 5 AND (pre + post * 5) % 43 = 0),
+      strong AS (SELECT pre, post FROM pairs WHERE n >= 5)
+    SELECT (SELECT count(*) FROM strong WHERE (pre, post) IN (SELECT pre, post FROM x)) AS n_filtered_pairs, count(*) AS n_filtered_rows,
+      count(*) FILTER (WHERE e.n IS NULL) AS n_not_in_full, count(*) FILTER (WHERE e.n <> x.n) AS n_wrong_count,
+      (SELECT count(*) FROM strong WHERE (pre, post) NOT IN (SELECT pre, post FROM x)) AS n_pairs_missing
+    FROM x LEFT JOIN edg e USING (pre, post, region)""")
 def filtered_consistency(t):
     """An export of the pairs with total >= 5 must be a subset of the full
-    table with equal counts, and hold exactly those pairs."""
-    full = t.edg()
+    table with equal counts, and hold exactly those pairs.  Pairs left out, rows
+    that exist nowhere and wrong counts are put into the export by rule."""
+    full, pre, post = t.edg(), F.col("pre"), F.col("post")
     strong = t.pairs().where("n >= 5")
-    export = full.join(strong.select(*PAIR), PAIR, "left_semi")
+    export = full.join(strong.select(*PAIR), PAIR, "left_semi").where((pre * 3 + post) % 37 != 0)
+    export = export.withColumn("n", F.col("n") + F.when((pre + post) % 41 == 0, 1).otherwise(0)).unionByName(
+        strong.where((pre + post * 5) % 43 == 0).select(*PAIR, F.lit("nowhere").alias("region"), "n"))
     cmp = export.withColumnRenamed("n", "n_x").join(full, KEY3, "left").agg(
         F.count("*").alias("n_filtered_rows"), F.count_if(F.col("n").isNull()).alias("n_not_in_full"),
         F.count_if(F.col("n") != F.col("n_x")).alias("n_wrong_count"))
