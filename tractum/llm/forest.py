@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tractum.llm.components import components
-from tractum.llm.textops import Words, text_slices, xxh64
+from tractum.llm.textops import Words, segment_sum, text_slices, xxh64
 from tractum.session import stage
 
 NEAREST = 3  # neighbours of a text that are tried first in each part of a crowded region
 STRAYS = 512  # texts outside the main component of a region that are compared with all of it
 CELL = 2048  # texts of a crowded region in one task
+CELL_SHINGLES = 2_000_000  # and their shingles
 HUB = 256  # partners of a text that are confirmed in one group
 BLOCK = 1 << 15  # shingles hashed at once
 BROADCAST_ROWS = 200_000  # a list of ids up to this long is sent to all tasks; a longer one is joined by shuffle
@@ -245,75 +246,105 @@ def _ordered_candidates(nodes: DataFrame, scheme: Forest) -> DataFrame:
     return met.where("border is null").select("a", "b", "dist").unionByName(borders.groupBy("border").applyInArrow(across, PAIR))
 
 
-def _stray_pairs(scheme: Forest):
-    """Candidates in each cell between its strays and the texts that are at home there; rows come sorted by cell."""
-    def solve(cols) -> pa.RecordBatch:
-        cell, node, root, size, stray, home, sketch = cols
-        found = []
-        for begin, end in zip(*(lambda s: (s, np.append(s[1:], len(cell))))(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])))):
-            away, here = begin + np.flatnonzero(stray[begin:end]), begin + np.flatnonzero(home[begin:end])
-            for some in np.array_split(away, max(1, len(away) * len(here) // 1_000_000)):
-                x, y = np.repeat(some, len(here)), np.tile(here, len(some))
-                ok = (root[x] != root[y]) & (~stray[y] | (node[x] < node[y]))
-                found.append(_alike(x[ok], y[ok], size, sketch, scheme))
-        x, y, dist = (np.concatenate(v) for v in zip(*found))
-        return pa.RecordBatch.from_arrays(_pairs(node, x, y, dist), names=["a", "b", "dist"])
+def _cell_links(scheme: Forest):
+    """In each cell, links between its strays and the texts at home there that
+    join different components: at most one per text.  Rows come sorted by cell."""
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        places = rows.column("place").to_numpy()
+        a, b = [], []
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        for begin, end in zip(starts, np.append(starts[1:], len(places))):
+            cell = rows.slice(begin, end - begin)
+            node, label, size = (cell.column(c).to_numpy().copy() for c in ("node", "root", "size"))
+            stray, home = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "home"))
+            first = np.concatenate(([0], np.cumsum(size)))
+            _, token = np.unique(np.frombuffer(b"".join(cell.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+            mark = np.zeros(len(token) + 1, np.int64)
+            for x in np.flatnonzero(stray):
+                fits = home & (label != label[x]) & (100 * np.minimum(size, size[x]) >= scheme.percent * np.maximum(size, size[x]))
+                if not fits.any():
+                    continue
+                own = token[first[x]:first[x + 1]]
+                mark[own] = 1
+                shared = segment_sum(mark[token], first)
+                mark[own] = 0
+                for y in np.flatnonzero(fits & (100 * shared >= scheme.percent * (size + size[x] - shared))):
+                    if label[y] != label[x]:
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+                        label[label == label[y]] = label[x]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.RecordBatch] = []
         for frame in frames:
             if not frame.num_rows:
                 continue
-            cols = [frame.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [_sketches(frame.column(6), scheme)]
-            cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield solve([c[:cut] for c in cols])
-        if held is not None:
-            yield solve(held)
+            places = frame.column(0).to_numpy()
+            cut = int(np.searchsorted(places, places[-1]))
+            if cut or (held and held[-1].column(0)[0].as_py() != places[0]):
+                yield solve(pa.Table.from_batches([*held, frame.slice(0, cut)]))
+                held = []
+            held.append(frame.slice(cut))
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
 
-def _crowded_candidates(nodes: DataFrame, scheme: Forest) -> DataFrame | None:
-    """Candidates between different components in the crowded regions; ``nodes``
-    have ``root``.  Runs jobs; None if no region is crowded and mixed."""
+def _crowded_links(nodes: DataFrame, held: DataFrame, scheme: Forest) -> DataFrame | None:
+    """Links between different components in the crowded regions, as many as
+    connect what all links there connect; ``nodes`` have ``root``.  Full sets are compared in cells of a
+    region, to which its strays are sent.  Runs jobs; None if no region is
+    crowded and mixed."""
     def prefix(depth: int):
         return F.substring("label", 1, 2 * depth).alias("prefix")
 
     found, depth = None, scheme.least
-    pending = _entries(nodes, scheme, "root")
+    pending = _entries(nodes, scheme, "root").select("tree", "label", "node", "size", "root")
     mixed = pending.groupBy("tree", prefix(depth)).agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    regions = _sent_if_small(mixed.where((F.col("n") > scheme.region) & (F.col("low") < F.col("high"))).select("tree", "prefix", "n"))
-    pending = stage(pending.withColumn("prefix", F.substring("label", 1, 2 * depth)).join(regions, ["tree", "prefix"]).drop("n"))
+    regions = _sent_if_small(mixed.where((F.col("n") > scheme.region) & (F.col("low") < F.col("high"))).select("tree", "prefix"))
+    pending = stage(pending.withColumn("prefix", F.substring("label", 1, 2 * depth)).join(regions, ["tree", "prefix"]))
+    if pending.isEmpty():
+        return None
+    sets_of = stage(_sets_of(_sent_if_small(pending.select("node").distinct()), held, scheme))
     while not pending.isEmpty():
-        per_root = pending.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n"))
-        stats = per_root.groupBy("tree", "prefix").agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("main"))
-        stats = _sent_if_small(stats.select("tree", "prefix", "total", F.col("main.root").alias("main"), (F.col("total") - F.col("main.n")).alias("strays")).where("strays > 0"))
+        per_root = pending.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        stats = per_root.groupBy("tree", "prefix").agg(F.sum("n").alias("total"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "root")).alias("main"))
+        cells = F.ceil(F.greatest(F.col("total") / CELL, F.col("shingles") / CELL_SHINGLES))
+        stats = _sent_if_small(stats.select("tree", "prefix", F.col("main.root").alias("main"), (F.col("total") - F.col("main.n")).alias("strays"), cells.alias("cells")).where("strays > 0"))
         rows = pending.join(stats, ["tree", "prefix"])
         ready = F.lit(True) if depth == scheme.levels else F.col("strays") <= STRAYS
-        cells = F.ceil(F.col("total") / CELL)
-        own = F.pmod(F.xxhash64("node"), cells)
+        own = F.pmod(F.xxhash64("node"), F.col("cells"))
         stray = F.col("root") != F.col("main")
-        dealt = rows.where(ready).select("tree", "prefix", "node", "root", "size", "sketch", stray.alias("stray"), own.alias("own"),
-                                         F.explode(F.when(stray, F.sequence(F.lit(0).cast("long"), cells - 1)).otherwise(F.array(own))).alias("cell"))
-        dealt = dealt.select(F.xxhash64("tree", "prefix", "cell").alias("place"), "node", "root", "size", "stray", (F.col("own") == F.col("cell")).alias("home"), "sketch")
-        pairs = stage(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_stray_pairs(scheme), PAIR))
-        found = pairs if found is None else found.unionByName(pairs)
+        dealt = rows.where(ready).select("tree", "prefix", "node", "root", stray.alias("stray"), own.alias("own"),
+                                         F.explode(F.when(stray, F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(F.array(own))).alias("cell"))
+        dealt = dealt.select(F.xxhash64("tree", "prefix", "cell").alias("place"), "node", "root", "stray", (F.col("own") == F.col("cell")).alias("home")).join(sets_of, "node")
+        dealt = dealt.select("place", "node", "root", F.expr("octet_length(shingles) div 8").cast("long").alias("size"), "stray", "home", "shingles")
+        links = stage(dealt.repartition("place").sortWithinPartitions("place").mapInArrow(_cell_links(scheme), "a long, b long"))
+        found = links if found is None else found.unionByName(links)
         depth += 1
-        pending = stage(rows.where(~ready).select(*ENTRY_COLUMNS, "root", F.substring("label", 1, 2 * depth).alias("prefix")))
+        pending = stage(rows.where(~ready).select("tree", "label", "node", "size", "root", F.substring("label", 1, 2 * depth).alias("prefix")))
     return found
 
 
-ENTRY_COLUMNS = ["tree", "label", "node", "size", "sketch"]
-
-
 def _sent_if_small(ids: DataFrame) -> DataFrame:
     ids = stage(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _sets_of(nodes: DataFrame, held: DataFrame, scheme: Forest) -> DataFrame:
+    """``node`` and ``shingles`` (their hashes, ascending, eight bytes each) of the texts of ``nodes``."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for rows, data, offsets in text_slices(frame, "_text"):
+                h, first = _sets(Words(data, offsets), scheme.width)
+                lists = pa.array([h[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["node", "shingles"])
+
+    return held.select(F.col("_row").alias("node"), "_text").join(nodes, "node").mapInArrow(run, "node long, shingles binary")
+
+
 def _confirmed(pairs: DataFrame, held: DataFrame, scheme: Forest) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity.  The end with more
     partners is the hub; its set goes once to each group of ``HUB`` partners."""
@@ -326,14 +357,7 @@ def _confirmed(pairs: DataFrame, held: DataFrame, scheme: Forest) -> DataFrame:
                          F.ceil(F.greatest("n_a", "n_b") / HUB).alias("parts"))
     spokes = stage(spokes.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
 
-    def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for rows, data, offsets in text_slices(frame, "_text"):
-                h, first = _sets(Words(data, offsets), scheme.width)
-                lists = pa.array([h[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["node", "shingles"])
-
-    sets_of = stage(held.select(F.col("_row").alias("node"), "_text").join(degree.select("node"), "node").mapInArrow(sets, "node long, shingles binary"))
+    sets_of = stage(_sets_of(degree.select("node"), held, scheme))
     hubs = spokes.select(F.col("hub").alias("node"), "parts").distinct().join(sets_of, "node")
     hubs = hubs.select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "shingles")
     rows = hubs.unionByName(spokes.join(sets_of, "node").select("hub", "part", "node", "shingles"))
@@ -361,19 +385,30 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _linked(pairs: DataFrame, edges: DataFrame | None, held: DataFrame, scheme: Forest) -> DataFrame:
-    """``edges`` and as many confirmed pairs as connect what all similar ones of
-    ``pairs`` connect: the nearest partner of each text first, then every pair
-    that is still in two components."""
+def _linked(pairs: DataFrame, held: DataFrame, scheme: Forest) -> DataFrame:
+    """(node, root) of the components of all similar ``pairs``: the nearest
+    partner of each text is confirmed first, then every pair that is still in
+    two components."""
     pairs = stage(pairs.groupBy("a", "b").agg(F.min("dist").alias("dist")))
     each = pairs.select(F.col("a").alias("x"), F.struct("dist", "b", "a").alias("p")).unionByName(pairs.select(F.col("b").alias("x"), F.struct("dist", "b", "a").alias("p")))
     first = each.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-    near = stage(_confirmed(stage(first), held, scheme))
-    edges = near if edges is None else edges.unionByName(near)
-    roots = stage(components(edges))
+    roots = stage(components(stage(_confirmed(stage(first), held, scheme))))
     left = pairs.join(roots.withColumnsRenamed({"node": "a", "root": "root_a"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "root_b"}), "b", "left")
     left = stage(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
-    return edges if left.isEmpty() else edges.unionByName(stage(_confirmed(left, held, scheme)))
+    return roots if left.isEmpty() else _merged(roots, stage(_confirmed(left, held, scheme)))
+
+
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, root) with ``edges`` added: only their roots are joined anew."""
+    if edges.isEmpty():
+        return roots
+    ends = edges
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    anew = components(ends)
+    old = roots.withColumnRenamed("root", "_at").join(anew.select(F.col("node").alias("_at"), F.col("root").alias("_new")), "_at", "left").select("node", F.coalesce("_new", "_at").alias("root"))
+    return stage(old.unionByName(anew.join(roots.select("node"), "node", "left_anti")))
 
 
 def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Forest = Forest()) -> DataFrame:
@@ -395,13 +430,11 @@ def near_duplicates(df: DataFrame, id_column: str, text: str, scheme: Forest = F
     known = marked.select("_row", "_id", "size", "key")
     groups = known.where("size > 0").groupBy("key").agg(F.min("_row").alias("node"), F.min("_id").alias("low"), F.count("*").alias("n"))
     nodes = stage(marked.select(F.col("_row").alias("node"), "size", "sig").join(groups, "node"))
-    edges = _linked(_ordered_candidates(nodes, scheme), None, held, scheme)
-    rooted = stage(_rooted(nodes.select("node", "size", "sig"), components(edges)))
-    crowded = _crowded_candidates(rooted, scheme)
+    roots = _linked(_ordered_candidates(nodes, scheme), held, scheme)
+    crowded = _crowded_links(_rooted(nodes.select("node", "size", "sig"), roots), held, scheme)
     if crowded is not None:
-        edges = _linked(crowded, stage(edges), held, scheme)
-    rooted = _rooted(nodes.select("node", "key", "low", "n"), components(edges))
-    rooted = stage(rooted)
+        roots = _merged(roots, crowded)
+    rooted = stage(_rooted(nodes.select("node", "key", "low", "n"), roots))
     least = rooted.where("node <> root").groupBy("root").agg(F.min("low").alias("least")).join(
         rooted.select("node", F.col("low").alias("own")), F.col("root") == F.col("node")).select("root", F.least("least", "own").alias("least"))
     named = rooted.join(_sent_if_small(least), "root", "left").select("key", "n", F.coalesce("least", "low").alias("component_id"))
