@@ -155,3 +155,19 @@ def test_one_of_each_group_stays_without_ids(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     kept = sorted((r.doc_id or 0, r.text[0]) for r in simhash.drop_near_duplicates(df, "doc_id", "text").collect())
     assert kept == [(0, "b"), (1, "a"), (2, "d"), (3, "c")]
+
+
+def test_large_clusters_are_cut_at_their_hubs(spark, monkeypatch):
+    """Each set goes once to a small cluster; the edges of a large one are dealt over several places."""
+    monkeypatch.setattr(simhash, "CLUSTER", 7)
+    rng = random.Random(14)
+    texts = {}
+    for g in range(6):
+        base = [f"w{g}_{rng.randrange(5000)}" for _ in range(120)]
+        texts[100 * g] = " ".join(base)
+        for i in range(1, 3 + 12 * g):
+            words = list(base)
+            for k in range(1 + i % 5):
+                words[rng.randrange(len(words))] = f"n{g}_{i}_{k}"
+            texts[100 * g + i] = " ".join(words)
+    assert grouped(spark, texts) == wanted(texts)

@@ -29,6 +29,7 @@ from tractum.session import stage
 
 CELL = 2048  # fingerprints of one first segment that meet in one cell; more are dealt out as pairs of chunks
 BLOCK = 1_000_000  # pairs compared at once
+CLUSTER = 256  # texts whose sets meet in one place to be compared
 SMALL = 64  # nodes of one shingle that meet as pairs; where more meet, their sets are compared as a crowd
 CROWD = 2_000_000  # shingles of a chunk of a crowd
 SAMPLE = 5_000  # documents whose shingles are counted to put common ones last
@@ -167,8 +168,8 @@ def links(fps: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
     """Edges ``(a, b)`` between the nodes of ``fps`` (node, fp distinct).
 
     ``forest``: edges whose components are those of all pairs found.
-    Otherwise real pairs: for each node its nearest and its least partner in
-    each task, so more may be similar than these.  Either way a task keeps a few edges per node, so a dense group
+    Otherwise real pairs: for each node its nearest and its least partner,
+    so more may be similar than these.  Either way a task keeps a few edges per node, so a dense group
     gives no quadratic output.  A segment value with more than ``CELL``
     fingerprints is dealt out as pairs of chunks, which keeps every pair.
     """
@@ -204,42 +205,69 @@ def links(fps: DataFrame, scheme: Scheme, forest: bool) -> DataFrame:
                     found = reduce(found)
                     pending = len(found[0][0])
         if found:
-            (a, b, _), = reduce(found)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            (a, b, diff), = reduce(found)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(diff.astype(np.int32))], names=["a", "b", "diff"])
+
+    pairs = dealt.repartition("cell").mapInArrow(solve, "a long, b long, diff int")
+    if forest:
+        return pairs.select("a", "b")
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "diff").unionByName(pairs.select("b", "a", "diff").toDF("x", "y", "diff"))
+    partners = both.groupBy("x").agg(F.min(F.struct("diff", "y")).alias("near"), F.min("y").alias("least"))
+    partners = partners.select("x", F.explode(F.array("near.y", "least")).alias("y"))
+    return partners.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _similar(edges: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
+    """The edges whose texts have the Jaccard similarity on distinct shingles;
+    nodes are ``_row`` of ``held``.
+
+    Edges that hang together meet in one place, so that the set of each of
+    their texts is sent once; clusters of over ``CLUSTER`` texts are cut at
+    their hubs: an edge then goes to the end with more edges, and so does the
+    other end's set, ``CLUSTER`` of them to a place."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    roots = components(edges)
+    named = ends.join(roots, "node", "left").select("node", "degree", F.coalesce("root", "node").alias("root"))
+    sizes = named.groupBy("root").agg(F.count("*").alias("texts"))
+    named = _sent_if_small(named.join(sizes, "root"))
+    a, b = (named.select(F.col("node").alias(n), F.col("degree").alias(f"d_{n}"), F.col("root").alias(f"r_{n}"), F.col("texts").alias(f"t_{n}")) for n in "ab")
+    both = edges.join(a, "a").join(b.drop("r_b", "t_b"), "b")
+    hub, spoke = (F.when(F.col("d_a") >= F.col("d_b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    parts = F.ceil(F.greatest("d_a", "d_b") / CLUSTER)
+    place = F.when(F.col("t_a") <= CLUSTER, F.xxhash64("r_a")).otherwise(F.xxhash64(hub, F.pmod(F.xxhash64(spoke), parts), F.lit(1)))
+    placed = stage(both.select(place.alias("place"), "a", "b"))
+    sent = _sent_if_small(placed.select("place", F.explode(F.array("a", "b")).alias("node")).distinct())
 
-    return dealt.repartition("cell").mapInArrow(solve, "a long, b long")
-
-
-def _similar(edges: DataFrame, texts: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
-    """The edges whose texts have the Jaccard similarity on distinct shingles.
-    ``texts``: node and text, one row for each node of an edge."""
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for rows, data, offsets in text_slices(frame, text):
-                words = Words(data, offsets)
-                doc, start, end = words.shingles(scheme.width)
-                h = xxh64(words.data, start, end - start, scheme.seed).view(np.int64)
-                parts = np.split(h, np.searchsorted(doc, np.arange(1, words.n_docs)))
-                parts = [np.unique(p) for p in parts[:words.n_docs]]
-                sizes = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts)))
+            for rows, h, first in _shingle_sets(frame, text, scheme):
+                lists = pa.array([h[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["node", "shingles"])
 
-    sets_of = stage(texts.mapInArrow(sets, "node long, shingles array<bigint>"))
-    a, b = (sets_of.select(F.col("node").alias(n), F.col("shingles").alias(f"s_{n}")) for n in "ab")
-    both = edges.join(a, "a").join(b, "b")
+    wanted = _sent_if_small(ends.select("node"))
+    sets_of = held.select(F.col("_row").alias("node"), text).join(wanted, "node").mapInArrow(sets, "node long, shingles binary")
+    rows = sets_of.join(sent, "node").select("place", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles").unionByName(
+        placed.select("place", "a", "b", F.lit(None).cast("binary").alias("shingles")))
 
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}  # rows of a place: its sets, then its edges
         for frame in frames:
-            x, y = frame.column(2), frame.column(3)
-            keep = np.zeros(frame.num_rows, bool)
-            for r in range(frame.num_rows):
-                u, v = x[r].values.to_numpy(), y[r].values.to_numpy()
+            x, y = [], []
+            for place, a, b, shingles in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2).to_pylist(), frame.column(3)):
+                if place != at:
+                    at, own = place, {}
+                if b is None:
+                    own[a] = np.frombuffer(shingles.as_buffer(), np.int64)
+                    continue
+                u, v = own[a], own[b]
                 shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep[r] = shared >= similarity * (len(u) + len(v) - shared)
-            yield frame.select([0, 1]).filter(pa.array(keep))
+                if shared >= similarity * (len(u) + len(v) - shared):
+                    x.append(a)
+                    y.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
+    ordered = rows.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(check, "a long, b long")
 
 
 def _shingle_sets(frame: pa.RecordBatch, text: str, scheme: Scheme) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -384,10 +412,6 @@ def _crowd_links(crowd: DataFrame, held: DataFrame, text: str, scheme: Scheme, s
     return dealt.repartition("cell").mapInArrow(solve, "a long, b long")
 
 
-def _texts(nodes: DataFrame, held: DataFrame, text: str) -> DataFrame:
-    return held.select(F.col("_row").alias("node"), text).join(_sent_if_small(nodes), "node")
-
-
 def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
     """Similar pairs between the components of ``edges`` (similar pairs already
     known), so that together they connect what all similar pairs connect.
@@ -403,7 +427,7 @@ def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held:
     cells = stage(rooted.join(mixed.select("h", "n", F.col("low").alias("_low")), "h").select("h", "node", "root", "size", "n"))
     few = cells.where(F.col("n") <= SMALL).select("h", "node", "root", "size").repartition("h")
     pairs = stage(few.mapInArrow(_cell_pairs(similarity), "a long, b long").distinct())
-    found = _similar(pairs, _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), held, text), text, scheme, similarity)
+    found = _similar(pairs, held, text, scheme, similarity)
     many = cells.where(F.col("n") > SMALL)
     hubs = many.groupBy("h").agg(F.min("node").alias("b"))
     clusters = components(many.join(hubs, "h").select(F.col("node").alias("a"), "b"))
@@ -429,8 +453,7 @@ def _groups(held: DataFrame, id_column: str, text: str, scheme: Scheme, similari
     marked = marked.join(prefixes.select("_row", "key"), "_row")
     nodes = stage(marked.groupBy("key").agg(F.min("_row").alias("node"), F.min("fp").alias("fp"), F.min(id_column).alias("low")))
     edges = stage(links(nodes, scheme, forest=False).distinct())
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    edges = stage(_similar(edges, _texts(ends, held, text), text, scheme, similarity))
+    edges = stage(_similar(edges, held, text, scheme, similarity))
     rest = _all_similar(nodes.select("node"), edges, prefixes, held, text, scheme, similarity)
     roots = components(edges.unionByName(rest))
     rooted = nodes.join(roots, "node", "left").select("key", "low", F.coalesce("root", "node").alias("root"))
