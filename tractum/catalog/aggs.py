@@ -7,7 +7,9 @@ from tractum.catalog.joins import KEY3, PAIR, delta_sql, version_edges
 from tractum.functions import columns as C
 from tractum.operators import aggs as A
 from tractum.operators import joins as J
+from tractum.operators import sketches as K
 from tractum.operators.ordered import order_statistics, top_k
+from tractum.session import stage
 
 PAIR_DELTA = delta_sql("v2", "v3", PAIR)
 REGION_DELTA = delta_sql("r2", "r3", KEY3)
@@ -77,6 +79,31 @@ def quality_profile(t):
     return A.quality_profile(t.read("embeddings"))
 
 
+@query("distinct_sketch", "pts", """
+    SELECT 'pre' AS role, count(DISTINCT pre) AS n_exact, true AS within_bound, true AS parts_equal_whole FROM pts
+    UNION ALL SELECT 'post', count(DISTINCT post), true, true FROM pts
+    UNION ALL SELECT 'any', count(*), true, true FROM (SELECT pre FROM pts UNION SELECT post FROM pts) u""")
+def distinct_sketch(t):
+    """Sketches stored per region and brought up to date from a second load,
+    against the sketch of all rows at once and the exact count."""
+    ends, points = ["pre", "post"], t.pts().select("pre", "post", "region", "ln")
+    first = stage(K.part_sketches(points.where("ln <= 3"), ["region"], ends))
+    second = stage(K.part_sketches(points.where("ln > 3"), ["region"], ends))
+    stored = stage(K.merged(first.unionByName(second), ends, ["region"]))
+
+    def counted(sketches, suffix):
+        return K.estimates(K.across(sketches, ends, "any"), [*ends, "any"]).unpivot([], [*ends, "any"], "role", suffix)
+
+    parts = counted(K.merged(stored, ends), "n_parts")
+    whole = counted(K.merged(K.part_sketches(points, [], ends), ends), "n_whole")
+    ids = points.select(F.explode(F.array(*[F.struct(F.lit(e).alias("role"), F.col(e).alias("id")) for e in ends])).alias("e")).select("e.*").distinct()
+    ids = ids.unionByName(ids.select(F.lit("any").alias("role"), "id").distinct())
+    exact = ids.groupBy("role").agg(F.count("*").alias("n_exact"))
+    return exact.join(parts, "role").join(whole, "role").select(
+        "role", "n_exact", (F.abs(F.col("n_parts") - F.col("n_exact")) <= K.BOUND * F.col("n_exact")).alias("within_bound"),
+        (F.col("n_parts") == F.col("n_whole")).alias("parts_equal_whole"))
+
+
 @query("distinct_endpoints", "pairs nod", """
     SELECT count(DISTINCT pre) AS n_pre, count(DISTINCT post) AS n_post,
       (SELECT count(*) FROM (SELECT pre FROM pairs UNION SELECT post FROM pairs) u) AS n_any,

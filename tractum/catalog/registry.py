@@ -1,9 +1,13 @@
 """Q13-Q17: text and file registries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tractum.catalog.base import query
 from tractum.plans import registry as R
+from tractum.plans.stored import Registry
+from tractum.session import shared_folder
 
 RULES = [("example\\.net", "verified_license", "CC-BY-4.0"), ("^https:", "general_policy", "CC-BY-NC-4.0"), ("/(en|de)/", "declared", "MIT")]
 _when = lambda i: " ".join(f"WHEN regexp_matches(url, '{r[0]}') THEN '{r[i]}'" for r in RULES)
@@ -67,3 +71,16 @@ def link_check(t):
 def upsert_by_id(t):
     entries = t.read("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("seq"))
     return R.upsert(entries, "id", "seq")
+
+
+@query("registry_stored", "", """
+    SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1""")
+def registry_stored(t):
+    """The registry kept in files by ranges of ids, in two loads; the second replaces entries of the first."""
+    entries = t.read("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("seq"))
+    path = f"{shared_folder(t.spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    kept = Registry(t.spark, path, entries.drop("seq").schema, "id", 256)
+    middle = entries.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    kept.upsert(entries.where(F.col("seq") <= middle), "seq")
+    kept.upsert(entries.where(F.col("seq") > middle), "seq")
+    return kept.read()

@@ -77,6 +77,85 @@ def point_connection_recon(t):
     return reconcile.point_connection_recon(t.pts(), kept, t.nod().select("id"), exception_id=7)
 
 
+EXPORT = f"""(SELECT pre, post, {ALIGNED} AS region, count(*) + CASE WHEN (pre + post * 3) % 197 = 0 THEN 1 ELSE 0 END AS n FROM pts
+              WHERE pre <> post AND pre <> 7 AND post <> 7 AND (pre * 5 + post) % 211 <> 0 GROUP BY 1, 2, 3)"""
+
+
+@query("point_key_recon", "pts", f"""
+    WITH p AS (SELECT pre, post, {ALIGNED} AS region, region IS NULL OR trim(region) = '' AS blank, pre = post AS s, pre = 7 OR post = 7 AS x FROM pts),
+      r AS (SELECT pre, post, region, count(*) AS n FROM p WHERE NOT s AND NOT x GROUP BY 1, 2, 3), e AS {EXPORT},
+      k AS (SELECT CASE WHEN e.n IS NULL THEN 'point_only' WHEN r.n IS NULL THEN 'connection_only' WHEN r.n <> e.n THEN 'different_count' ELSE 'equal' END AS item FROM r FULL JOIN e USING (pre, post, region)),
+      f AS (SELECT count(*) AS a, count(*) FILTER (WHERE s AND NOT x) AS b, count(*) FILTER (WHERE s AND x) AS c, count(*) FILTER (WHERE x AND NOT s) AS d, count(*) FILTER (WHERE NOT s AND NOT x) AS g,
+        count(*) FILTER (WHERE blank) AS h, count(*) FILTER (WHERE blank AND NOT s AND NOT x) AS i, (SELECT CAST(sum(n) AS BIGINT) FROM e) AS j,
+        (SELECT count(*) FROM (SELECT DISTINCT pre, post, region FROM p WHERE x AND NOT s) q) AS l FROM p)
+    SELECT 'points' AS section, unnest(['all', 'self', 'self_exception', 'exception', 'retained', 'blank', 'blank_retained', 'connections', 'exception_keys']) AS item, unnest([a, b, c, d, g, h, i, j, l]) AS value FROM f
+    UNION ALL SELECT 'keys', item, count(*) FROM k GROUP BY 2
+    UNION ALL SELECT 'check', 'points_add_up', CAST((a = b + c + d + j)::INT AS BIGINT) FROM f UNION ALL SELECT 'check', 'views_agree', CAST(1 AS BIGINT)
+    UNION ALL SELECT 'check', 'keys_and_counts_equal', CAST((SELECT count(*) = 0 FROM k WHERE item <> 'equal')::INT AS BIGINT)""")
+def point_key_recon(t):
+    """The export lacks some keys and miscounts others, by rule; each key comes once per end, as views of selected nodes do."""
+    pre, post = F.col("pre"), F.col("post")
+    export = t.pts().where("pre <> post AND pre <> 7 AND post <> 7").where((pre * 5 + post) % 211 != 0)
+    export = export.groupBy("pre", "post", C.align_region("region").alias("region")).agg(F.count("*").alias("n")).withColumn("n", F.col("n") + F.when((pre + post * 3) % 197 == 0, 1).otherwise(0))
+    return reconcile.key_recon(t.pts(), export.unionByName(export), exception_id=7)
+
+
+@query("pair_candidates", "pts v2", f"""
+    WITH p AS (SELECT pre, post, {ALIGNED} AS region, okey * 10 + ln AS source FROM pts WHERE ln >= 3 AND pre <> post AND pre <> 7 AND post <> 7),
+      k AS (SELECT pre, post, region, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, pre, post, region) AS review_rank FROM p GROUP BY 1, 2, 3),
+      c AS (SELECT *, (row_number() OVER (PARTITION BY pre, post, region ORDER BY source) - 1) // 4 AS chunk FROM p)
+    SELECT k.*, (pre, post) IN (SELECT pre, post FROM p GROUP BY 1, 2 HAVING count(*) >= 5) AS in_export, (pre, post) IN (SELECT pre, post FROM v2) AS in_original, chunk, n_items, points
+    FROM k JOIN (SELECT pre, post, region, chunk, count(*) AS n_items, string_agg(source::VARCHAR, ';' ORDER BY source) AS points FROM c GROUP BY 1, 2, 3, 4) l USING (pre, post, region)""")
+def pair_candidates(t):
+    points = t.pts().where("ln >= 3")
+    strong = points.where("pre <> post AND pre <> 7 AND post <> 7").groupBy("pre", "post").agg(F.count("*").alias("n")).where("n >= 5")
+    return reconcile.pair_candidates(points, strong, t.v2(), 7, F.col("okey") * 10 + F.col("ln"), chunk=4)
+
+
+@query("annotation_coverage", "nod pairs", """
+    WITH a AS (SELECT id, cell_type, super_class, side FROM nod UNION ALL SELECT id, cell_type, NULL, side FROM nod WHERE id % 10 = 0),
+      u AS (SELECT id FROM nod WHERE id % 4 <> 0 UNION SELECT id + 1000000 FROM nod WHERE id % 5 = 0),
+      l AS (SELECT 'cell_type' AS metric, CASE WHEN cell_type IS NULL OR trim(cell_type) = '' THEN '(missing)' ELSE cell_type END AS label FROM a
+        UNION ALL SELECT 'super_class', CASE WHEN super_class IS NULL OR trim(super_class) = '' THEN '(missing)' ELSE super_class END FROM a UNION ALL SELECT 'side', side FROM a),
+      c AS (SELECT metric, label, count(*)::DOUBLE AS value, row_number() OVER (PARTITION BY metric ORDER BY count(*) DESC, label) AS r FROM l GROUP BY 1, 2),
+      m AS (SELECT count(*) AS n, count(DISTINCT id) AS k, count(*) FILTER (WHERE id IN (SELECT id FROM u)) AS hit, count(DISTINCT id) FILTER (WHERE id IN (SELECT id FROM u)) AS known, (SELECT count(*) FROM u) AS size FROM a)
+    SELECT 'coverage' AS metric, unnest(['rows', 'unique_ids', 'repeated_rows', 'matched_rows', 'matched_share_of_rows', 'annotated_share_of_universe']) AS label,
+      unnest([n::DOUBLE, k::DOUBLE, (n - k)::DOUBLE, hit::DOUBLE, hit::DOUBLE / n, known::DOUBLE / size]) AS value FROM m
+    UNION ALL SELECT metric, label, value FROM c WHERE r <= 20""")
+def annotation_coverage(t):
+    """Annotations with repeated rows, some without a class, against a universe that lacks some nodes and has others."""
+    nodes, columns = t.nod(), ["id", "cell_type", "super_class", "side"]
+    rows = nodes.select(*columns).unionByName(nodes.where("id % 10 = 0").withColumn("super_class", F.lit(None).cast("string")).select(*columns))
+    universe = nodes.where("id % 4 <> 0").select("id").union(nodes.where("id % 5 = 0").select(F.col("id") + 1000000))
+    return audits.annotation_coverage(rows, columns[1:], universe, top=20)
+
+
+@query("audit_cross_checks", "pts edg pairs", """
+    SELECT 'edges_equal_points' AS name, (SELECT count(*) FROM pts) = (SELECT sum(n) FROM edg) AS passed, (SELECT CAST(sum(n) AS BIGINT) FROM edg) AS n_left, (SELECT count(*) FROM pts) AS n_right, CAST(0 AS BIGINT) AS n_unequal
+    UNION ALL SELECT 'regions_equal_points', count(*) = 0, (SELECT CAST(sum(n) AS BIGINT) FROM edg WHERE pre <> post), (SELECT count(*) FROM pts), count(*)
+      FROM (SELECT region, count(*) AS n FROM pts GROUP BY 1) a FULL JOIN (SELECT region, sum(n) AS n FROM edg WHERE pre <> post GROUP BY 1) b USING (region) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)
+    UNION ALL SELECT 'strong_edges_at_most_points', true, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM pairs WHERE n >= 5), (SELECT count(*) FROM pts), 0
+    UNION ALL SELECT 'sample_equals_points', NULL, NULL, NULL, NULL UNION ALL SELECT 'absent_equals_points', NULL, NULL, NULL, NULL""")
+def audit_cross_checks(t):
+    """Totals and regions of several products; a partial scan and an absent product leave their checks open."""
+    def figure(df, product, name, item, complete=True):
+        return df.groupBy(item.alias("item")).agg(F.sum("n").alias("value")).select(F.lit(product).alias("product"), F.lit(name).alias("figure"), "item", "value", F.lit(complete).alias("complete"))
+
+    whole, region = F.lit(None).cast("string"), F.col("region")
+    points = t.pts().select("region", F.lit(1).cast("long").alias("n"))
+    parts = [figure(points, "points", "rows", whole), figure(points, "points", "regions", region), figure(t.edg(), "edges", "sum", whole),
+             figure(t.edg().where("pre <> post"), "edges", "regions", region), figure(t.pairs().where("n >= 5"), "strong", "sum", whole),
+             figure(points.sample(0.2, 3), "sample", "rows", whole, complete=False)]
+    figures = parts[0]
+    for p in parts[1:]:
+        figures = figures.unionByName(p)
+    rows = ("points", "rows")
+    return audits.cross_checks(figures, [
+        ("edges_equal_points", "equal", ("edges", "sum"), rows), ("regions_equal_points", "equal", ("edges", "regions"), ("points", "regions")),
+        ("strong_edges_at_most_points", "at_most", ("strong", "sum"), rows), ("sample_equals_points", "equal", ("sample", "rows"), rows),
+        ("absent_equals_points", "equal", ("absent", "sum"), rows)])
+
+
 @query("dual_detector_review", "pts nod r2 r3", f"""
     SELECT *, row_number() OVER (ORDER BY CASE evidence_class WHEN 'pair_dual' THEN 0 WHEN 'pair_only_a' THEN 1 WHEN 'pair_only_b' THEN 2 WHEN 'segment_dual' THEN 3
         WHEN 'segment_only_a' THEN 4 ELSE 5 END, least(n_a, n_b) DESC, greatest(n_a, n_b) DESC, pre, post, region) AS review_rank FROM

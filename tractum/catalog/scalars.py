@@ -195,7 +195,7 @@ def udf_grouped_map(t):
     SELECT region, role, count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM (SELECT region, 'pre' AS role, pre AS id FROM edg
       UNION ALL SELECT region, 'post', post FROM edg) e GROUP BY 1, 2""")
 def udtf_path_edges(t):
-    """Endpoint rows from a Python table function, joined laterally."""
-    ends = U.EndpointRows(F.col("pre").outer(), F.col("post").outer())
-    rows = t.edg().lateralJoin(ends)
-    return rows.groupBy("region", "role").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    """Endpoint rows from a vectorised Python table function over the edge table."""
+    ends = U.EndpointRows(t.edg().select("pre", "post", "region").asTable())
+    per_id = ends.groupBy("region", "role", "id").agg(F.count("*").alias("n"))
+    return per_id.groupBy("region", "role").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"))

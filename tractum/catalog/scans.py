@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tractum.catalog.base import query
 from tractum.functions.columns import id_from_text
 from tractum.session import shared_folder, stage
-from tractum.sources import tables
+from tractum.sources import ranges, tables
 from tractum.sources.feather import read_feather, write_feather
 
 
@@ -166,6 +166,22 @@ def file_manifest(t):
     return tables.file_manifest(t.spark, t.folder, "*.parquet")
 
 
+@query("file_tree_digests")
+def file_tree_digests(t):
+    """Digest trees of the files, hashed by ranges of 64 KiB."""
+    hashed = stage(ranges.range_digests(ranges.file_ranges(t.spark, t.folder, "*.parquet", 1 << 16)))
+    return ranges.tree_digest(hashed)
+
+
+@query("scan_feather_isin", "pts", """
+    SELECT pre, region, count(*) AS n FROM pts WHERE pre IN (3, 7, 9) GROUP BY ALL""")
+def scan_feather_isin(t):
+    """The list of ids reaches the source: sorted files skip most batches."""
+    path = _scratch(t, "feather")
+    write_feather(t.pts().select("pre", "region", "size").repartitionByRange("pre").sortWithinPartitions("pre"), path).agg(F.sum("n_rows")).first()
+    return read_feather(t.spark, path, ["pre", "region"]).where(F.col("pre").isin(3, 7, 9)).groupBy("pre", "region").agg(F.count("*").alias("n"))
+
+
 @query("partial_scan_flag", "pts", """
     SELECT true AS complete, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS weight FROM pts
     UNION ALL SELECT false, NULL, NULL""")

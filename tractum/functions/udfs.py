@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +42,10 @@ def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": [pdf["id"].iloc[0]], "n_peaks": [len(at)], "first_peak": [at[0]], "last_peak": [at[-1]]})
 
 
-@F.udtf(returnType=T.StructType().add("id", T.LongType()).add("partner", T.LongType()).add("role", T.StringType()), useArrow=True)
+@F.arrow_udtf(returnType="region string, role string, id long")
 class EndpointRows:
-    def eval(self, pre: int, post: int):
-        yield pre, post, "pre"
-        yield post, pre, "post"
+    """(region, role, id) for both ends of each row of a table, a batch at a time."""
+
+    def eval(self, edges: pa.RecordBatch):
+        for role in ("pre", "post"):
+            yield pa.table({"region": edges.column("region"), "role": pa.array([role] * edges.num_rows), "id": edges.column(role)})

@@ -58,21 +58,19 @@ def quality_profile(df: DataFrame) -> DataFrame:
         kind = field.dataType.elementType if is_list else field.dataType
         if not isinstance(kind, T.NumericType):
             continue
-        items = F.col(field.name) if is_list else F.array(field.name)
-        items = F.transform(F.coalesce(items, F.array()), lambda x: x.cast("double"))
-        finite = F.filter(items, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        present = F.filter(items, lambda x: x.isNotNull())
-        structs.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                F.sum(F.size(present)).alias("n_values"),
-                F.sum(F.size(items) - F.size(present)).alias("nulls"),
-                F.sum(F.size(present) - F.size(finite)).alias("non_finite"),
-                F.sum(F.size(F.filter(finite, lambda x: x < 0))).alias("negative"),
-                F.min(F.array_min(finite)).alias("min"),
-                F.max(F.array_max(finite)).alias("max"),
-            )
-        )
+        if is_list:
+            items = F.transform(F.coalesce(F.col(field.name), F.array()), lambda x: x.cast("double"))
+            finite = F.filter(items, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+            present = F.filter(items, lambda x: x.isNotNull())
+            measures = (F.sum(F.size(present)), F.sum(F.size(items) - F.size(present)), F.sum(F.size(present) - F.size(finite)),
+                        F.sum(F.size(F.filter(finite, lambda x: x < 0))), F.min(F.array_min(finite)), F.max(F.array_max(finite)))
+        else:  # plain aggregates, without an array for each value
+            value = F.col(field.name).cast("double")
+            fine = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+            measures = (F.count(value), F.count_if(value.isNull()), F.count_if(value.isNotNull() & ~fine), F.count_if(fine & (value < 0)),
+                        F.min(F.when(fine, value)), F.max(F.when(fine, value)))
+        names = ("n_values", "nulls", "non_finite", "negative", "min", "max")
+        structs.append(F.struct(F.lit(field.name).alias("column"), *[m.alias(n) for m, n in zip(measures, names)]))
     return df.agg(F.array(*structs).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractum.functions.columns import delta_class, first_text
@@ -134,3 +134,53 @@ def node_catalog(nodes: DataFrame, claims: DataFrame) -> DataFrame:
 
 def unmatched_claims(claims: DataFrame, universe: DataFrame) -> DataFrame:
     return mark(claims, "root_id", universe, "exact_match").where("NOT exact_match").drop("exact_match")
+
+
+def annotation_coverage(nodes: DataFrame, labels: list[str], universe: DataFrame | None, top: int = 30) -> DataFrame:
+    """(metric, label, value) rows: rows, unique and repeated ids, ids in the
+    universe, the share of rows and of the universe that is covered, named
+    types, and the ``top`` values of each label column with blanks as
+    ``(missing)``.  Without a universe its figures are NULL."""
+    def missing(c: str) -> Column:
+        return F.when(F.col(c).isNull() | (F.trim(c) == ""), "(missing)").otherwise(F.col(c))
+
+    per_id = nodes.groupBy("id").agg(F.count("*").alias("n"))
+    known = None if universe is None else universe.toDF("id").distinct()
+    marked = per_id.withColumn("known", F.lit(None).cast("boolean")) if known is None else mark(per_id, "id", known, "known")
+    size = F.lit(None).cast("long") if known is None else known.agg(F.count("*")).scalar()
+    totals = marked.agg(F.sum("n").alias("rows"), F.count("*").alias("unique"), F.sum(F.col("n") - 1).alias("repeated"),
+                        F.sum(F.when(F.col("known"), F.col("n")).when(F.col("known").isNotNull(), 0)).alias("matched"),
+                        F.sum(F.col("known").cast("long")).alias("known")).withColumn("size", size)
+    named = totals.select(F.explode(F.array(*[F.struct(F.lit(k).alias("label"), v.cast("double").alias("value")) for k, v in {
+        "rows": F.col("rows"), "unique_ids": F.col("unique"), "repeated_rows": F.col("repeated"), "matched_rows": F.col("matched"),
+        "matched_share_of_rows": F.try_divide(F.col("matched").cast("double"), F.col("rows")), "annotated_share_of_universe": F.try_divide(F.col("known").cast("double"), F.col("size"))}.items()])).alias("e"))
+    parts = [named.select(F.lit("coverage").alias("metric"), "e.label", "e.value")]
+    for c in labels:
+        counts = nodes.groupBy(missing(c).alias("label")).agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "label").limit(top)
+        parts.append(counts.select(F.lit(c).alias("metric"), "label", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_checks(figures: DataFrame, checks: list[tuple[str, str, tuple[str, str], tuple[str, str]]]) -> DataFrame:
+    """(name, passed, n_left, n_right, n_unequal) for each check between two
+    figures.  ``figures``: product, figure, item (NULL for a total), value,
+    complete.  A check is (name, 'equal' or 'at_most', (product, figure),
+    (product, figure)); items are compared one by one, and one missing on a side
+    counts 0.  ``passed`` is NULL if a side was not scanned completely or has no
+    figure at all: a partial scan proves nothing."""
+    sides = [F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), F.lit(product).alias("product"), F.lit(figure).alias("figure"))
+             for name, kind, left, right in checks for side, (product, figure) in (("left", left), ("right", right))]
+    asked = figures.sparkSession.range(1).select(F.explode(F.array(*sides)).alias("s")).select("s.*")
+    rows = asked.join(figures, ["product", "figure"], "left")
+    def of(side: str, value: Column) -> Column:
+        return F.when(F.col("side") == side, value)
+    per_item = rows.groupBy("name", "kind", "item").agg(
+        *[F.sum(of(s, F.col("value"))).alias(s) for s in ("left", "right")], *[F.min(of(s, F.coalesce(F.col("complete"), F.lit(False)))).alias(f"{s}_done") for s in ("left", "right")],
+        *[F.count(of(s, F.col("value"))).alias(f"{s}_n") for s in ("left", "right")])
+    zero = F.lit(0)
+    holds = F.when(F.col("kind") == "equal", F.coalesce("left", zero) == F.coalesce("right", zero)).otherwise(F.coalesce("left", zero) <= F.coalesce("right", zero))
+    whole = per_item.groupBy("name").agg(F.sum("left").alias("n_left"), F.sum("right").alias("n_right"), F.count_if(~holds).alias("n_unequal"),
+                                         *[F.min(f"{s}_done").alias(f"{s}_done") for s in ("left", "right")], *[F.sum(f"{s}_n").alias(f"{s}_n") for s in ("left", "right")])
+    sure = F.col("left_done") & F.col("right_done") & (F.col("left_n") > 0) & (F.col("right_n") > 0)
+    return whole.select("name", F.when(sure, F.col("n_unequal") == 0).alias("passed"), F.when(sure, F.col("n_left")).alias("n_left"), F.when(sure, F.col("n_right")).alias("n_right"),
+                        F.when(sure, F.col("n_unequal")).alias("n_unequal"))

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractum.functions.columns import align_region
+from tractum.operators.aggs import chunked_list
 from tractum.operators.joins import explode_endpoints, reconcile
+from tractum.operators.ordered import rank_within
+from tractum.session import stage
 
 KEY3 = ["pre", "post", "region"]
 
@@ -105,3 +108,55 @@ def point_connection_recon(points: DataFrame, connections: DataFrame, ids: DataF
 
 def region_rows(points: DataFrame, keys: Sequence[str] = KEY3) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def key_recon(points: DataFrame, connections: DataFrame, exception_id: int, align: Callable[[str], Column] = align_region) -> DataFrame:
+    """(section, item, value) of the reconciliation by (pre, post, region) of
+    points with an export of connections (pre, post, region, n), whose keys may
+    repeat (views of several nodes) if their counts agree.
+
+    ``points`` sections count rows by the first exclusion that applies: self
+    contacts, then contacts of the named exception; the rest is retained, with
+    aligned regions.  ``keys`` compares retained keys with the export.
+    ``check`` values are 1 or 0: rows add up, repeated export rows agree, and keys
+    and counts are the same."""
+    pre, post, n = F.col("pre"), F.col("post"), F.col("n")
+    is_self, is_exception = pre == post, (pre == exception_id) | (post == exception_id)
+    blank = F.col("region").isNull() | (F.trim("region") == "")
+    kind = F.when(is_self & is_exception, "self_exception").when(is_self, "self").when(is_exception, "exception").otherwise("retained")
+    sums = stage(points.groupBy("pre", "post", align("region").alias("region"), blank.alias("blank"), kind.alias("kind")).agg(F.count("*").alias("n")))
+    retained = sums.where("kind = 'retained'").groupBy(*KEY3).agg(F.sum("n").alias("n"))
+    export = stage(connections.groupBy(*KEY3).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("views")))
+    both = retained.join(export.select(*KEY3, n.alias("want")), KEY3, "full")
+    status = F.when(F.col("want").isNull(), "point_only").when(n.isNull(), "connection_only").when(n != F.col("want"), "different_count").otherwise("equal")
+    keys = stage(both.groupBy(status.alias("item")).agg(F.count("*").alias("value")))
+    figures = sums.agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k) for k in ("self", "self_exception", "exception", "retained")],
+                       F.coalesce(F.sum(F.when(F.col("blank"), n)), F.lit(0)).alias("blank"),
+                       F.coalesce(F.sum(F.when(F.col("blank") & (F.col("kind") == "retained"), n)), F.lit(0)).alias("blank_retained"))
+    figures = figures.withColumns({"connections": export.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar(), "unequal_views": export.agg(F.count_if(n != F.col("most"))).scalar(),
+                                   "wrong_keys": keys.agg(F.coalesce(F.sum(F.when(F.col("item") != "equal", F.col("value"))), F.lit(0))).scalar(),
+                                   "exception_keys": sums.where("kind = 'exception'").select(*KEY3).distinct().agg(F.count("*")).scalar()})
+    counted = ("all", "self", "self_exception", "exception", "retained", "blank", "blank_retained", "connections", "exception_keys")
+    checks = {"points_add_up": F.expr("`all` = self + self_exception + exception + connections"), "views_agree": F.expr("unequal_views = 0"), "keys_and_counts_equal": F.expr("wrong_keys = 0")}
+    rows = [F.struct(F.lit("points").alias("section"), F.lit(c).alias("item"), F.col(c).cast("long").alias("value")) for c in counted] + [
+        F.struct(F.lit("check").alias("section"), F.lit(k).alias("item"), v.cast("long").alias("value")) for k, v in checks.items()]
+    return figures.select(F.explode(F.array(*rows)).alias("r")).select("r.*").unionByName(keys.select(F.lit("keys").alias("section"), "item", "value"))
+
+
+def pair_candidates(points: DataFrame, strong: DataFrame, original: DataFrame, exception_id: int, source: Column, chunk: int = 4096) -> DataFrame:
+    """Pairs by region of a second detector with the points they come from, in
+    order of review.
+
+    ``points``: pre, post, region and what ``source`` (the name of a point's row)
+    reads; self contacts and those of the exception are left out, regions are
+    aligned.  ``strong`` (pre, post): pairs of the thresholded export;
+    ``original`` (pre, post): pairs of the first detector.  Gives the key, ``n``,
+    ``review_rank``, ``in_export``, ``in_original`` and the names of the points
+    in chunks (``chunk``, ``n_items``, ``points``), so that no list is cut."""
+    kept = points.where((F.col("pre") != F.col("post")) & (F.col("pre") != exception_id) & (F.col("post") != exception_id)).select(
+        "pre", "post", align_region("region").alias("region"), source.alias("source"))
+    kept = stage(kept)
+    pairs = rank_within(kept.groupBy(*KEY3).agg(F.count("*").alias("n")), [], [F.desc("n"), F.asc("pre"), F.asc("post"), F.asc("region")], "review_rank")
+    for df, name in ((strong, "in_export"), (original, "in_original")):
+        pairs = pairs.join(df.select("pre", "post").distinct().withColumn(name, F.lit(True)), ["pre", "post"], "left").fillna(False, [name])
+    return pairs.join(chunked_list(kept, KEY3, ["source"], F.col("source"), "points", chunk), KEY3)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,18 +81,25 @@ def input_fingerprint(spark: SparkSession, inputs: Sequence[str]) -> str:
     return "-".join(f"{(v or 0) & 0xFFFFFFFFFFFFFFFF:x}" for v in total)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("id long").parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def named_stage(df: DataFrame, name: str, inputs: Sequence[str]) -> DataFrame:
     """Parquet stage in the shared folder, reused while the query and the files
-    it is made from stay the same; the committer's marker tells a complete
-    stage from an interrupted one."""
+    it is made from stay the same.  Its mark is one file, renamed into place
+    once the stage is complete; a stage without one is written again."""
     spark = df.sparkSession
-    # The plan's text without the numbers that differ from run to run.
-    plan = re.sub(r"#\d+L?|\[plan_id=\d+\]", "", df._jdf.queryExecution().optimizedPlan().toString())
-    query = hashlib.sha256(plan.encode()).hexdigest()[:16]
+    query = hashlib.sha256(f"{df.semanticHash()} {df.schema.json()}".encode()).hexdigest()[:16]
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{query}-{input_fingerprint(spark, inputs)}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    if not _there(spark, f"{path}.done"):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}.done")
     return spark.read.schema(df.schema).parquet(path)
 
 
