@@ -127,7 +127,7 @@ def test_minima_estimate_similarity():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 1100, np.uint64)
     both = np.concatenate((h[:1000], h[100:]))
-    sig = forest._minima(both, np.array([0, 1000, 2000]), forest.Forest(trees=50, levels=20))
+    sig = forest.minima(both, np.array([0, 1000, 2000]), forest.Forest(trees=50, levels=20))
     assert abs((sig[0] == sig[1]).mean() - 900 / 1100) < 0.05
 
 

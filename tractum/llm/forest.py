@@ -86,7 +86,7 @@ def _rows(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8, len(column) * size).reshape(-1, size) if len(column) else np.zeros((0, size), np.uint8)
 
 
-def _minima(h: np.ndarray, first: np.ndarray, scheme: Forest) -> np.ndarray:
+def minima(h: np.ndarray, first: np.ndarray, scheme: Forest) -> np.ndarray:
     """16 bits of each MinHash value of each set, one row per set; no set is empty."""
     odd = np.random.default_rng(scheme.seed).integers(0, 1 << 63, scheme.trees * scheme.levels, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.empty((len(first) - 1, len(odd)), np.uint64)
@@ -115,7 +115,7 @@ def signatures(held: DataFrame, scheme: Forest) -> DataFrame:
                 keys[some] = [blake2b(h[first[i]:first[i + 1]].tobytes(), digest_size=16).digest() for i in some]
                 sig = np.full(len(size), None, object)
                 if len(some):
-                    least = _minima(h, np.append(first[some], first[-1]), scheme).astype(">u2")
+                    least = minima(h, np.append(first[some], first[-1]), scheme).astype(">u2")
                     sig[some] = [x.tobytes() for x in least]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), rows.column(2)], names=names)
 

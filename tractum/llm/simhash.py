@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import combinations
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractum.llm.components import components, local_roots
+from tractum.llm.forest import Forest, minima
 from tractum.llm.textops import Words, segment_sum, text_slices, xxh64
 from tractum.session import stage
 
@@ -60,6 +62,7 @@ class Scheme:
         return out & np.uint64((1 << self.segment_bits) - 1)
 
 
+SKETCH = Forest(trees=16, levels=8)  # 128 MinHash values
 EXACT = Scheme(width=3)  # complete at 3 bits of 64
 #: Five words and a Jaccard similarity of 0.8: about 39 of 256 bits differ, with a deviation of 6.
 SIMILAR = Scheme(words=4, segment_bits=12, radius=56, width=5)
@@ -302,7 +305,8 @@ def _common(held: DataFrame, text: str, scheme: Scheme) -> tuple[np.ndarray, np.
 
 
 def _prefixes(held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
-    """``_row``, ``key`` (of the set of shingles), ``size`` and ``prefix`` of each text.
+    """``_row``, ``key`` (of the set of shingles), ``size``, ``prefix`` and ``s0``,
+    ``s1`` (one bit of each of 128 MinHash values of the set) of each text.
 
     In one order of all shingles, rare ones first, two sets of the similarity
     share one of their first size - ceil(similarity * size) + 1 shingles."""
@@ -318,13 +322,18 @@ def _prefixes(held: DataFrame, text: str, scheme: Scheme, similarity: float) ->
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     n = np.where(common[at] == h, often[at], 0)
                 doc = np.repeat(np.arange(len(size)), size)
+                some, sketch = np.flatnonzero(size), np.zeros((len(size), 2), np.int64)
+                if len(some):
+                    bits = minima(h.view(np.uint64), np.append(first[some], first[-1]), SKETCH) & np.uint16(1)
+                    sketch[some] = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
                 h = h[np.lexsort((h, n, doc))]
                 length = np.where(size > 0, size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
                 h = h[np.arange(len(h)) - first[:-1][doc] < length[doc]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(h))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(size), lists], names=["_row", "key", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.binary()), pa.array(size), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                                                  names=["_row", "key", "size", "prefix", "s0", "s1"])
 
-    return held.select("_row", text).mapInArrow(run, "_row long, key binary, size long, prefix array<bigint>")
+    return held.select("_row", text).mapInArrow(run, "_row long, key binary, size long, prefix array<bigint>, s0 long, s1 long")
 
 
 def _repeated(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +421,19 @@ def _crowd_links(crowd: DataFrame, held: DataFrame, text: str, scheme: Scheme, s
     return dealt.repartition("cell").mapInArrow(solve, "a long, b long")
 
 
+def _close_sketches(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches differ in no more bits than the similarity
+    allows, with six deviations (2e-9) to spare; most texts that only share a
+    passage go, before any set is sent."""
+    bits, p = SKETCH.trees * SKETCH.levels, (1 - similarity) / 2
+    limit = int(bits * p + 6 * sqrt(bits * p * (1 - p)))
+    ends = _sent_if_small(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
+    sketches = _sent_if_small(prefixes.select("_row", "s0", "s1").join(ends, "_row"))
+    a, b = (sketches.select(F.col("_row").alias(n), F.col("s0").alias(f"{n}0"), F.col("s1").alias(f"{n}1")) for n in "ab")
+    differ = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in (0, 1))
+    return pairs.join(a, "a").join(b, "b").where(differ <= limit).select("a", "b")
+
+
 def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
     """Similar pairs between the components of ``edges`` (similar pairs already
     known), so that together they connect what all similar pairs connect.
@@ -427,6 +449,7 @@ def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held:
     cells = stage(rooted.join(mixed.select("h", "n", F.col("low").alias("_low")), "h").select("h", "node", "root", "size", "n"))
     few = cells.where(F.col("n") <= SMALL).select("h", "node", "root", "size").repartition("h")
     pairs = stage(few.mapInArrow(_cell_pairs(similarity), "a long, b long").distinct())
+    pairs = stage(_close_sketches(pairs, prefixes, similarity))
     found = _similar(pairs, held, text, scheme, similarity)
     many = cells.where(F.col("n") > SMALL)
     hubs = many.groupBy("h").agg(F.min("node").alias("b"))
