@@ -138,6 +138,33 @@ def stream_tumbling(t):
     return merged(_stream(t), S.partial_counts(["event_type"], "1 hour"), ["start_ms", "event_type"], WINDOWS)
 
 
+def _closed(width: int, slide: int, amount: str) -> str:
+    """Windows that end at or before the last watermark, six hours behind the newest event."""
+    starts = f"unnest([t_ms // {slide} * {slide} - k * {slide} FOR k IN range(0, {width // slide})])"
+    return f"""SELECT start_ms, event_type, CAST(sum(v) AS BIGINT) AS n FROM (SELECT scenario AS event_type, {amount} AS v, {starts} AS start_ms FROM smp) s
+      WHERE start_ms + {width} <= (SELECT max(t_ms) FROM smp) - {6 * HOUR} GROUP BY 1, 2"""
+
+
+@query("stream_windows_closed", "smp", _closed(HOUR, HOUR, "1"))
+def stream_windows_closed(t):
+    """Windows told once, when the watermark has passed them; the state holds open ones only."""
+    return appended(S.windowed_counts(_stream(t), ["event_type"], "6 hours", "1 hour"))
+
+
+@query("stream_sliding_closed", "smp", _closed(6 * HOUR, HOUR, "spike"))
+def stream_sliding_closed(t):
+    spike = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    return appended(S.windowed_counts(_stream(t), ["event_type"], "6 hours", "6 hours", "1 hour", spike))
+
+
+@query("stream_dedup_bounded", "", "SELECT event_id, user_id, event_type FROM events")
+def stream_dedup_bounded(t):
+    """Repeats dropped in the stream, with ids held for the watermark's delay."""
+    stream = _stream(t)
+    twice = S.deduplicate(stream.unionByName(_stream(t)), "event_id", "60 days")
+    return appended(twice.select("event_id", "user_id", "event_type"))
+
+
 @query("observe_metrics", "", """
     SELECT 'batch' AS source, count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'error') AS n_errors FROM events
     UNION ALL SELECT 'stream', count(*), count(*) FILTER (WHERE event_type = 'error') FROM events""")
