@@ -421,17 +421,61 @@ def _crowd_links(crowd: DataFrame, held: DataFrame, text: str, scheme: Scheme, s
     return dealt.repartition("cell").mapInArrow(solve, "a long, b long")
 
 
-def _close_sketches(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches differ in no more bits than the similarity
-    allows, with six deviations (2e-9) to spare; most texts that only share a
-    passage go, before any set is sent."""
+def _farthest(similarity: float) -> int:
+    """Differing bits of the sketches of two sets at the similarity, with six deviations (2e-9) to spare."""
     bits, p = SKETCH.trees * SKETCH.levels, (1 - similarity) / 2
-    limit = int(bits * p + 6 * sqrt(bits * p * (1 - p)))
+    return int(bits * p + 6 * sqrt(bits * p * (1 - p)))
+
+
+def _close_sketches(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity; most texts that only
+    share a passage go, before any set is sent."""
     ends = _sent_if_small(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
     sketches = _sent_if_small(prefixes.select("_row", "s0", "s1").join(ends, "_row"))
     a, b = (sketches.select(F.col("_row").alias(n), F.col("s0").alias(f"{n}0"), F.col("s1").alias(f"{n}1")) for n in "ab")
     differ = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in (0, 1))
-    return pairs.join(a, "a").join(b, "b").where(differ <= limit).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(differ <= _farthest(similarity)).select("a", "b")
+
+
+def _close_crowds(rows: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Edges that connect the texts of each crowded shingle whose sizes and
+    sketches allow the similarity and which are in different components; in
+    each task one per text at most.  ``rows``: h, node, root, size, n.  A shingle of
+    over ``CELL`` texts is dealt out as pairs of chunks."""
+    nodes = _sent_if_small(rows.select(F.col("node").alias("_row")).distinct())
+    sketches = _sent_if_small(prefixes.select("_row", "s0", "s1").join(nodes, "_row").withColumnRenamed("_row", "node"))
+    chunks = F.ceil(F.col("n") / CELL)
+    own = F.pmod(F.xxhash64("node"), chunks)
+    dealt = rows.select("h", "node", "root", "size", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "root", "size").join(sketches, "node")
+    farthest = _farthest(similarity)
+
+    def solve(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [f for f in frames if f.num_rows]
+        if not got:
+            return
+        cell, node, root, size, s0, s1 = (np.concatenate([f.column(k).to_numpy() for f in got]) for k in range(6))
+        order = np.argsort(cell, kind="stable")
+        cell, node, root, size, s0, s1 = (v[order] for v in (cell, node, root, size, s0, s1))
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        for begin, end in zip(starts, np.append(starts[1:], len(cell))):
+            left, right, pending = [], [], 0
+            for x in range(begin, end - 1):
+                y = np.arange(x + 1, end)
+                y = y[(root[y] != root[x]) & (np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]))]
+                y = y[np.bitwise_count(s0[y] ^ s0[x]) + np.bitwise_count(s1[y] ^ s1[x]) <= farthest]
+                left.append(np.full(len(y), node[x]))
+                right.append(node[y])
+                pending += len(y)
+                if pending > BLOCK:
+                    left, right = ([v] for v in local_roots(np.concatenate(left), np.concatenate(right)))
+                    pending = len(left[0])
+            if left:
+                a, b = local_roots(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    ordered = dealt.select("cell", "node", "root", "size", "s0", "s1").repartition("cell")
+    return ordered.mapInArrow(solve, "a long, b long")
 
 
 def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held: DataFrame, text: str, scheme: Scheme, similarity: float) -> DataFrame:
@@ -451,9 +495,7 @@ def _all_similar(nodes: DataFrame, edges: DataFrame, prefixes: DataFrame, held:
     pairs = stage(few.mapInArrow(_cell_pairs(similarity), "a long, b long").distinct())
     pairs = stage(_close_sketches(pairs, prefixes, similarity))
     found = _similar(pairs, held, text, scheme, similarity)
-    many = cells.where(F.col("n") > SMALL)
-    hubs = many.groupBy("h").agg(F.min("node").alias("b"))
-    clusters = components(many.join(hubs, "h").select(F.col("node").alias("a"), "b"))
+    clusters = components(_close_crowds(cells.where(F.col("n") > SMALL), prefixes, similarity))
     members = clusters.select("node", F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster"))).distinct()
     crowd = stage(members.join(named, "node").select("node", "root", "size", "cluster"))
     return found.unionByName(_crowd_links(crowd, held, text, scheme, similarity))
