@@ -139,9 +139,11 @@ def annotation_coverage(t):
 def audit_cross_checks(t):
     """Totals and regions of several products; a partial scan and an absent product leave their checks open."""
     def figure(df, product, name, item, complete=True):
-        return df.groupBy(item.alias("item")).agg(F.sum("n").alias("value")).select(F.lit(product).alias("product"), F.lit(name).alias("figure"), "item", "value", F.lit(complete).alias("complete"))
+        # A total stands also where no row is left: it is zero, not absent.
+        value = df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")).withColumn("item", F.lit(None).cast("string")) if item is None else df.groupBy(item.alias("item")).agg(F.sum("n").alias("value"))
+        return value.select(F.lit(product).alias("product"), F.lit(name).alias("figure"), "item", "value", F.lit(complete).alias("complete"))
 
-    whole, region = F.lit(None).cast("string"), F.col("region")
+    whole, region = None, F.col("region")
     points = t.pts().select("region", F.lit(1).cast("long").alias("n"))
     parts = [figure(points, "points", "rows", whole), figure(points, "points", "regions", region), figure(t.edg(), "edges", "sum", whole),
              figure(t.edg().where("pre <> post"), "edges", "regions", region), figure(t.pairs().where("n >= 5"), "strong", "sum", whole),
