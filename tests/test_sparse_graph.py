@@ -40,3 +40,8 @@ def test_empty_total_is_zero(spark, duck, sparse):
     rows = {r["name"]: r for r in same(spark, duck, sparse, "audit_cross_checks")}
     strong = rows["strong_edges_at_most_points"]
     assert strong["passed"] is True and strong["n_left"] == 0 < strong["n_right"]
+
+
+def test_empty_mask_keeps_its_row(spark, duck, sparse):
+    rows = {r["mask"]: r for r in same(spark, duck, sparse, "subgraph_profile")}
+    assert len(rows) == 4 and [rows["inside_strong"][c] for c in ("n_rows", "weight", "n_pre", "n_post")] == [0, 0, 0, 0]
