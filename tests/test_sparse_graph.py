@@ -45,3 +45,8 @@ def test_empty_total_is_zero(spark, duck, sparse):
 def test_empty_mask_keeps_its_row(spark, duck, sparse):
     rows = {r["mask"]: r for r in same(spark, duck, sparse, "subgraph_profile")}
     assert len(rows) == 4 and [rows["inside_strong"][c] for c in ("n_rows", "weight", "n_pre", "n_post")] == [0, 0, 0, 0]
+
+
+def test_isolates_are_judged_on_all_pairs(spark, duck, sparse):
+    n_pairs = duck.execute("SELECT count(DISTINCT (l_suppkey, l_partkey % 10)) FROM lineitem").fetchone()[0]
+    assert len(same(spark, duck, sparse, "touch_isolate")) < n_pairs
