@@ -50,3 +50,7 @@ def test_empty_mask_keeps_its_row(spark, duck, sparse):
 def test_isolates_are_judged_on_all_pairs(spark, duck, sparse):
     n_pairs = duck.execute("SELECT count(DISTINCT (l_suppkey, l_partkey % 10)) FROM lineitem").fetchone()[0]
     assert len(same(spark, duck, sparse, "touch_isolate")) < n_pairs
+
+
+def test_degrees_of_sources_count_all_pairs(spark, duck, sparse):
+    assert all(r["n_out"] > 0 for r in same(spark, duck, sparse, "cross_source_summary"))
