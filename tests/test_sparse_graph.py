@@ -54,3 +54,19 @@ def test_isolates_are_judged_on_all_pairs(spark, duck, sparse):
 
 def test_degrees_of_sources_count_all_pairs(spark, duck, sparse):
     assert all(r["n_out"] > 0 for r in same(spark, duck, sparse, "cross_source_summary"))
+
+
+def test_cohort_at_each_limit(spark, duck, sparse):
+    """All nodes have outputs at the limit 1 and none above it, so nobody has a lonely peer."""
+    assert same(spark, duck, sparse, "peer_cohort") == []
+
+
+def test_cohort_takes_single_contacts(spark, sparse, tmp_path):
+    """Node 1 (right) has one contact and node 9, made its peer, has none: the limit 1 finds the pair."""
+    for name in os.listdir(sparse):
+        if name not in ("lineitem.parquet", "supplier.parquet"):
+            os.symlink(f"{SMALL}/{name}", tmp_path / name)
+    duckdb.sql(f"COPY (SELECT * FROM '{sparse}/lineitem.parquet' WHERE l_suppkey <> 9) TO '{tmp_path}/lineitem.parquet'")
+    duckdb.sql(f"COPY (SELECT * REPLACE (CAST(3 AS BIGINT)::INTEGER AS s_nationkey) FROM '{SMALL}/supplier.parquet') TO '{tmp_path}/supplier.parquet'")
+    rows = QUERIES["peer_cohort"](spark, str(tmp_path)).collect()
+    assert {r.min_n for r in rows} == {1} and {r.id for r in rows} == {1, 3, 5, 7}
