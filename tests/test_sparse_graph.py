@@ -70,3 +70,11 @@ def test_cohort_takes_single_contacts(spark, sparse, tmp_path):
     duckdb.sql(f"COPY (SELECT * REPLACE (CAST(3 AS BIGINT)::INTEGER AS s_nationkey) FROM '{SMALL}/supplier.parquet') TO '{tmp_path}/supplier.parquet'")
     rows = QUERIES["peer_cohort"](spark, str(tmp_path)).collect()
     assert {r.min_n for r in rows} == {1} and {r.id for r in rows} == {1, 3, 5, 7}
+
+
+def test_matched_degrees_count_all_pairs(spark, duck, sparse):
+    same(spark, duck, sparse, "matched_control")
+    from tractum.catalog.joins import _matching_nodes
+    from tractum.catalog.views import Tables
+
+    assert all(r.out_degree > 0 for r in _matching_nodes(Tables(spark, sparse)).collect())
