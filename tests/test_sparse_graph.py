@@ -78,3 +78,7 @@ def test_matched_degrees_count_all_pairs(spark, duck, sparse):
     from tractum.catalog.views import Tables
 
     assert all(r.out_degree > 0 for r in _matching_nodes(Tables(spark, sparse)).collect())
+
+
+def test_matched_without_reuse_on_single_contacts(spark, duck, sparse):
+    same(spark, duck, sparse, "matched_control_no_reuse")
