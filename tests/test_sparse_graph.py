@@ -82,3 +82,12 @@ def test_matched_degrees_count_all_pairs(spark, duck, sparse):
 
 def test_matched_without_reuse_on_single_contacts(spark, duck, sparse):
     same(spark, duck, sparse, "matched_control_no_reuse")
+
+
+def test_peer_support_takes_single_contacts(spark, duck, sparse):
+    from tractum.catalog.aggs import _typed_edges
+    from tractum.catalog.views import Tables
+
+    assert not _typed_edges(Tables(spark, sparse)).isEmpty()
+    same(spark, duck, sparse, "peer_support")
+    assert " n >= " not in ORACLES["peer_support"]
