@@ -91,3 +91,7 @@ def test_peer_support_takes_single_contacts(spark, duck, sparse):
     assert not _typed_edges(Tables(spark, sparse)).isEmpty()
     same(spark, duck, sparse, "peer_support")
     assert " n >= " not in ORACLES["peer_support"]
+
+
+def test_coverage_takes_single_contacts(spark, duck, sparse):
+    assert any(r["in_a"] for r in same(spark, duck, sparse, "coverage_2x2"))
