@@ -95,3 +95,7 @@ def test_peer_support_takes_single_contacts(spark, duck, sparse):
 
 def test_coverage_takes_single_contacts(spark, duck, sparse):
     assert any(r["in_a"] for r in same(spark, duck, sparse, "coverage_2x2"))
+
+
+def test_paths_take_single_contacts(spark, duck, sparse):
+    assert same(spark, duck, sparse, "paths_3hop")
