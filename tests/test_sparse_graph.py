@@ -99,3 +99,30 @@ def test_coverage_takes_single_contacts(spark, duck, sparse):
 
 def test_paths_take_single_contacts(spark, duck, sparse):
     assert same(spark, duck, sparse, "paths_3hop")
+
+
+def test_strongest_paths(spark, duck, sparse):
+    assert same(spark, duck, sparse, "topk_paths")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_strongest_paths_by_listing(spark, seed):
+    """Few counts and many ties; targets as mids, sources as targets, loops."""
+    import random
+
+    from tractum.operators import graph as G
+
+    rng = random.Random(seed)
+    n = {(rng.randrange(14), rng.randrange(14)): rng.randrange(1, 4) for _ in range(110)}
+    sources, targets = rng.sample(range(14), 6), rng.sample(range(14), 9)
+    want = {}
+    for (s, a), x in n.items():
+        for (a2, b), y in n.items():
+            for (b2, t), z in n.items():
+                if a == a2 and b == b2 and s in sources and t in targets and len({s, a, b, t}) == 4:
+                    want.setdefault((s, t), []).append((-min(x, y, z), a, b))
+    want = {(s, t, r + 1): p[1:] for (s, t), ps in want.items() for r, p in enumerate(sorted(ps)[:3])}
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    edges = spark.createDataFrame([(*e, c) for e, c in n.items()], "pre long, post long, n long")
+    got = {(r.source, r.target, r["rank"]): (r.mid, r.mid2) for r in G.strongest_paths(edges, ids(sources), ids(targets), 3).collect()}
+    assert got == want
