@@ -126,3 +126,19 @@ def test_strongest_paths_by_listing(spark, seed):
     edges = spark.createDataFrame([(*e, c) for e, c in n.items()], "pre long, post long, n long")
     got = {(r.source, r.target, r["rank"]): (r.mid, r.mid2) for r in G.strongest_paths(edges, ids(sources), ids(targets), 3).collect()}
     assert got == want
+
+
+def test_mediators_take_single_contacts(spark, duck, sparse):
+    assert same(spark, duck, sparse, "top_mediator")
+
+
+def test_mediators_counted_from_degrees(spark):
+    """A path that returns to a source which is a target itself is no path."""
+    from tractum.operators import graph as G
+    from tractum.operators import reach as R
+
+    edges = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (1, 3, 1), (3, 4, 1), (3, 3, 1), (2, 4, 1), (1, 1, 1), (5, 2, 1)], "pre long, post long, n long")
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    counts = R.mid_paths(edges, ids(1, 5), ids(1, 4))
+    assert {(r.source, r.mid): r.n_paths for r in counts.collect()} == {(1, 2): 1, (1, 3): 1, (5, 2): 2}
+    assert {r.source: (r.mid, r.n_paths) for r in G.most_paths(counts).collect()} == {1: (2, 1), 5: (2, 2)}
