@@ -142,3 +142,8 @@ def test_mediators_counted_from_degrees(spark):
     counts = R.mid_paths(edges, ids(1, 5), ids(1, 4))
     assert {(r.source, r.mid): r.n_paths for r in counts.collect()} == {(1, 2): 1, (1, 3): 1, (5, 2): 2}
     assert {r.source: (r.mid, r.n_paths) for r in G.most_paths(counts).collect()} == {1: (2, 1), 5: (2, 2)}
+
+
+def test_isolates_at_each_limit(spark, duck, sparse):
+    rows = same(spark, duck, sparse, "isolates")
+    assert {r["min_n"] for r in rows} == {2, 5, 10, 15} and len(rows) == 40
