@@ -147,3 +147,7 @@ def test_mediators_counted_from_degrees(spark):
 def test_isolates_at_each_limit(spark, duck, sparse):
     rows = same(spark, duck, sparse, "isolates")
     assert {r["min_n"] for r in rows} == {2, 5, 10, 15} and len(rows) == 40
+
+
+def test_hypotheses_take_single_contacts(spark, duck, sparse):
+    assert all(r["hypothesis_rows"] > 0 for r in same(spark, duck, sparse, "review_queue"))

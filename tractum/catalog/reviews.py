@@ -180,7 +180,7 @@ EVIDENCE = f"""(SELECT pre AS id, region, n, CASE WHEN region = 'None' AND n >=
     WITH e AS (SELECT * FROM {EVIDENCE} x), c AS (SELECT id, count(*) FILTER (WHERE evidence = 'raw') AS raw_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'raw'), 0) AS BIGINT) AS raw_points,
         count(*) FILTER (WHERE evidence = 'segment') AS segment_rows, CAST(coalesce(sum(n) FILTER (WHERE evidence = 'segment'), 0) AS BIGINT) AS segment_points,
         count(*) FILTER (WHERE evidence = 'segment' AND n > 1) AS repeated_segment_rows FROM e GROUP BY 1),
-      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs WHERE n >= 10 GROUP BY 1),
+      h AS (SELECT pre AS id, count(*) AS hypothesis_rows, max(n) AS best_support FROM pairs GROUP BY 1),
       w AS (SELECT id, region, CAST(sum(n) AS BIGINT) AS w FROM e GROUP BY 1, 2),
       d AS (SELECT id, arg_min(region, (-w, region)) AS dominant_region, string_agg(concat(region, ':', w), ';' ORDER BY w DESC, region) AS regions FROM w GROUP BY 1),
       q AS (SELECT nod.id, coalesce(raw_rows, 0) AS raw_rows, coalesce(raw_points, 0) AS raw_points, coalesce(segment_rows, 0) AS segment_rows, coalesce(segment_points, 0) AS segment_points,
@@ -194,7 +194,7 @@ def review_queue(t):
     raw = F.expr("region = 'None' AND n >= 5")
     rows = rows.where(raw | (~F.col("_typed") & (F.col("n") >= 4))).select(
         F.col("pre").alias("id"), "region", "n", F.when(raw, "raw").otherwise("segment").alias("evidence"))
-    hypotheses = t.pairs().where(F.col("n") >= F.lit(10)).select(F.col("pre").alias("id"), F.col("n").alias("support"))
+    hypotheses = t.pairs().select(F.col("pre").alias("id"), F.col("n").alias("support"))
     return reviews.review_queue(t.nod().select("id"), rows, hypotheses)
 
 
