@@ -151,3 +151,9 @@ def test_isolates_at_each_limit(spark, duck, sparse):
 
 def test_hypotheses_take_single_contacts(spark, duck, sparse):
     assert all(r["hypothesis_rows"] > 0 for r in same(spark, duck, sparse, "review_queue"))
+
+
+def test_repeated_pairs_are_strong(spark, duck, sparse):
+    assert all(r["strong_pairs"] == 0 for r in same(spark, duck, sparse, "integrated_queue"))
+    rows = [r.asDict() for r in QUERIES["integrated_queue"](spark, "/root/testdata/sf0.1").where("strong_pairs > 0").collect()]
+    assert rows

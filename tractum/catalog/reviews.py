@@ -200,7 +200,7 @@ def review_queue(t):
 
 @query("integrated_queue", "pairs edg nod", f"""
     WITH e AS (SELECT pre AS id, post AS partner, n FROM pairs UNION ALL SELECT post, pre, n FROM pairs WHERE pre <> post),
-      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= 10) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
+      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n > 1) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
         CAST(coalesce(sum(n) FILTER (WHERE id = partner), 0) AS BIGINT) AS self_points FROM e GROUP BY 1),
       g AS (SELECT pre AS id, CAST(sum(n) AS BIGINT) AS segment_points FROM edg WHERE post NOT IN {TYPED} GROUP BY 1),
       q AS (SELECT nod.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(points, 0) AS points, coalesce(self_points, 0) AS self_points, coalesce(segment_points, 0) AS segment_points
@@ -210,7 +210,7 @@ def review_queue(t):
     SELECT *, row_number() OVER (ORDER BY band, strong_pairs DESC, points DESC, id) AS review_rank FROM b""")
 def integrated_queue(t):
     segments = J.mark(t.edg(), "post", _typed(t), "_typed").where("NOT _typed").select(F.col("pre").alias("id"), "n")
-    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, F.lit(10), exception_id=7)
+    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, F.lit(2), exception_id=7)
 
 
 @query("version_comparison", "v2 v3 r3 nod", f"""
