@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tractum.functions import columns
 from tractum.operators import joins as J
+from tractum.operators import skeleton as S
+from tractum.operators.nearest import nearest_within
 
 
 def nodes(df):
@@ -32,3 +35,28 @@ def test_an_id_asked_for_often_and_held_by_many(spark):
     out = J.resolution_candidates(requests, walk, ["a"])
     assert joined_rows(out) == 2000
     assert {tuple(r) for r in out.collect()} == {(i, "a", 1, i % 2, False) for i in range(2000)}
+
+
+def test_sites_meet_their_nodes_within_a_row(spark):
+    """No row per site and node is made or sorted, and a site is shuffled once."""
+    sites = spark.range(40).selectExpr("id % 3 AS neuron", "id AS okey", "1 AS ln", "id * 1.5D AS x", "0D AS y", "0D AS z")
+    tree = spark.range(60).selectExpr("id % 2 AS neuron", "id AS node_id", "id div 2 AS parent_id", "id * 2D AS x", "0D AS y", "0D AS z")
+    for found in (S.nearest_node, S.nearest_segment):
+        names = [name for name, _ in nodes(found(sites, tree, ["okey", "ln"]))]
+        assert not {"GenerateExec", "SortAggregateExec"} & set(names) and names.count("ShuffleExchangeExec") <= 2
+
+
+def test_batches_compare_like_columns(spark):
+    """NULL and NaN coordinates, ties, keys without candidates, NULL keys and a key with many candidates."""
+    odd = "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN double('NaN') ELSE {} END"
+    key = "CASE WHEN id % 5 < 4 THEN id % 5 END AS k"
+    xyz = [f"{odd.format('id * 37 % 19D')} AS ax", "id * 13 % 5D AS ay", "0D AS az"]
+    q = spark.range(200).selectExpr(key, "id AS q_id", *xyz)
+    c = spark.range(120).selectExpr(key, "id AS c_id", *xyz, "0D AS rad").where("k IS NULL OR k <> 2")
+    more = spark.range(150).selectExpr("1L AS k", "id + 500 AS c_id", "id * 1D AS ax", "id % 3D AS ay", "0D AS az", "0D AS rad")
+    for candidates in (c, c.where("k IS NULL OR k <> 1").union(more)):
+        def distance(a, b):
+            return columns.distance([a[x] for x in S.ANCHORS], [b[x] for x in S.ANCHORS])
+        plain, batched = [nearest_within(q, candidates, ["k"], ["q_id"], "c_id", distance, [], numeric=n).selectExpr("k", "q_id", "near_id", "string(near_dist) AS d").collect()
+                          for n in (None, (S._node_distance, S.ANCHORS, S.ANCHORS))]
+        assert sorted(map(str, plain)) == sorted(map(str, batched)) and len(plain) == 200

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,39 @@ from tractum.functions.columns import distance, joint_rms, segment_distance
 from tractum.operators.nearest import nearest_within
 
 XYZ = ("x", "y", "z")
+ANCHORS = [f"a{a}" for a in XYZ]
+
+
+# The distances once more over NumPy columns, term by term in the same order, so that they are the same to the last bit.
+def _squares(a, b):
+    x, y, z = (p - q for p, q in zip(a, b))
+    return x * x + y * y + z * z
+
+
+def _node_distance(q, c):
+    return np.sqrt(_squares([q[a] for a in ANCHORS], [c[a] for a in ANCHORS]))
+
+
+def _segment_distance(q, c):
+    site, child, parent = [q[a] for a in ANCHORS], [c["c" + a] for a in XYZ], [c["p" + a] for a in XYZ]
+    step = [b - a for a, b in zip(child, parent)]
+    dot, length2 = None, None
+    for p, a, s in zip(site, child, step):
+        dot = (p - a) * s if dot is None else dot + (p - a) * s
+        length2 = s * s if length2 is None else length2 + s * s
+    with np.errstate(invalid="ignore", divide="ignore"):
+        t = np.where(length2 == 0, 0.0, dot / length2)
+    t = np.minimum(np.maximum(t, 0.0), 1.0)
+    return np.sqrt(_squares(site, [a + t * s for a, s in zip(child, step)]))
+
+
+def _contact_distance(q, c):
+    total = None
+    for e in ("pre", "post"):
+        for a in XYZ:
+            d = q[f"{e}_{a}"] - c[f"{e}_{a}"]
+            total = d * d if total is None else total + d * d
+    return np.sqrt(total / 2)
 
 
 def with_parent(tree: DataFrame) -> DataFrame:
@@ -57,7 +91,7 @@ def nearest_node(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -> D
     def dist(a, b):
         return distance([a[f"a{x}"] for x in XYZ], [b[f"a{x}"] for x in XYZ])
 
-    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, [])
+    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, [], numeric=(_node_distance, ANCHORS, ANCHORS))
 
 
 def nearest_segment(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -> DataFrame:
@@ -74,7 +108,7 @@ def nearest_segment(sites: DataFrame, tree: DataFrame, site_id: Sequence[str]) -
     def dist(a, b):
         return segment_distance([a[f"a{x}"] for x in XYZ], [b[f"c{x}"] for x in XYZ], [b[f"p{x}"] for x in XYZ])
 
-    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, ends)
+    return nearest_within(q, c, ["neuron"], site_id, "node_id", dist, ends, numeric=(_segment_distance, ANCHORS, ends))
 
 
 def nearest_contact(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str], b_id: str) -> DataFrame:
@@ -92,4 +126,4 @@ def nearest_contact(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Seque
     def dist(q, c):
         return joint_rms(*[[s[x] for x in site] for s in (q, c) for site in (pre, post)])
 
-    return nearest_within(queries, candidates, keys, a_id, b_id, dist, [*pre, *post])
+    return nearest_within(queries, candidates, keys, a_id, b_id, dist, [*pre, *post], numeric=(_contact_distance, [*pre, *post], [*pre, *post]))
