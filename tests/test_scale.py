@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tractum.functions import columns
 from tractum.operators import joins as J
+from tractum.operators import reach as R
 from tractum.operators import skeleton as S
 from tractum.operators.nearest import nearest_within
 
@@ -60,3 +61,15 @@ def test_batches_compare_like_columns(spark):
         plain, batched = [nearest_within(q, candidates, ["k"], ["q_id"], "c_id", distance, [], numeric=n).selectExpr("k", "q_id", "near_id", "string(near_dist) AS d").collect()
                           for n in (None, (S._node_distance, S.ANCHORS, S.ANCHORS))]
         assert sorted(map(str, plain)) == sorted(map(str, batched)) and len(plain) == 200
+
+
+def test_reach_in_blocks_and_parts(spark, monkeypatch):
+    """Three edges, one word of targets a part and few edges a block: the same as every path walked."""
+    step = {i: {(i * 7 + j * j * 3) % 150 for j in range(1, 4)} - {i} for i in range(150)}
+    monkeypatch.setattr(R, "LIST_BLOCK", 100)
+    monkeypatch.setattr(R, "BITS_BLOCK", 1)
+    edges = spark.createDataFrame([("a", i, j) for i, to in step.items() for j in to], "ver string, pre long, post long")
+    sources, targets = [spark.createDataFrame([(i,) for i in ids], "id long") for ids in (range(0, 150, 5), range(0, 150))]
+    got = {r.source: r.n for r in R.count_bits(R.reached(edges, sources, R.target_bits(targets), 3, ["ver"]), "n", ["ver"]).collect()}
+    want = {s: {c for a in step[s] for b in step[a] - {s} for c in step[b] - {s, a}} for s in range(0, 150, 5)}
+    assert got == {s: len(ends) for s, ends in want.items() if ends}
