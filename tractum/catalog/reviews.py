@@ -6,6 +6,7 @@ from tractum.catalog.base import query
 from tractum.catalog.joins import KEY3, PAIR, delta_sql
 from tractum.functions import columns as C
 from tractum.operators import joins as J
+from tractum.operators.tasks import grouped
 from tractum.plans import audits, reconcile, reviews
 from tractum.plans.checks import ledger, require_passed
 
@@ -96,7 +97,8 @@ def point_key_recon(t):
     """The export lacks some keys and miscounts others, by rule; each key comes once per end, as views of selected nodes do."""
     pre, post = F.col("pre"), F.col("post")
     export = t.pts().where("pre <> post AND pre <> 7 AND post <> 7").where((pre * 5 + post) % 211 != 0)
-    export = export.groupBy("pre", "post", C.align_region("region").alias("region")).agg(F.count("*").alias("n")).withColumn("n", F.col("n") + F.when((pre + post * 3) % 197 == 0, 1).otherwise(0))
+    export = grouped(export.select(*PAIR, C.align_region("region").alias("region")), PAIR, KEY3, [F.count("*").alias("n")], t.size())
+    export = export.withColumn("n", F.col("n") + F.when((pre + post * 3) % 197 == 0, 1).otherwise(0))
     return reconcile.key_recon(t.pts(), export.unionByName(export), exception_id=7)
 
 

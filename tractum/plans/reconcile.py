@@ -11,9 +11,12 @@ from tractum.functions.columns import align_region
 from tractum.operators.aggs import chunked_list
 from tractum.operators.joins import explode_endpoints, reconcile
 from tractum.operators.ordered import rank_within
+from tractum.operators.tasks import Size, dealt, grouped, sizing
 from tractum.session import stage
 
-KEY3 = ["pre", "post", "region"]
+PAIR = ["pre", "post"]
+KEY3 = [*PAIR, "region"]
+WIDE = 2
 
 
 def explain_residual(raw: DataFrame, published: DataFrame, align: Callable[[str], Column] = align_region) -> DataFrame:
@@ -43,12 +46,16 @@ def filter_rule_search(points: DataFrame, published: DataFrame, max_size: int, e
     each key is scored as kept and as dropped, summed by (is self, is
     exception), and the rules are put together from those few sums.
     """
-    sized = points.groupBy(*KEY3, F.least("size", F.lit(max_size)).alias("size")).agg(F.count("*").alias("n"))
+    size = sizing(points, PAIR)
+    # A key's counts are as wide as there are limits, so a task takes fewer keys.
+    size = Size(size.tasks * WIDE if size.tasks > 1 else 1, size.heavy)
+    sized = grouped(points.select(*KEY3, "size"), PAIR, [*KEY3, F.least("size", F.lit(max_size)).alias("size")], [F.count("*").alias("n")], size)
     labelling = F.explode(F.array(F.lit(False), F.lit(True))).alias("aligned")
     region = F.when(F.col("aligned"), align_region("region")).otherwise(F.col("region")).alias("region")
     by_limit = [F.coalesce(F.sum(F.when(F.col("size") >= t, F.col("n"))), F.lit(0)) for t in range(1, max_size + 1)]
-    have = sized.select("*", labelling).groupBy("aligned", "pre", "post", region).agg(F.array(*by_limit).alias("counts"))
-    want = published.select(*KEY3, F.col("n").alias("want"), labelling)
+    labelled = sized.select("*", labelling).select("aligned", "pre", "post", region, "size", "n")
+    have = dealt(labelled, ["aligned", *KEY3], size).groupBy("aligned", *KEY3).agg(F.array(*by_limit).alias("counts"))
+    want = dealt(published.select(*KEY3, F.col("n").alias("want"), labelling), ["aligned", *KEY3], size)
     both = have.join(want, ["aligned", *KEY3], "full")
     is_exception = (F.col("pre") == exception_id) | (F.col("post") == exception_id)
     zeros = F.array_repeat(F.lit(0).cast("long"), max_size)
@@ -107,7 +114,7 @@ def point_connection_recon(points: DataFrame, connections: DataFrame, ids: DataF
 
 
 def region_rows(points: DataFrame, keys: Sequence[str] = KEY3) -> DataFrame:
-    return points.groupBy(*keys).agg(F.count("*").alias("n"))
+    return grouped(points.select(*keys), [k for k in keys if k in PAIR] or keys, keys, [F.count("*").alias("n")])
 
 
 def key_recon(points: DataFrame, connections: DataFrame, exception_id: int, align: Callable[[str], Column] = align_region) -> DataFrame:
@@ -124,10 +131,14 @@ def key_recon(points: DataFrame, connections: DataFrame, exception_id: int, alig
     is_self, is_exception = pre == post, (pre == exception_id) | (post == exception_id)
     blank = F.col("region").isNull() | (F.trim("region") == "")
     kind = F.when(is_self & is_exception, "self_exception").when(is_self, "self").when(is_exception, "exception").otherwise("retained")
-    sums = stage(points.groupBy("pre", "post", align("region").alias("region"), blank.alias("blank"), kind.alias("kind")).agg(F.count("*").alias("n")))
-    retained = sums.where("kind = 'retained'").groupBy(*KEY3).agg(F.sum("n").alias("n"))
-    export = stage(connections.groupBy(*KEY3).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("views")))
-    both = retained.join(export.select(*KEY3, n.alias("want")), KEY3, "full")
+    size = sizing(points, PAIR)
+    rows = points.select(*PAIR, align("region").alias("region"), blank.alias("blank"), kind.alias("kind"))
+    sums = stage(grouped(rows, PAIR, rows.columns, [F.count("*").alias("n")], size))
+    # Both sides hold a few rows a key now, and lie by key for the join.
+    retained = dealt(sums.where("kind = 'retained'").select(*KEY3, "n"), KEY3, size).groupBy(*KEY3).agg(F.sum("n").alias("n"))
+    views = [F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("views")]
+    export = stage(grouped(connections.select(*KEY3, "n"), PAIR, KEY3, views, size))
+    both = retained.join(dealt(export.select(*KEY3, n.alias("want")), KEY3, size), KEY3, "full")
     status = F.when(F.col("want").isNull(), "point_only").when(n.isNull(), "connection_only").when(n != F.col("want"), "different_count").otherwise("equal")
     keys = stage(both.groupBy(status.alias("item")).agg(F.count("*").alias("value")))
     figures = sums.agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k) for k in ("self", "self_exception", "exception", "retained")],
