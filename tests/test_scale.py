@@ -73,3 +73,12 @@ def test_reach_in_blocks_and_parts(spark, monkeypatch):
     got = {r.source: r.n for r in R.count_bits(R.reached(edges, sources, R.target_bits(targets), 3, ["ver"]), "n", ["ver"]).collect()}
     want = {s: {c for a in step[s] for b in step[a] - {s} for c in step[b] - {s, a}} for s in range(0, 150, 5)}
     assert got == {s: len(ends) for s, ends in want.items() if ends}
+
+
+def test_paths_are_counted_as_they_are_joined(spark):
+    """No aggregate by key takes a row of every exported path."""
+    from tractum.catalog import load
+
+    df = load()[0]["path_recheck"](spark, "/root/testdata/sf0.001")
+    keyed = [n for name, n in nodes(df) if name.endswith("AggregateExec") and n.groupingExpressions().size()]
+    assert df.first()["n_paths"] > 0 and not keyed
