@@ -105,3 +105,61 @@ def test_queries_in_several_batches(spark, tmp_path, monkeypatch, key):
     queries, oracles = load()
     problem, n = compare(spark, con, key, queries[key], oracles[key], str(tmp_path))
     assert not problem and n
+
+
+class Store:
+    """A key's state and timers without a store; it cannot list timers, and counts what is asked of it."""
+
+    def __init__(self):
+        self.timers, self.values, self.calls, self.watermark = set(), {}, 0, 0
+
+    def getValueState(self, name, schema):
+        return Cell(self, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values.get(self.name)
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.values[self.name] = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+
+@pytest.mark.parametrize("make", [X._Frames, lambda: X._Recurrence(0.2)])
+def test_a_key_asks_the_store_a_few_times(make):
+    """New keys: one read, one write of each state and one timer; timers are moved without listing them."""
+    store, op = Store(), make()
+    op.init(store)
+    row = (lambda t: (1, t, t, "k", 1.0)) if isinstance(op, X._Frames) else (lambda t: (1, t, t, 1.0))
+    list(op.handleInputRows((1,), iter([row(100), row(200)]), store))
+    assert store.calls <= 4 and len(store.timers) == 1
+    store.watermark = 150
+    list(op.handleInputRows((1,), iter([row(300)]), store))
+    assert len(store.timers) == 1
+    store.watermark = 1000
+    store.timers.clear()
+    last = list(op.handleExpiredTimer((1,), store, None))[-1]
+    assert (last.event, last.t_ms, last.n_rows) == ("stale", 300, 3) if isinstance(op, X._Frames) else (last.n_samples, last.n_waiting, last.n_late) == (3, 0, 0)

@@ -6,10 +6,10 @@ Both keep their state in the RocksDB store, which ``needs_state_store`` sets.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,6 +23,19 @@ def needs_state_store(spark: SparkSession) -> None:
         spark.conf.set(name, STORE)
 
 
+def _moved(handle, timer: int | None, to: int) -> int:
+    """The key's one timer, set to ``to``.  Its time is kept in the state: asking
+    the store for a key's timers costs more than all else a key does."""
+    if timer != to:
+        if timer is not None:
+            handle.deleteTimer(timer)
+        handle.registerTimer(to)
+    return to
+
+
+AVERAGE = Row("id", "n_samples", "n_waiting", "n_late", "ewma")
+
+
 class _Recurrence(StatefulProcessor):
     """``a += s * (x - a)`` in order of (t_ms, event_id): samples wait in a
     buffer until the watermark has passed them, then they are taken in order."""
@@ -33,38 +46,36 @@ class _Recurrence(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "t_ms long, event_id long, value double")
-        self.taken = handle.getValueState("taken", "n long, late long, a double")
+        self.taken = handle.getValueState("taken", "n long, late long, a double, n_waiting long, timer long")
 
     def _fold(self, a: float, samples) -> float:
         for _, _, x in samples:
             a += self.smoothing * (x - a)
         return a
 
-    def _step(self, key, new, watermark: int) -> Iterator[pd.DataFrame]:
-        n, late, a = self.taken.get() or (0, 0, 0.0)
+    def _step(self, key, new, watermark: int, fired: bool = False) -> Iterator[Row]:
+        n, late, a, n_waiting, timer = self.taken.get() or (0, 0, 0.0, 0, None)
+        timer = None if fired else timer
         in_time = [s for s in new if s[0] > watermark]
         late += len(new) - len(in_time)
-        samples = sorted([tuple(r) for r in (self.waiting.get() or [])] + in_time)
-        ready = [s for s in samples if s[0] <= watermark]
-        rest = samples[len(ready):]
-        n, a = n + len(ready), self._fold(a, ready)
-        self.taken.update((n, late, a))
+        samples = sorted([tuple(r) for r in (self.waiting.get() if n_waiting else ())] + in_time)
+        ready = bisect_right(samples, watermark, key=lambda s: s[0])
+        rest = samples[ready:]
+        n, a = n + ready, self._fold(a, samples[:ready])
         if rest:
             self.waiting.put(rest)
             # One timer per release: at the first sample that still waits.
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(max(rest[0][0], watermark + 1))
-        else:
+            timer = _moved(self.handle, timer, max(rest[0][0], watermark + 1))
+        elif n_waiting:
             self.waiting.clear()
-        yield pd.DataFrame({"id": [key[0]], "n_samples": [n + len(rest)], "n_waiting": [len(rest)], "n_late": [late], "ewma": [self._fold(a, rest)]})
+        self.taken.update((n, late, a, len(rest), timer))
+        yield AVERAGE(key[0], n + len(rest), len(rest), late, self._fold(a, rest))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(e), float(v)) for f in rows for t, e, v in zip(f["t_ms"], f["event_id"], f["value"])]
-        yield from self._step(key, new, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._step(key, [(t, e, v) for _, t, e, v in rows], timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._step(key, [], timerValues.getCurrentWatermarkInMs(), fired=True)
 
     def close(self) -> None:
         pass
@@ -82,7 +93,10 @@ def ewma_in_order(samples: DataFrame, smoothing: float, delay: str) -> DataFrame
     needs_state_store(samples.sparkSession)
     # Without the event-time column in its input the operator sees late samples, and counts them.
     kept = samples.where("value is not null").withWatermark("at", delay).select("id", "t_ms", "event_id", "value")
-    return kept.groupBy("id").transformWithStateInPandas(_Recurrence(smoothing), "id long, n_samples long, n_waiting long, n_late long, ewma double", "Update", "EventTime")
+    return kept.groupBy("id").transformWithState(_Recurrence(smoothing), "id long, n_samples long, n_waiting long, n_late long, ewma double", "Update", "EventTime")
+
+
+FRAME = Row("id", "event", "t_ms", "event_id", "kind", "value", "before", "n_rows", "n_violations")
 
 
 class _Frames(StatefulProcessor):
@@ -90,19 +104,20 @@ class _Frames(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "t_ms long, event_id long, kind string, value double")
-        self.seen = handle.getValueState("seen", "t_ms long, n long, back long")
+        self.state = handle.getValueState("state", "last long, n long, back long, timer long, t_ms long, event_id long, kind string, value double")
+
+    def _load(self):
+        last, n, back, timer, *held = self.state.get() or (None, 0, 0, None, None, None, None, None)
+        return last, n, back, timer, None if held[0] is None else tuple(held)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("event_id")
-        held, (last, n, back) = self.held.get(), self.seen.get() or (None, 0, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, n, back, timer, held = self._load()
         watermark, out = timerValues.getCurrentWatermarkInMs(), []
         if held is not None and held[0] < watermark:  # its timer would fire in this batch
             out.append(("stale", *held, None))
             held = None
-            self.held.clear()
-        for t, e, kind, value in zip(frames["t_ms"], frames["event_id"], frames["kind"], frames["value"]):
-            t, e, value, n = int(t), int(e), float(value), n + 1
+        for _, t, e, kind, value in sorted(rows, key=lambda r: r[2]):
+            n += 1
             if last is not None and t < last:
                 back += 1
                 out.append(("violation", t, e, kind, value, last))
@@ -111,27 +126,18 @@ class _Frames(StatefulProcessor):
                 out.append(("late", t, e, kind, value, None))
             elif held is None or (t, e) > (held[0], held[1]):
                 held = (t, e, kind, value)
-        self.seen.update((last, n, back))
-        if held is None:
-            yield self._rows(key, out, n, back)
-            return
-        self.held.update(held)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(held[0] + 1)
-        out.append(("frame", *held, None))
-        yield self._rows(key, out, n, back)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, (_, n, back) = self.held.get(), self.seen.get()
-        self.held.clear()
-        yield self._rows(key, [("stale", *held, None)] if held is not None else [], n, back)
-
-    @staticmethod
-    def _rows(key, rows, n: int, back: int) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["event", "t_ms", "event_id", "kind", "value", "before"]).astype({"before": "Int64"})
-        out.insert(0, "id", key[0])
-        return out.assign(n_rows=n, n_violations=back)
+        if held is not None:
+            timer = _moved(self.handle, timer, held[0] + 1)
+            out.append(("frame", *held, None))
+        self.state.update((last, n, back, timer, *(held or (None, None, None, None))))
+        for row in out:
+            yield FRAME(key[0], *row, n, back)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        last, n, back, _, held = self._load()
+        self.state.update((last, n, back, None, None, None, None, None))
+        if held is not None:
+            yield FRAME(key[0], "stale", *held, None, n, back)
 
     def close(self) -> None:
         pass
@@ -155,4 +161,4 @@ def watch_frames(frames: DataFrame, limit: str) -> DataFrame:
     """
     needs_state_store(frames.sparkSession)
     kept = frames.select("id", "t_ms", "event_id", "kind", F.coalesce("value", F.lit(float("nan"))).alias("value"), "at").withWatermark("at", limit).drop("at")
-    return kept.groupBy("id").transformWithStateInPandas(_Frames(), FRAME_EVENTS, "Update", "EventTime")
+    return kept.groupBy("id").transformWithState(_Frames(), FRAME_EVENTS, "Update", "EventTime")
