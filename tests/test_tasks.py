@@ -42,3 +42,24 @@ def test_queries_in_many_tasks(spark, monkeypatch, key):
     queries, oracles = load()
     problem, n = compare(spark, connect(FOLDER), key, queries[key], oracles[key], FOLDER)
     assert not problem and n
+
+
+def test_lists_are_numbered_in_one_shuffle(spark, monkeypatch):
+    """Keys that fit a task are not laid out by range; a key that does not is, and gives the same chunks."""
+    from tractum.operators import aggs as A
+
+    calls, plain = [], A.rank_within
+    monkeypatch.setattr(A, "rank_within", lambda *a: calls.append(a) or plain(*a))
+    df, got = rows(spark, 1000), []
+    for limit in (500_000, 100):
+        monkeypatch.setattr(T, "ROWS_PER_TASK", limit)
+        got.append(sorted(map(str, A.chunked_list(df, ["pre", "post"], ["v"], F.col("v"), "vs", 7).collect())))
+    assert got[0] == got[1] and len(calls) == 1
+
+
+@pytest.mark.parametrize("key", ["evidence_rollup", "pair_candidates", "adjacency"])
+def test_lists_in_many_tasks(spark, monkeypatch, key):
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 500)
+    queries, oracles = load()
+    problem, n = compare(spark, connect(FOLDER), key, queries[key], oracles[key], FOLDER)
+    assert not problem and n
