@@ -110,7 +110,8 @@ def point_key_recon(t):
     FROM k JOIN (SELECT pre, post, region, chunk, count(*) AS n_items, string_agg(source::VARCHAR, ';' ORDER BY source) AS points FROM c GROUP BY 1, 2, 3, 4) l USING (pre, post, region)""")
 def pair_candidates(t):
     points = t.pts().where("ln >= 3")
-    strong = points.where("pre <> post AND pre <> 7 AND post <> 7").groupBy("pre", "post").agg(F.count("*").alias("n")).where("n >= 5")
+    other = points.where("pre <> post AND pre <> 7 AND post <> 7").select(*PAIR)
+    strong = grouped(other, PAIR, PAIR, [F.count("*").alias("n")], t.size()).where("n >= 5")
     return reconcile.pair_candidates(points, strong, t.v2(), 7, F.col("okey") * 10 + F.col("ln"), chunk=4)
 
 

@@ -167,7 +167,9 @@ def pair_candidates(points: DataFrame, strong: DataFrame, original: DataFrame, e
     kept = points.where((F.col("pre") != F.col("post")) & (F.col("pre") != exception_id) & (F.col("post") != exception_id)).select(
         "pre", "post", align_region("region").alias("region"), source.alias("source"))
     kept = stage(kept)
-    pairs = rank_within(kept.groupBy(*KEY3).agg(F.count("*").alias("n")), [], [F.desc("n"), F.asc("pre"), F.asc("post"), F.asc("region")], "review_rank")
+    size = sizing(kept, KEY3)
+    counts = grouped(kept.select(*KEY3), KEY3, KEY3, [F.count("*").alias("n")], size)
+    pairs = dealt(rank_within(counts, [], [F.desc("n"), F.asc("pre"), F.asc("post"), F.asc("region")], "review_rank"), PAIR, size)
     for df, name in ((strong, "in_export"), (original, "in_original")):
         pairs = pairs.join(df.select("pre", "post").distinct().withColumn(name, F.lit(True)), ["pre", "post"], "left").fillna(False, [name])
     return pairs.join(chunked_list(kept, KEY3, ["source"], F.col("source"), "points", chunk), KEY3)
