@@ -1,10 +1,14 @@
 """Token files: exact round trips, the tokenizer's own ids, damage is found."""
 
+import json
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,6 +17,8 @@ from tokenizers import Tokenizer
 from tractum.llm import tokenfile
 from tractum.llm.queries import op2_tokens
 
+ENCODER = tokenfile.Encoder("word_bpe_49k.json")
+
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 65535), max_size=60), min_size=1, max_size=8))
@@ -78,3 +84,59 @@ def test_damage_is_found(spark, tmp_path):
         (tmp_path / str(k) / "x").write_bytes(bytes(data))
         with pytest.raises(Exception, match="damaged|no block|wrong place"):
             tokenfile.read_tokens(spark, str(tmp_path / str(k))).collect()
+
+
+def test_many_ids_are_coded_in_step():
+    """A large block takes a few hundred steps, and fewer bits than its order-0 entropy."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).drop_null().combine_chunks()
+    ids = np.concatenate(list(ENCODER.ids(texts)))
+    began = time.process_time()
+    (coded,) = tokenfile.encode([ids])
+    (back,) = tokenfile.decode([coded], [len(ids)])
+    assert len(ids) > 100_000 and time.process_time() - began < 15 and np.array_equal(back, ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * len(coded) < -(share * np.log2(share)).sum() * len(ids)
+
+
+@pytest.mark.parametrize("ids", [[1, 1 << 16], [-1, 5]])
+def test_ids_out_of_range_are_refused(ids):
+    with pytest.raises(ValueError, match="16 bits"):
+        tokenfile.encode([np.array(ids, np.int64)])
+
+
+def test_rare_and_frequent_ids():
+    """Nearly as many ids as there can be, more than have a frequency, and one id only."""
+    rng = np.random.default_rng(4)
+    for ids in (rng.permutation(np.repeat(np.arange(65536), 7)), np.full(5000, 65535), np.arange(513)):
+        (back,) = tokenfile.decode(tokenfile.encode([ids]), [len(ids)])
+        assert np.array_equal(back, ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(
+    st.sampled_from(["'s", "'T", "'re", "'", "<|endoftext|>", "<", "don't", "É'S", "ß", "ÿ×÷", "ªµº²½", "e\u0301", "Σ", "İ", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "日本", "x1y22", "...'ll", "__"]),
+    st.text(max_size=6))).map("".join), min_size=1, max_size=5))
+def test_encoder_gives_the_ids_of_whole_texts(texts):
+    want = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ENCODER.by_word and [x.tolist() for x in ENCODER.ids(pa.array(texts, pa.string()))] == want
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    """One that keeps white space and case is given whole texts."""
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    encoder = tokenfile.Encoder(str(tmp_path / "t.json"))
+    texts = ["A b  C", "", "e\u0301 x"]
+    assert not encoder.by_word
+    assert [x.tolist() for x in encoder.ids(pa.array(texts))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("size", [1, 7, 10, 1000])
+def test_parts_keep_all_rows(monkeypatch, size):
+    monkeypatch.setattr(tokenfile, "PART_BYTES", size)
+    rows = [(i, "x" * (i * 5 % 11)) for i in range(40)]
+    frames = [pa.RecordBatch.from_pylist([{"id": i, "text": t} for i, t in rows[a:a + 9]], pa.schema([("id", pa.int64()), ("text", pa.string())])) for a in range(0, 40, 9)]
+    parts = list(tokenfile._parts(iter(frames + [frames[0].slice(0, 0)])))
+    assert [(r["id"], r["text"]) for p in parts for r in p.to_pylist()] == rows
+    assert all(len(p) == 1 or sum(len(r["text"]) for r in p.to_pylist()) <= size for p in parts)
