@@ -157,3 +157,18 @@ def test_repeated_pairs_are_strong(spark, duck, sparse):
     assert all(r["strong_pairs"] == 0 for r in same(spark, duck, sparse, "integrated_queue"))
     rows = [r.asDict() for r in QUERIES["integrated_queue"](spark, "/root/testdata/sf0.1").where("strong_pairs > 0").collect()]
     assert rows
+
+
+def test_rollup_keeps_regions_and_unknown_ends(spark, tmp_path):
+    """As many points as the table has, also those without a pre or post end; both scores, six axes."""
+    for name in os.listdir(SMALL):
+        if name != "lineitem.parquet":
+            os.symlink(f"{SMALL}/{name}", tmp_path / name)
+    duckdb.sql(f"""COPY (SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_partkey END AS l_partkey,
+        CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag, l_quantity + l_orderkey % 4 / 4.0 AS l_quantity) FROM '{SMALL}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'""")
+    con = connect(str(tmp_path))
+    rows = same(spark, con, str(tmp_path), "evidence_rollup")
+    assert sum(r["n_items"] for r in rows) == con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert any(r["pre"] is None and r["post"] is None for r in rows)
+    assert {"region", "prob_min", "prob_mean", "prob_max", "post_cx", "post_cy", "post_cz"} <= set(rows[0])
+    con.close()
