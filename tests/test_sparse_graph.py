@@ -172,3 +172,10 @@ def test_rollup_keeps_regions_and_unknown_ends(spark, tmp_path):
     assert any(r["pre"] is None and r["post"] is None for r in rows)
     assert {"region", "prob_min", "prob_mean", "prob_max", "post_cx", "post_cy", "post_cz"} <= set(rows[0])
     con.close()
+
+
+def test_coverage_at_each_limit(spark, duck, sparse):
+    """Every node has single contacts in some version and no more than that."""
+    rows = same(spark, duck, sparse, "coverage_2x2")
+    assert {r["min_n"] for r in rows} == {1, 5, 10}
+    assert all(r["in_a"] is False and r["in_b"] is False for r in rows if r["min_n"] > 1) and any(r["in_b"] for r in rows if r["min_n"] == 1)
