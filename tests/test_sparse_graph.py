@@ -179,3 +179,10 @@ def test_coverage_at_each_limit(spark, duck, sparse):
     rows = same(spark, duck, sparse, "coverage_2x2")
     assert {r["min_n"] for r in rows} == {1, 5, 10}
     assert all(r["in_a"] is False and r["in_b"] is False for r in rows if r["min_n"] > 1) and any(r["in_b"] for r in rows if r["min_n"] == 1)
+
+
+def test_queue_at_each_limit(spark, duck, sparse):
+    rows = same(spark, duck, sparse, "integrated_queue")
+    assert {r["min_n"] for r in rows} == {2, 5, 10, 15}
+    assert all(r["single_pairs"] == r["pairs"] + r["self_pairs"] > 0 for r in rows)
+    assert all(sorted(r["review_rank"] for r in rows if r["min_n"] == x) == list(range(1, len(rows) // 4 + 1)) for x in (2, 5, 10, 15))

@@ -202,17 +202,21 @@ def review_queue(t):
 
 @query("integrated_queue", "pairs edg nod", f"""
     WITH e AS (SELECT pre AS id, post AS partner, n FROM pairs UNION ALL SELECT post, pre, n FROM pairs WHERE pre <> post),
-      c AS (SELECT id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n > 1) AS strong_pairs, CAST(sum(n) AS BIGINT) AS points,
-        CAST(coalesce(sum(n) FILTER (WHERE id = partner), 0) AS BIGINT) AS self_points FROM e GROUP BY 1),
+      c AS (SELECT CAST(th AS INTEGER) AS min_n, id, count(*) FILTER (WHERE id <> partner) AS pairs, count(*) FILTER (WHERE id <> partner AND n >= th) AS strong_pairs,
+        count(*) FILTER (WHERE id = partner) AS self_pairs, count(*) FILTER (WHERE n = 1) AS single_pairs, CAST(sum(n) AS BIGINT) AS points,
+        CAST(coalesce(sum(n) FILTER (WHERE id = partner), 0) AS BIGINT) AS self_points FROM e, (VALUES (2), (5), (10), (15)) l(th) GROUP BY 1, 2),
       g AS (SELECT pre AS id, CAST(sum(n) AS BIGINT) AS segment_points FROM edg WHERE post NOT IN {TYPED} GROUP BY 1),
-      q AS (SELECT nod.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(points, 0) AS points, coalesce(self_points, 0) AS self_points, coalesce(segment_points, 0) AS segment_points
-        FROM nod LEFT JOIN c USING (id) LEFT JOIN g USING (id)),
+      m AS (SELECT CAST(th AS INTEGER) AS min_n, id FROM nod, (VALUES (2), (5), (10), (15)) l(th)),
+      q AS (SELECT m.min_n, m.id, coalesce(pairs, 0) AS pairs, coalesce(strong_pairs, 0) AS strong_pairs, coalesce(self_pairs, 0) AS self_pairs, coalesce(single_pairs, 0) AS single_pairs,
+        coalesce(points, 0) AS points, coalesce(self_points, 0) AS self_points, coalesce(segment_points, 0) AS segment_points
+        FROM m LEFT JOIN c ON c.id = m.id AND c.min_n = m.min_n LEFT JOIN g ON g.id = m.id),
       b AS (SELECT *, CASE WHEN id = 7 THEN 'point_exception' WHEN strong_pairs > 0 THEN 'strong_export' WHEN pairs > 0 THEN 'weak_pairs_only' WHEN segment_points > 0 THEN 'segment_only'
         WHEN points > 0 AND self_points = points THEN 'self_contacts_only' ELSE 'no_direct_points' END AS band FROM q)
-    SELECT *, row_number() OVER (ORDER BY band, strong_pairs DESC, points DESC, id) AS review_rank FROM b""")
+    SELECT *, row_number() OVER (PARTITION BY min_n ORDER BY band, strong_pairs DESC, points DESC, id) AS review_rank FROM b""")
 def integrated_queue(t):
+    """One queue for each count from which a pair is strong; the reference's own is 5."""
     segments = J.mark(t.edg(), "post", _typed(t), "_typed").where("NOT _typed").select(F.col("pre").alias("id"), "n")
-    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, F.lit(2), exception_id=7)
+    return reviews.integrated_queue(t.nod().select("id"), t.pairs(), segments, (2, 5, 10, 15), exception_id=7)
 
 
 @query("version_comparison", "v2 v3 r3 nod", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,25 +63,27 @@ def review_queue(nodes: DataFrame, rows: DataFrame, hypotheses: DataFrame) -> Da
     return rank_within(df, [], order, "review_rank")
 
 
-def integrated_queue(nodes: DataFrame, pairs: DataFrame, segments: DataFrame, strong_at: Column, exception_id: int) -> DataFrame:
-    """Per node: pairs, points and band from two detectors' evidence.
+def integrated_queue(nodes: DataFrame, pairs: DataFrame, segments: DataFrame, limits: Sequence[int], exception_id: int) -> DataFrame:
+    """Per limit and node: pairs, points and band from two detectors' evidence.
 
     ``pairs``: pre, post, n of all pairs, whatever their count; ``segments``:
     id, n of points of the second detector on unknown partners.  Bands in
-    order: the named exception, a pair of at least ``strong_at`` contacts, any
-    pair, only segments, only points on itself, none.
+    order: the named exception, a pair of at least ``min_n`` contacts, any
+    pair, only segments, only points on itself, none.  ``min_n`` takes each of ``limits``.
     """
-    strong = pairs.withColumn("_strong", F.col("n") >= strong_at)
-    ends = strong.select(F.col("pre").alias("id"), F.col("post").alias("partner"), "n", "_strong").union(
-        strong.where("pre <> post").select("post", "pre", "n", "_strong"))
+    ends = pairs.select(F.col("pre").alias("id"), F.col("post").alias("partner"), "n").union(pairs.where("pre <> post").select("post", "pre", "n"))
+    other, itself = F.expr("id <> partner"), F.expr("id = partner")
     counts = ends.groupBy("id").agg(
-        F.count_if(F.expr("id <> partner")).alias("pairs"), F.count_if(F.expr("id <> partner AND _strong")).alias("strong_pairs"),
-        F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.expr("id = partner"), F.col("n"))), F.lit(0)).alias("self_points"),
+        F.count_if(other).alias("pairs"), *[F.count_if(other & (F.col("n") >= x)).alias(f"_strong_{x}") for x in limits],
+        F.count_if(itself).alias("self_pairs"), F.count_if(F.col("n") == 1).alias("single_pairs"),
+        F.sum("n").alias("points"), F.coalesce(F.sum(F.when(itself, F.col("n"))), F.lit(0)).alias("self_points"),
     )
     by_segment = segments.groupBy("id").agg(F.sum("n").alias("segment_points"))
-    numbers = ["pairs", "strong_pairs", "points", "self_points", "segment_points"]
-    df = nodes.join(counts, "id", "left").join(by_segment, "id", "left").fillna(0, numbers)
+    numbers = ["pairs", "self_pairs", "single_pairs", "points", "self_points", "segment_points"]
+    df = nodes.join(counts, "id", "left").join(by_segment, "id", "left").fillna(0, [*numbers, *[f"_strong_{x}" for x in limits]])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("min_n"), F.col(f"_strong_{x}").alias("strong_pairs")) for x in limits]))
+    df = df.select("id", *numbers, each.alias("_limit")).select("_limit.min_n", "id", "_limit.strong_pairs", *numbers)
     band = review_band(F.col("id") == exception_id, F.col("strong_pairs") > 0, F.col("pairs") > 0, F.col("segment_points") > 0,
                        F.expr("points > 0 AND self_points = points"))
     order = [F.asc("band"), F.desc("strong_pairs"), F.desc("points"), F.asc("id")]
-    return rank_within(df.withColumn("band", band), [], order, "review_rank")
+    return rank_within(df.withColumn("band", band), ["min_n"], order, "review_rank")
