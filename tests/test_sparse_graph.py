@@ -128,6 +128,37 @@ def test_strongest_paths_by_listing(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("sizes", [{}, {"PATH_BLOCK": 40}, {"TWO_PATHS": 7, "CANDIDATES": 30}])
+def test_strongest_paths_are_not_listed(spark, monkeypatch, sizes):
+    """A few parts, pieces and candidates at once, targets that few paths reach: the same rows; and no join of paths."""
+    import random
+
+    from tractum.operators import graph as G
+    from tractum.operators import strongest as S
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(9)
+    n = {(rng.randrange(30), rng.randrange(30)): rng.choice([1, 1, 1, 2, 5, 70]) for _ in range(240)} | {(3, 40): 2, (40, 41): 1, (5, 41): 3}
+    sources, targets = [*range(12)], [*range(6, 30), 41]
+    step = {}
+    for (a, b), x in n.items():
+        if a != b:
+            step.setdefault(a, []).append((b, x))
+    want = {}
+    for s in sources:
+        for a, x in step.get(s, ()):
+            for b, y in step.get(a, ()):
+                for t, z in step.get(b, ()):
+                    if t in targets and len({s, a, b, t}) == 4:
+                        want.setdefault((s, t), []).append((-min(x, y, z), a, b, x, y, z))
+    want = {(s, t, r + 1): p[1:] for (s, t), ps in want.items() for r, p in enumerate(sorted(ps)[:3])}
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    out = G.strongest_paths(spark.createDataFrame([(*e, c) for e, c in n.items()], "pre long, post long, n long"), ids(sources), ids(targets), 3)
+    assert {(r.source, r.target, r["rank"]): (r.mid, r.mid2, r.n_1, r.n_2, r.n_3) for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mediators_take_single_contacts(spark, duck, sparse):
     assert same(spark, duck, sparse, "top_mediator")
 
