@@ -101,6 +101,19 @@ def test_paths_take_single_contacts(spark, duck, sparse):
     assert same(spark, duck, sparse, "paths_3hop")
 
 
+def test_paths_from_lists_of_last_edges(spark, monkeypatch):
+    """Lists of two last edges: every path once, with the counts of its edges."""
+    from tractum.operators import graph as G
+
+    monkeypatch.setattr(G, "LIST", 2)
+    n = {(a, b): a * 10 + b for a in range(7) for b in range(7) if (a + b) % 3}
+    ids = lambda xs: spark.createDataFrame([(x,) for x in xs], "id long")
+    got = G.paths(spark.createDataFrame([(*e, c) for e, c in n.items()], "pre long, post long, n long"), ids(range(4)), ids(range(1, 7)), 3)
+    want = [(s, a, b, t, n[s, a], n[a, b], n[b, t]) for s, a in n for a2, b in n for b2, t in n
+            if a == a2 and b == b2 and s < 4 and t > 0 and len({s, a, b, t}) == 4]
+    assert sorted((r.source, r.mid, r.mid2, r.target, r.n_1, r.n_2, r.n_3) for r in got.collect()) == sorted(want)
+
+
 def test_strongest_paths(spark, duck, sparse):
     assert same(spark, duck, sparse, "topk_paths")
 
